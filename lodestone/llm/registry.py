@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import simhash, toxicity
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
     "op9_simhash_near_dup": simhash.op9_simhash_near_dup,
 }
 ORACLES: dict[str, str] = {}
