@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import simhash, toxicity
+from . import mixing, simhash, toxicity
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
+    "op8_mixing": mixing.op8_mixing,
     "op9_simhash_near_dup": simhash.op9_simhash_near_dup,
 }
 ORACLES: dict[str, str] = {}
