@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, simhash, toxicity
+from . import decontamination, mixing, sharding, simhash, token_counts, toxicity
 
 QUERIES = {
+    "op1_decontamination": decontamination.op1_decontamination,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_sharding": sharding.op3_sharding,
+    "op4_token_counts": token_counts.op4_token_counts,
     "op8_mixing": mixing.op8_mixing,
     "op9_simhash_near_dup": simhash.op9_simhash_near_dup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_sharding": sharding.ORACLE}
