@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, sharding, simhash, token_counts, toxicity
+from . import decontamination, line_dedup, mixing, sharding, simhash, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_sharding": sharding.op3_sharding,
     "op4_token_counts": token_counts.op4_token_counts,
+    "op5_warc": warc.op5_warc,
+    "op6_line_dedup": line_dedup.op6_line_dedup,
     "op8_mixing": mixing.op8_mixing,
     "op9_simhash_near_dup": simhash.op9_simhash_near_dup,
 }
-ORACLES: dict[str, str] = {"op3_sharding": sharding.ORACLE}
+ORACLES: dict[str, str] = {"op3_sharding": sharding.ORACLE, "op6_line_dedup": line_dedup.ORACLE}
