@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_dedup, mixing, sharding, simhash, token_counts, toxicity, warc
+from . import chat, decontamination, line_dedup, media, mixing, sharding, simhash, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -11,7 +11,9 @@ QUERIES = {
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_warc": warc.op5_warc,
     "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op7_chat": chat.op7_chat,
     "op8_mixing": mixing.op8_mixing,
     "op9_simhash_near_dup": simhash.op9_simhash_near_dup,
+    "op10_media": media.op10_media,
 }
-ORACLES: dict[str, str] = {"op3_sharding": sharding.ORACLE, "op6_line_dedup": line_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op3_sharding": sharding.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op7_chat": chat.ORACLE}
