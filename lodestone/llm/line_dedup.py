@@ -6,7 +6,7 @@ ranks suffixes by their first 1, 2, 4 ... lines: the rank for twice the length i
 partitioning of the distinct pairs and a prefix sum of partition sizes, so nothing is sorted in one task
 and a very common line costs one row. Suffixes of equal rank form an interval of the suffix array whose
 longest common prefix has that length at least. Doubling stops at the shortest run that counts, as longer
-prefixes only split intervals: every line of a later copy of a maximal run already lies in a window that
+prefixes only split intervals, and a suffix whose rank is unique is carried no further: every line of a later copy of a maximal run already lies in a window that
 has an equal earlier one. Windows side by side with the same first copy make up the maximal runs.
 
 What counts as a repeated run: ``min_lines`` lines, or fewer lines (one or two) of ``min_words`` words
@@ -33,38 +33,46 @@ def _words(line) -> F.Column:
 
 def suffixes(rows: DataFrame) -> DataFrame:
     """``rows(uid, doc, text)`` -> ``(uid, doc, pos, i, r, words)``: ``i`` is the place in the sequence, ``r`` the first rank (the line's id)."""
-    lines = rows.select("uid", "doc", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    used = lines.select("uid", "doc", "pos", F.xxhash64("line").alias("r"), _words("line").alias("words")).where("words > 0")
-    return used.withColumn("i", F.row_number().over(Window.partitionBy("uid").orderBy("pos")))
+    line = F.transform(F.split("text", "\n", -1), lambda x, n: F.struct(n.alias("pos"), F.xxhash64(x).alias("r"), _words(x).alias("words")))
+    used = rows.select("uid", "doc", F.posexplode(F.filter(line, lambda x: x["words"] > 0)).alias("i", "x"))
+    return used.select("uid", "doc", "x.pos", (F.col("i") + 1).alias("i"), "x.r", "x.words")
 
 
 def dense(pairs: DataFrame) -> DataFrame:
-    """Distinct ``(r, s)`` -> ``(r, s, rank)``, the place in order, found without a global sort in one task."""
-    dealt = pairs.distinct().repartitionByRange("r", "s").withColumn("part", F.spark_partition_id())
-    dealt = shared.save(dealt, "pairs")
+    """``(r, s)`` -> ``(r, s, rank)`` of pairs that occur repeatedly: their place in order, found without a global sort in one task."""
+    several = pairs.groupBy("r", "s").agg(F.count("*").alias("n")).where("n > 1").select("r", "s")
+    dealt = shared.save(several.repartitionByRange("r", "s").withColumn("part", F.spark_partition_id()), "pairs")
     sizes = dealt.groupBy("part").agg(F.count("*").alias("n"))
     offsets = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = F.row_number().over(Window.partitionBy("part").orderBy("r", F.col("s").asc_nulls_first()))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("r", "s"))
     return dealt.withColumn("inside", inside).join(offsets.select("part", "before"), "part").select("r", "s", (F.col("before") + F.col("inside")).alias("rank"))
 
 
-def extend(table: DataFrame, rank: str, step: int, other: str) -> DataFrame:
-    """``table`` with a column ``rank2``: the rank of (``rank``, ``other`` of the suffix ``step`` lines on; null beyond the end)."""
-    w = Window.partitionBy("uid").orderBy("i")
-    paired = shared.save(table.withColumn("s", F.lead(other, step).over(w)), "paired")
-    ranked = dense(paired.select(F.col(rank).alias("r"), "s"))
-    return paired.join(ranked.select(F.col("r").alias("__r"), F.col("s").alias("__s"), F.col("rank").alias("rank2")), (F.col(rank) == F.col("__r")) & F.col("s").eqNullSafe(F.col("__s"))).drop("__r", "__s", "s")
-
+def extend(table: DataFrame, step: int) -> DataFrame:
+    """``table`` ranked by ``r`` over some lines -> ranked over ``step`` lines more; suffixes unique by then, or too short, are left out.
 
-def ranks(table: DataFrame, length: int) -> DataFrame:
-    """``table`` with ``r1`` (one line), ``r2`` (two) and ``rn`` (``length`` lines) ranks, by doubling."""
-    table = extend(table.withColumnRenamed("r", "r1"), "r1", 1, "r1").withColumnRenamed("rank2", "r2")
-    have, cur = 2, table.withColumn("rn", F.col("r2"))
+    A repeated run begins, at every line of its first ``step``, with a repeated shorter one, so the row
+    ``step`` rows on is the suffix ``step`` lines on or the longer run is unique.
+    """
+    w = Window.partitionBy("uid").orderBy("i")
+    ahead = table.withColumn("s", F.lead("r", step).over(w)).withColumn("at", F.lead("i", step).over(w))
+    if step == 1:
+        ahead = ahead.withColumn("w2", F.col("words") + F.lead("words", 1).over(w))
+    paired = shared.save(ahead.where(F.col("at") == F.col("i") + step).drop("at"), "paired")
+    return paired.join(dense(paired.select("r", "s")), ["r", "s"]).drop("r", "s").withColumnRenamed("rank", "r")
+
+
+def ranks(table: DataFrame, length: int) -> list[tuple[int, DataFrame]]:
+    """Repeated suffixes ranked by one line, by two and, by doubling, by ``length`` lines."""
+    several = table.groupBy("r").agg(F.count("*").alias("n")).where("n > 1").select("r")
+    one = shared.save(table.join(several, "r", "left_semi"), "ranks")
+    two = cur = shared.save(extend(one, 1), "ranks")
+    have = 2
     while have < length:
         step = min(have, length - have)
-        cur = extend(cur, "rn", step, "rn").drop("rn").withColumnRenamed("rank2", "rn")
+        cur = shared.save(extend(cur, step), "ranks")
         have += step
-    return shared.save(cur, "ranks")
+    return [(1, one), (2, two), (have, cur)]
 
 
 def _first(windows: DataFrame) -> DataFrame:
@@ -75,15 +83,13 @@ def _first(windows: DataFrame) -> DataFrame:
 
 def later_windows(rows: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """``(uid, i, length, first)``: windows of lines that repeat an earlier one."""
-    t = ranks(suffixes(rows), max(min_lines, 2))
-    w = Window.partitionBy("uid").orderBy("i")
-    left = F.count("*").over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    t = shared.save(t.withColumn("left", left).withColumn("w2", F.col("words") + F.lead("words", 1).over(w)).withColumn("place", F.struct(F.col("doc").isNull().alias("none"), "doc", "uid", "i")), "windows")
+    levels = ranks(suffixes(rows), max(min_lines, 2))
     out = None
-    for length, key, where in ((1, "r1", f"words >= {min_words}"), (2, "r2", f"w2 >= {min_words}"), (max(min_lines, 2), "rn", f"left >= {max(min_lines, 2)}")):
-        got = _first(t.where(where).select(F.col(key).alias("k"), "place", "uid", "i")).select("uid", "i", F.lit(length).alias("length"), F.struct(F.col("first.uid").alias("uid"), F.col("first.i").alias("i")).alias("first"))
+    for (length, t), where in zip(levels, (f"words >= {min_words}", f"w2 >= {min_words}", "true"), strict=True):
+        place = F.struct(F.col("doc").isNull().alias("none"), "doc", "uid", "i").alias("place")
+        got = _first(t.where(where).select(F.col("r").alias("k"), place, "uid", "i")).select("uid", "i", F.lit(length).alias("length"), F.struct(F.col("first.uid").alias("uid"), F.col("first.i").alias("i")).alias("first"))
         out = got if out is None else out.unionByName(got)
-    return shared.save(out, "later"), t
+    return shared.save(out, "later"), levels[0][1]
 
 
 def runs(later: DataFrame) -> DataFrame:
