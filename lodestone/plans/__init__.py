@@ -1,0 +1 @@
+from . import catalogue, code  # noqa: F401  (registers the queries of both)
