@@ -145,6 +145,8 @@ def hexadecimal(fingerprint) -> F.Column:
 LANES = 4  # 256 bits
 #: 160 blocks of 24 bits: a pair at similarity 0.8 (0.15 of bits differ) meets with probability 0.96, at 0.85 with 0.997.
 TABLES, BLOCK_BITS = 160, 24
+#: Tables whose stars come first: they join most of a group of copies, at a few rows for each copy.
+FIRST_TABLES = 8
 #: Mean 39 bits of 256 differ at similarity 0.8, with a deviation of 6.
 FARTHEST = 64
 
@@ -232,10 +234,10 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts, words: int, similarity:
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(row_key, doc_id, group_key)``: rows of one near-duplicate group share ``group_key``.
 
-    Texts with equal 256-bit fingerprints are one node. Candidate pairs are first each bucket's members
-    with its least one; verified links give first components. Only buckets whose members then lie in
-    different components are paired further, and only across components: pairs within a component add
-    nothing. So a group of thousands of copies costs a few rows for each, and no candidate is lost.
+    Texts with equal 256-bit fingerprints are one node. Candidate pairs are first, in ``FIRST_TABLES``
+    tables, each bucket's members with its least one, its lead; verified links give components. Then come the members and leads of all buckets that lie in different components, and
+    last all pairs across components in the buckets that still hold several: pairs within a component
+    add nothing. So a group of thousands of copies costs a few rows for each, and no candidate is lost.
     """
     sk = shared.save(_sketches(docs, words, id_col, text_col).withColumn("node", F.xxhash64("f0", "f1", "f2", "f3")), "sketches")
     nodes = shared.save(
@@ -250,9 +252,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     held = nodes.select("node", F.posexplode("blocks").alias("t", "v")).select("node", (F.col("t").cast("long") * (1 << 32) + F.col("v")).alias("k"))
     sizes = held.groupBy("k").agg(F.count("*").alias("n"), F.min("node").alias("lead")).where("n > 1")
     members = shared.save(held.join(sizes, "k"), "members")
-    stars = members.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
-    first = _verified(stars, nodes, texts, words, similarity)
-    comp = shared.save(components(first), "components")
+    stars = members.where("node <> lead").select("k", F.col("node").alias("a"), F.col("lead").alias("b"))
+    first = _verified(stars.where(F.col("k") < (FIRST_TABLES << 32)).select("a", "b").distinct(), nodes, texts, words, similarity)
+    early = shared.save(components(first), "components")
+    named = [early.select(F.col("node").alias(n), F.col("component").alias(f"c{n}")) for n in "ab"]
+    apart = stars.join(named[0], "a", "left").join(named[1], "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    links = first.union(_verified(apart.select("a", "b").distinct(), nodes, texts, words, similarity))
+    comp = shared.save(components(links), "components")
     placed = members.where("n > 2").join(comp, "node", "left").select("k", "node", "lead", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("k")
     open_ = shared.save(placed.join(mixed, "k"), "open")
@@ -260,7 +266,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     y = open_.select("k", F.col("node").alias("b"), F.col("component").alias("cb"))
     across = x.join(y, "k").where("a > b and ca <> cb and a <> lead and b <> lead").select("a", "b").distinct()
     second = _verified(across, nodes, texts, words, similarity)
-    final = components(first.union(second))
+    final = components(links.union(second))
     groups = nodes.select("node").join(final, "node", "left").select("node", F.coalesce("component", "node").alias("group_key"))
     out = shared.save(sk.select("row_key", "doc_id", "node").join(groups, "node").select("row_key", "doc_id", "group_key"), "groups")
     for t in (members, open_):
