@@ -1,7 +1,8 @@
 """Token counts by scanning flat token files for end-of-document identifiers.
 
-``write_tokens`` tokenises documents into flat files of little-endian 32-bit identifiers: each text's
-tokens, then one separator; the files have no index. ``scan`` cuts the files into byte blocks, searches
+``write_tokens`` tokenises documents into flat files of little-endian identifiers of ``width``
+bytes: each text's tokens, then one separator; the files have no index. Two bytes hold vocabularies of up
+to 65,536 entries; larger ones need four, and an identifier that does not fit fails the write. ``scan`` cuts the files into byte blocks, searches
 each block for separators with numpy, and stitches the blocks with a prefix scan over per-block
 summaries (separators so far, place of the last one), so a document that spans blocks is counted once.
 
@@ -28,6 +29,7 @@ TOKENIZERS, VOCABULARY, EOD = "/opt/tokenizers", "byte_bpe_multi_50k.tiktoken",
 #: Splits a text into pieces before merging: words with a leading blank, numbers, other signs, white space.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK_BYTES = 8 << 20
+WIDTH = 2
 FILE_TOKENS = 64 << 20
 _ENCODERS: dict = {}
 
@@ -46,7 +48,7 @@ def encoder(path: str = TOKENIZERS, vocabulary: str = VOCABULARY):
     return _ENCODERS[key]
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, eod: int = EOD, file_tokens: int = FILE_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, eod: int = EOD, file_tokens: int = FILE_TOKENS, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write flat token files into ``folder``; returns ``(file, ordinal, doc_id)``, the order of documents."""
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -65,7 +67,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizers: str = TOKENIZERS, voc
 
         for b in batches:
             for i, t in enumerate(b.column(1).to_pylist()):
-                toks = np.array([*enc.encode_ordinary(t or ""), eod], dtype="<u4")
+                toks = np.array([*enc.encode_ordinary(t or ""), eod], dtype=f"<u{width}")
                 held.append(toks.tobytes())
                 ids.append(b.column(0).slice(i, 1))
                 size += len(toks)
@@ -84,9 +86,9 @@ def separators(tokens: np.ndarray, eod: int = EOD) -> np.ndarray:
     return np.flatnonzero(tokens == eod)
 
 
-def scan(spark: SparkSession, files: DataFrame, eod: int = EOD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def scan(spark: SparkSession, files: DataFrame, eod: int = EOD, block_bytes: int = BLOCK_BYTES, width: int = WIDTH) -> DataFrame:
     """``files(file)`` -> ``(file, ordinal, first_token, n_tokens, closed)``: a row for each document."""
-    block_bytes -= block_bytes % 4
+    block_bytes -= block_bytes % width
 
     def sizes(batches):
         for b in batches:
@@ -103,8 +105,8 @@ def scan(spark: SparkSession, files: DataFrame, eod: int = EOD, block_bytes: int
             for f, s, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 with shared.open_bytes(f) as x:
                     x.seek(s)
-                    at = separators(np.frombuffer(x.read(n), dtype="<u4"), eod) + s // 4
-                yield pa.RecordBatch.from_arrays([pa.array([f]), pa.array([s // 4]), pa.array([(s + n) // 4]), pa.array([at], pa.list_(pa.int64()))], names=["file", "start", "stop", "found"])
+                    at = separators(np.frombuffer(x.read(n), dtype=f"<u{width}"), eod) + s // width
+                yield pa.RecordBatch.from_arrays([pa.array([f]), pa.array([s // width]), pa.array([(s + n) // width]), pa.array([at], pa.list_(pa.int64()))], names=["file", "start", "stop", "found"])
 
     parts = files.select("file").distinct().mapInArrow(sizes, "file string, start long, length long")
     parts = shared.save(parts, "blocks")

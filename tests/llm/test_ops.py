@@ -85,6 +85,10 @@ def test_token_counts_do_not_depend_on_blocks(spark):
     rows = [(i, " ".join(words(i % 40, i)), "a") for i in range(60)] + [(60, None, "a"), (61, "<|endoftext|>", "a"), (61, "<|endoftext|>", "a")]
     order = token_counts.write_tokens(docs(spark, rows), shared.new_path(spark, "t"), file_tokens=500)
     want = Counter((i, len(enc.encode_ordinary(t or ""))) for i, t, _ in rows)
+    wide = token_counts.write_tokens(docs(spark, rows), shared.new_path(spark, "t"), file_tokens=500, width=4)
+    assert Counter(r.n_tokens for r in token_counts.scan(spark, wide.select("file"), block_bytes=64, width=4).collect()) == Counter(n for _, n in want.elements())
+    with pytest.raises(Exception, match="out of bounds|OverflowError"):
+        token_counts.write_tokens(docs(spark, rows[:2]), shared.new_path(spark, "t"), eod=70_000)
     for block in (8, 64, 1 << 20):
         got = order.join(token_counts.scan(spark, order.select("file"), block_bytes=block), ["file", "ordinal"]).collect()
         assert Counter((r.doc_id, r.n_tokens) for r in got) == want and all(r.closed for r in got)
