@@ -2,12 +2,17 @@
 
 A seed is a fixed mask over a window of words; positions that the mask leaves out may differ. Hashes
 of every window of the benchmark are looked up by every window of every document, and around each hit
-the two texts are compared word by word on the hit's diagonal: the best ungapped stretch must reach
-``min_words`` words (or the whole item, if that is shorter) with ``identity`` of them equal.
+the two texts are compared word by word on the hit's diagonal: an ungapped stretch of ``min_words``
+words or more (or the whole item, if that is shorter) must have ``identity`` of them equal.
+
+No such stretch is missed at the default ``min_words`` and ``identity``. A stretch of more than 25 words
+can be cut into parts of 13 to 25, and one part has as large a share of equal words as the whole; in
+13 to 25 words with a fifth unequal at most, wherever these are, one of ``SEEDS`` fits (the tests try all
+places). An item of fewer words has an equal run as long as its unequal words cannot break up.
 
 The benchmark is taken in blocks of at most ``BLOCK_WORDS`` words, and each block's hash table is the
 only thing sent to tasks, so what is sent is bounded however large the benchmark is; all documents are
-scanned against every block and no window is skipped. Items shorter than a seed are looked up as a whole.
+scanned against every block and no window is skipped.
 
 Defined results: null or wordless texts and items match nothing; items of equal words are reported
 under the least ``item_id`` (nulls last) with ``n_items``; repeated document rows are reported each;
@@ -27,8 +32,8 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-#: 1 is a word that must agree. Windows of 11 words, 6 or 7 of them compared.
-SEEDS = ("11101001011", "11010011101", "11100110011", "11111100000", "00000111111")
+#: 1 is a word that must agree. Windows of 7 to 11 words, 6 of them compared.
+SEEDS = ("1101111", "1100010111", "11011000011", "1111101")
 MIN_WORDS, IDENTITY = 13, 0.8
 BLOCK_WORDS = 1_000_000
 _WORD = re.compile(r"[^\W_]+")
@@ -72,15 +77,16 @@ class Block:
     filters: list  # by mask: bit table over the hashes' low bits
 
     @classmethod
-    def build(cls, items: list, seeds=SEEDS) -> Block:
-        span = max(map(len, seeds))
-        short = sorted({len(w) for _, _, w in items if 0 < len(w) < span})
+    def build(cls, items: list, seeds=SEEDS, min_words: int = MIN_WORDS, identity: float = IDENTITY) -> Block:
+        span = max(min_words, *map(len, seeds))
+        run = [equal_run(len(w), identity) if len(w) < span else 0 for _, _, w in items]
+        short = sorted({n for n in run if n})
         masks = (*seeds, *("1" * n for n in short))
         hashes, where, filters = [], [], []
         for k, m in enumerate(masks):
             h, at = [np.zeros(0, np.uint64)], [np.zeros((0, 2), np.int64)]
             for i, (_, _, w) in enumerate(items):
-                if (len(w) < span) == (k < len(seeds)) or k >= len(seeds) and len(w) != len(m):
+                if run[i] != (0 if k < len(seeds) else len(m)):
                     continue
                 x = window_hashes(w, m)
                 h.append(x)
@@ -120,24 +126,35 @@ class Block:
         return [(i, *v) for i, v in sorted(best.items())]
 
 
+def equal_run(n: int, identity: float) -> int:
+    """Length of the equal run that ``n`` words must have if ``identity`` of them are equal."""
+    unequal = int(n * (1 - identity) + 1e-9)
+    return -(-(n - unequal) // (unequal + 1))
+
+
 def stretch(words: np.ndarray, item: np.ndarray, shift: int, min_words: int, identity: float):
     """Best ungapped stretch of ``item`` laid at ``words[shift:]``: ``(start, length, equal)`` or None.
 
-    An unequal word costs so much that the stretch's share of equal words is at least ``identity``.
+    An unequal word costs as much as the equal words that make up for it, so a stretch that gains nothing
+    and loses nothing has just ``identity`` of its words equal. The best is sought among the stretches of
+    enough words only: a shorter one may gain more and says nothing about them.
     """
     a, b = max(shift, 0), min(shift + len(item), len(words))
+    need = max(1, min(min_words, len(item)))
+    if b - a < need:
+        return None
     same = words[a:b] == item[a - shift : b - shift]
     cost = identity / (1 - identity) if identity < 1 else len(same) + 1.0
     total = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, -cost))])
-    gain = total - np.minimum.accumulate(total)
+    gain = total[need:] - np.minimum.accumulate(total[:-need])
     end = int(np.argmax(gain))
-    start = int(np.argmin(total[: end + 1]))
-    if end - start < min(min_words, len(item)) or end == start:
+    if gain[end] < -1e-6:
         return None
+    start, end = int(np.argmin(total[: end + 1])), end + need
     return a + start, end - start, int(same[start:end].sum())
 
 
-def blocks(benchmark: DataFrame, seeds=SEEDS, block_words: int = BLOCK_WORDS, id_col: str = "item_id", text_col: str = "text"):
+def blocks(benchmark: DataFrame, seeds=SEEDS, block_words: int = BLOCK_WORDS, min_words: int = MIN_WORDS, identity: float = IDENTITY, id_col: str = "item_id", text_col: str = "text"):
     """The benchmark's blocks, one after another; at most one block is in the driver at a time."""
     rows = benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     n_words = F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+"))
@@ -153,12 +170,12 @@ def blocks(benchmark: DataFrame, seeds=SEEDS, block_words: int = BLOCK_WORDS, id
         for r in mine.toLocalIterator():
             w = words_of(r.text)
             if items and held + len(w) > block_words:
-                yield Block.build(_merged(items), seeds)
+                yield Block.build(_merged(items), seeds, min_words, identity)
                 items, held = [], 0
             items.append((r.item_id, r.n, w))
             held += len(w)
         if items:
-            yield Block.build(_merged(items), seeds)
+            yield Block.build(_merged(items), seeds, min_words, identity)
 
 
 def _merged(items: list) -> list:
@@ -177,7 +194,7 @@ def find(docs: DataFrame, benchmark: DataFrame, seeds=SEEDS, min_words: int = MI
     schema = f"doc_id {kind}, item_id {item_kind}, n_items long, start_word long, length long, equal long"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = spark.createDataFrame([], schema)
-    for block in blocks(benchmark, seeds, block_words):
+    for block in blocks(benchmark, seeds, block_words, min_words, identity):
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches, sent=sent):
@@ -198,7 +215,7 @@ def find(docs: DataFrame, benchmark: DataFrame, seeds=SEEDS, min_words: int = MI
 def clean(docs: DataFrame, benchmark: DataFrame, seeds=SEEDS, min_words: int = MIN_WORDS, identity: float = IDENTITY, block_words: int = BLOCK_WORDS, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that hold a benchmark passage; schema and other columns unchanged."""
     spark = docs.sparkSession
-    for block in blocks(benchmark, seeds, block_words):
+    for block in blocks(benchmark, seeds, block_words, min_words, identity):
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches, sent=sent):

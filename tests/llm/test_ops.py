@@ -2,6 +2,7 @@ import gzip
 import io
 import random
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -58,6 +59,41 @@ def test_stretch_against_brute_force():
             assert k >= 0.8 * n and abs((k - 4 * (n - k)) - best) < 1e-6
 
 
+def test_decontamination_misses_nothing_that_brute_force_finds():
+    def brute(words, item):
+        for d in range(-len(item), len(words) + 1):
+            a, b, need = max(d, 0), min(d + len(item), len(words)), min(13, len(item))
+            total = [0, *np.cumsum(words[a:b] == item[a - d : b - d])]
+            if any(5 * (total[e] - total[s]) >= 4 * (e - s) for s in range(len(total)) for e in range(s + need, len(total))):
+                return True
+        return False
+
+    r, found = np.random.default_rng(8), Counter()
+    cases = [(16, (3,)), (10, (3, 6)), (5, (2,)), (13, (0, 5)), (15, (3, 7, 11)), (25, (4, 9, 14, 19, 24))]
+    cases += [(n, tuple(r.choice(n, int(r.integers(0, n // 5 + 2)), replace=False))) for n in r.integers(1, 41, 400)]
+    for n, places in cases:
+        item = r.integers(0, 1 << 60, n).astype(np.uint64)
+        near = item.copy()
+        near[list(places)] = 1
+        text = np.concatenate([r.integers(0, 1 << 60, int(r.integers(0, 20))).astype(np.uint64), near[int(r.integers(0, 3)) if n > 20 else 0 :], r.integers(0, 1 << 60, 5).astype(np.uint64)])
+        got = decontamination.Block.build([(1, 1, item)]).matches(text, 13, 0.8)
+        assert bool(got) == brute(text, item), (n, places)
+        found[bool(got)] += 1
+        for _, _, length, equal in got:
+            assert length >= min(13, n) and 5 * equal >= 4 * length
+    assert min(found.values()) >= 40
+
+
+def test_decontamination_seeds_fit_wherever_words_differ():
+    for n in range(13, 26):
+        left = np.array([sum(1 << i for i in c) for c in combinations(range(n), n // 5)])
+        for seed in decontamination.SEEDS:
+            mask = sum(1 << i for i, bit in enumerate(seed) if bit == "1")
+            for at in range(n - len(seed) + 1):
+                left = left[(left & (mask << at)) != 0]
+        assert not len(left)
+
+
 def test_toxicity_rejects_disguised_insults(spark):
     lex = toxicity.Lexicon()
     d = docs(spark, [(1, "you stup1d wörthless m0ron", "a"), (2, "a calm note on gardens", "a"), (3, None, "a"), (4, "", "a")])
