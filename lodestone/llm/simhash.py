@@ -1,4 +1,4 @@
-"""SimHash near-duplicates: pigeonhole blocks, exact verification, connected components.
+"""Near-duplicates: SimHash in pigeonhole blocks, shingle sets in blocks of minima, exact verification, connected components.
 
 Two operators share the machinery:
 
@@ -6,9 +6,11 @@ Two operators share the machinery:
   differ. The bits are cut into blocks; close pairs agree on a whole combination of blocks, so they
   meet in a bucket of that combination, where the Hamming distance is verified.
 * ``near_duplicates``: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or
-  more. At that similarity about 15% of SimHash bits differ, so short exact blocks are no use: wide
-  fingerprints (256 bits) are cut into many sampled blocks of 24 bits, and each candidate pair is
-  verified, first by Hamming distance and then by the exact similarity.
+  more. At that similarity about 15% of SimHash bits differ, so blocks of bits long enough to tell
+  texts apart lose pairs, most of all short ones. Here the blocks are made of minima instead: the least
+  hash of two sets is the same with a probability that is their similarity, whatever their length, so
+  pairs meet as often as ``TABLES`` and ``BLOCK_ROWS`` say. Every candidate pair is verified, first by
+  bounds that lose nothing and then by the exact similarity.
 
 Defined results: a null text counts as empty; documents without words have fingerprint zero and are
 linked to each other; a null ``doc_id`` is kept and never chosen as a smallest id if another exists;
@@ -142,29 +144,35 @@ def hexadecimal(fingerprint) -> F.Column:
 
 # --- similarity of shingle sets -------------------------------------------------------------------
 
-LANES = 4  # 256 bits
-#: 160 blocks of 24 bits: a pair at similarity 0.8 (0.15 of bits differ) meets with probability 0.96, at 0.85 with 0.997.
-TABLES, BLOCK_BITS = 160, 24
+#: 48 blocks of 8 minima: a pair at similarity 0.8 meets with a probability of 1 - (1 - 0.8 ** 8) ** 48 = 0.9998.
+TABLES, BLOCK_ROWS = 48, 8
 #: Tables whose stars come first: they join most of a group of copies, at a few rows for each copy.
 FIRST_TABLES = 8
-#: Mean 39 bits of 256 differ at similarity 0.8, with a deviation of 6.
-FARTHEST = 64
+#: Longs of a set's bitmap, which has the bit of each member's hash.
+LANES = 8
+_DRAWN = np.random.default_rng(20240607).integers(0, 1 << 32, (2, TABLES * BLOCK_ROWS), dtype=np.uint32)
 
 
-def _wide(hashes: np.ndarray) -> np.ndarray:
-    """256 majority bits over a set of 64-bit hashes, each stretched to four words."""
-    ones = np.zeros(64 * LANES, dtype=np.int64)
-    for i in range(0, len(hashes), CHUNK):
-        h = hashes[i : i + CHUNK]
-        lanes = np.empty((len(h), LANES), dtype=np.uint64)
-        lanes[:, 0] = h
-        for k in range(1, LANES):
-            z = h + np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))
-            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            lanes[:, k] = z ^ (z >> np.uint64(31))
-        ones += np.unpackbits(lanes.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return 2 * ones > len(hashes)
+def _blocks(hashes: np.ndarray) -> np.ndarray:
+    """The keys under which a set of hashes is met, one for each table, with the table in the upper bits."""
+    if not len(hashes):
+        return np.zeros(0, dtype=np.int64)
+    least, short = np.full(TABLES * BLOCK_ROWS, (1 << 32) - 1, dtype=np.uint32), (hashes >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(short), 512):
+        part = (short[i : i + 512, None] ^ _DRAWN[0]) * (_DRAWN[1] | np.uint32(1))
+        least = np.minimum(least, part.min(axis=0))
+    key = np.zeros(TABLES, dtype=np.uint64)
+    for v in least.reshape(TABLES, BLOCK_ROWS).T.astype(np.uint64):
+        key = (key ^ v) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return ((key >> np.uint64(8)) | (np.arange(TABLES, dtype=np.uint64) << np.uint64(56))).view(np.int64)
+
+
+def _bitmap(hashes: np.ndarray) -> np.ndarray:
+    """``LANES`` longs with a bit set for each hash."""
+    bits = np.zeros(64 * LANES, dtype=bool)
+    bits[hashes % np.uint64(64 * LANES)] = True
+    return np.packbits(bits, bitorder="little").view("<i8")
 
 
 def _row_key(id_col: str, text_col: str):
@@ -172,33 +180,26 @@ def _row_key(id_col: str, text_col: str):
 
 
 def _sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """``(row_key, doc_id, f0..f3, blocks array<int>)``."""
-    rng = np.random.default_rng(20240607)
-    places = [np.sort(rng.choice(64 * LANES, BLOCK_BITS, replace=False)) for _ in range(TABLES)]
-    order = np.concatenate(places)
+    """``(row_key, doc_id, node, n, f0..f7, blocks array<long>)``: ``node`` is a hash of the set of shingles, ``n`` its size."""
 
     def run(batches):
-        weight = (1 << np.arange(BLOCK_BITS)).astype(np.int32)
+        import xxhash
+
         for b in batches:
-            bits = np.zeros((b.num_rows, 64 * LANES), dtype=bool)
+            maps, blocks = np.zeros((b.num_rows, LANES), dtype=np.int64), []
+            node, n = np.zeros(b.num_rows, dtype=np.uint64), np.zeros(b.num_rows, dtype=np.int64)
             for i, t in enumerate(b.column(2).to_pylist()):
                 h = np.unique(shingle_hashes(t, words))
-                if len(h):
-                    bits[i] = _wide(h)
-            packed = np.packbits(bits, axis=1, bitorder="little").view("<i8")
-            flat = np.empty(b.num_rows * TABLES, dtype=np.int32)
-            for i in range(0, b.num_rows, 1024):
-                part = bits[i : i + 1024, order].reshape(-1, BLOCK_BITS)
-                flat[i * TABLES : i * TABLES + len(part)] = part @ weight
-            blocks = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * TABLES), pa.array(flat))
+                node[i], n[i], maps[i] = xxhash.xxh64_intdigest(h.tobytes(), SEED), len(h), _bitmap(h)
+                blocks.append(_blocks(h))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), *[pa.array(np.ascontiguousarray(packed[:, k])) for k in range(LANES)], blocks],
-                names=["row_key", "doc_id", *[f"f{k}" for k in range(LANES)], "blocks"],
+                [b.column(0), b.column(1), pa.array(node.view(np.int64)), pa.array(n), *[pa.array(np.ascontiguousarray(maps[:, k])) for k in range(LANES)], pa.array(blocks, type=pa.list_(pa.int64()))],
+                names=["row_key", "doc_id", "node", "n", *[f"f{k}" for k in range(LANES)], "blocks"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(_row_key(id_col, text_col).alias("row_key"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"row_key long, doc_id {kind}, f0 long, f1 long, f2 long, f3 long, blocks array<int>")
+    return rows.mapInArrow(run, f"row_key long, doc_id {kind}, node long, n long, {', '.join(f'f{k} long' for k in range(LANES))}, blocks array<long>")
 
 
 def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -213,17 +214,22 @@ def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts, words: int, similarity: float) -> DataFrame:
-    """Of candidate pairs ``(a, b)`` those whose shingle sets are similar enough."""
-    fp = [F.col(f"f{k}") for k in range(LANES)]
+    """Of candidate pairs ``(a, b)`` those whose shingle sets are similar enough.
+
+    Each bit in which two bitmaps differ is a shingle that only one set has, and similar sets have at
+    most ``(1 - similarity) / (1 + similarity)`` of their members to themselves: the rest need no sets.
+    """
+    fp = [F.col("n"), *[F.col(f"f{k}") for k in range(LANES)]]
     left = nodes.select(F.col("node").alias("a"), *[c.alias(f"x{k}") for k, c in enumerate(fp)])
     right = nodes.select(F.col("node").alias("b"), *[c.alias(f"y{k}") for k, c in enumerate(fp)])
-    apart = sum((_far(f"x{k}", f"y{k}") for k in range(LANES)), F.lit(0))
-    near = shared.save(pairs.join(left, "a").join(right, "b").where(apart <= FARTHEST).select("a", "b"), "near")
+    alone = sum((_far(f"x{k}", f"y{k}") for k in range(1, LANES + 1)), F.lit(0))
+    may = (alone <= (1 - similarity) / (1 + similarity) * (F.col("x0") + F.col("y0")) + 1e-6) & (F.least("x0", "y0") >= similarity * F.greatest("x0", "y0") - 1e-6)
+    near = shared.save(pairs.join(left, "a").join(right, "b").where(may).select("a", "b"), "near")
     wanted = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
     sets = shared.save(_shingle_sets(texts(wanted), words), "sets")
     both = near.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("s")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("t")), "b")
     common = F.size(F.array_intersect("s", "t"))
-    # a, b without the set: texts of no words have no set and equal fingerprints, so they are one node already
+    # texts of no words are in no bucket: their sets are equal, so they are one node already
     links = both.where(common >= similarity * (F.size("s") + F.size("t") - common)).select("a", "b")
     out = shared.save(links, "links")
     shared.drop(near)
@@ -234,14 +240,14 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts, words: int, similarity:
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(row_key, doc_id, group_key)``: rows of one near-duplicate group share ``group_key``.
 
-    Texts with equal 256-bit fingerprints are one node. Candidate pairs are first, in ``FIRST_TABLES``
-    tables, each bucket's members with its least one, its lead; verified links give components. Then come the members and leads of all buckets that lie in different components, and
-    last all pairs across components in the buckets that still hold several: pairs within a component
+    Texts with equal sets of shingles are one node. Candidate pairs are first, in ``FIRST_TABLES``
+    tables, each bucket's members with its least one, its lead; verified links give components. Then come
+    the members and leads of all buckets that lie in different components, and last all pairs across components in the buckets that still hold several: pairs within a component
     add nothing. So a group of thousands of copies costs a few rows for each, and no candidate is lost.
     """
-    sk = shared.save(_sketches(docs, words, id_col, text_col).withColumn("node", F.xxhash64("f0", "f1", "f2", "f3")), "sketches")
+    sk = shared.save(_sketches(docs, words, id_col, text_col), "sketches")
     nodes = shared.save(
-        sk.groupBy("node").agg(F.min("row_key").alias("row_key"), *[F.min(f"f{k}").alias(f"f{k}") for k in range(LANES)], F.min("blocks").alias("blocks")), "nodes"
+        sk.groupBy("node").agg(F.min("row_key").alias("row_key"), F.min("n").alias("n"), *[F.min(f"f{k}").alias(f"f{k}") for k in range(LANES)], F.min("blocks").alias("blocks")), "nodes"
     )
     texts_of = docs.select(_row_key(id_col, text_col).alias("row_key"), F.col(text_col).cast("binary").alias("text"))
 
@@ -249,11 +255,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
         keys = nodes.join(wanted, "node", "left_semi").select("node", "row_key")
         return texts_of.join(keys, "row_key").dropDuplicates(["node"]).select("node", "text")
 
-    held = nodes.select("node", F.posexplode("blocks").alias("t", "v")).select("node", (F.col("t").cast("long") * (1 << 32) + F.col("v")).alias("k"))
+    held = nodes.select("node", F.explode("blocks").alias("k"))
     sizes = held.groupBy("k").agg(F.count("*").alias("n"), F.min("node").alias("lead")).where("n > 1")
     members = shared.save(held.join(sizes, "k"), "members")
     stars = members.where("node <> lead").select("k", F.col("node").alias("a"), F.col("lead").alias("b"))
-    first = _verified(stars.where(F.col("k") < (FIRST_TABLES << 32)).select("a", "b").distinct(), nodes, texts, words, similarity)
+    first = _verified(stars.where(F.col("k") < (FIRST_TABLES << 56)).select("a", "b").distinct(), nodes, texts, words, similarity)
     early = shared.save(components(first), "components")
     named = [early.select(F.col("node").alias(n), F.col("component").alias(f"c{n}")) for n in "ab"]
     apart = stars.join(named[0], "a", "left").join(named[1], "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))

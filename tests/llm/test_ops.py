@@ -204,6 +204,28 @@ def test_keep_one_leaves_one_of_each_group(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(docs(spark, rows)).collect()) == [3, 7, 9]
 
 
+def test_near_duplicates_meet_at_the_limit_whatever_their_length(spark):
+    rows, pairs = [], {}
+    for n, more in ((8, 1), (13, 2), (44, 10), (94, 20), (204, 45), (204, 52)):  # shingles in common, and those of one text alone
+        for _ in range(60):
+            i = 2 * len(pairs)
+            text = words(n + more, i)
+            rows += [(i, " ".join(text[:n]), "s"), (i + 1, " ".join(text), "s")]
+            pairs[i] = 5 * (n - 4) >= 4 * (n - 4 + more)
+    got = {r.doc_id: r.group_key for r in simhash.near_duplicates(docs(spark, rows)).collect()}
+    assert {i: got[i] == got[i + 1] for i in pairs} == pairs and Counter(pairs.values()) == {True: 300, False: 60}
+    assert len(set(got.values())) == 300 + 2 * 60
+
+
+def test_near_duplicates_bounds_lose_nothing():
+    r = np.random.default_rng(3)
+    for _ in range(300):
+        a = np.unique(r.integers(0, 1 << 63, int(r.integers(1, 900))).astype(np.uint64))
+        b = np.unique(np.concatenate([r.permutation(a)[: int(len(a) * r.uniform(0.7, 1))], r.integers(0, 1 << 63, len(a) // 12).astype(np.uint64)]))
+        apart = len(np.setxor1d(a, b))
+        assert int(np.bitwise_count((simhash._bitmap(a) ^ simhash._bitmap(b)).view(np.uint64)).sum()) <= apart
+
+
 def test_png_round_trip_checksums_and_all_filters():
     r = np.random.default_rng(1)
     for x in (r.integers(0, 256, (50, 64)), np.tile(np.arange(64), (9, 1)), np.zeros((1, 64)), np.repeat(r.integers(0, 256, (1, 64)), 20, 0)):
