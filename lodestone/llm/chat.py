@@ -45,23 +45,52 @@ def unescape(text) -> F.Column:
     return F.replace(t, F.lit("\\s"), F.lit("\\"))
 
 
+def _alive(events: DataFrame) -> DataFrame:
+    """``events`` without those of turns that a later event of the conversation cuts off.
+
+    The events are dealt by ranges of conversation and sequence, so a long conversation is many tasks'
+    work: each looks at its own range and takes over the least turn that later ranges regenerate.
+    """
+    dealt = shared.save(events.repartitionByRange("conv_id", "seq").withColumn("part", F.spark_partition_id()), "ranges")
+    turn = F.when(F.col("op") == "regenerate", F.col("turn"))
+    per = dealt.groupBy("conv_id", "part").agg(F.min(turn).alias("m"))
+    after = per.withColumn("beyond", F.min("m").over(Window.partitionBy("conv_id").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)))
+    after = after.where("beyond is not null").select(F.col("conv_id").alias("__c"), F.col("part").alias("__p"), "beyond")
+    later = Window.partitionBy("conv_id", "part").orderBy(F.desc("seq")).rangeBetween(Window.unboundedPreceding, -1)
+    near = dealt.withColumn("cut", F.min(turn).over(later))
+    both = near.join(after, near["conv_id"].eqNullSafe(F.col("__c")) & (F.col("part") == F.col("__p")), "left")
+    return both.withColumn("cut", F.least("cut", "beyond")).where("cut is null or turn is null or cut >= turn").select(*events.columns)
+
+
 def fold(events: DataFrame) -> DataFrame:
-    """``events(conv_id, seq, op, turn, role, text)`` -> ``(conv_id, turn, role, text)``, final messages."""
-    e = events.select("conv_id", F.coalesce("seq", F.lit(-1)).cast("long").alias("seq"), "op", F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
-    again = e.where("op = 'regenerate'").select("conv_id").distinct()
-    same = e["conv_id"].eqNullSafe(again["conv_id"])
-    plain, cut = e.join(again, same, "left_anti"), e.join(again, same, "left_semi")
-    # the least turn that a later event of the conversation regenerates
-    later = Window.partitionBy("conv_id").orderBy(F.desc("seq")).rangeBetween(Window.unboundedPreceding, -1)
-    alive = cut.withColumn("cut", F.min(F.when(F.col("op") == "regenerate", F.col("turn"))).over(later)).where("cut is null or cut >= turn").drop("cut")
-    rows = plain.unionByName(alive)
-    # a turn's last setting event, and its last role, which an edit need not repeat
+    """``events(conv_id, seq, op, turn, role, text)`` -> ``(conv_id, turn, role, text)``, final messages.
+
+    A further column ``nth`` tells apart the messages that share a turn number; without it there are none.
+    A turn's text is that of its last setting event, in order of sequence, role and text, with the later
+    deltas; events of equal sequence set first and append then.
+    """
+    nth = F.col("nth") if "nth" in events.columns else F.lit(0)
+    e = events.select(
+        "conv_id", F.coalesce("seq", F.lit(-1)).cast("long").alias("seq"), "op", F.col("turn").cast("long").alias("turn"), nth.cast("long").alias("nth"), "role", F.coalesce("text", F.lit("")).alias("text")
+    )
+    again = shared.save(e.where("op = 'regenerate'").select(F.col("conv_id").alias("__c")).distinct(), "regenerated")
+    if not again.isEmpty():
+        same = e["conv_id"].eqNullSafe(again["__c"])
+        e = e.join(again, same, "left_anti").unionByName(_alive(e.join(again, same, "left_semi")))
+    # the last role, which an edit need not repeat
     role = F.max(F.when(F.col("role").isNotNull(), F.struct("seq", "role")))["role"]
-    last = rows.groupBy("conv_id", "turn").agg(F.max(F.when(F.col("op") != "delta", F.col("seq"))).alias("since"), role.alias("last_role"))
-    lj = last.select(F.col("conv_id").alias("__c"), F.col("turn").alias("__t"), "since", "last_role")
-    kept = rows.join(lj, rows["conv_id"].eqNullSafe(F.col("__c")) & rows["turn"].eqNullSafe(F.col("__t"))).where("since is null or seq >= since")
-    parts = F.array_sort(F.collect_list(F.struct("seq", (F.col("op") == "delta").alias("after"), "text")))
-    return kept.groupBy("conv_id", "turn").agg(F.first("last_role").alias("role"), F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text"))
+    one = F.struct("seq", (F.col("op") == "delta").alias("after"), F.coalesce("role", F.lit("")).alias("role"), "text")
+    turns = e.groupBy("conv_id", "turn", "nth").agg(role.alias("role"), F.array_sort(F.collect_list(one)).alias("parts"))
+    since = F.greatest(F.array_max(F.transform("parts", lambda p, i: F.when(p["after"], 0).otherwise(i + 1))), F.lit(1))
+    kept = F.slice("parts", since, F.size("parts"))
+    return turns.select("conv_id", "turn", "role", F.array_join(F.transform(kept, lambda p: p["text"]), "").alias("text"))
+
+
+def log(messages: DataFrame) -> DataFrame:
+    """``messages(conv_id, turn, role, text)`` as an event log for ``fold``: every row is a message of its own."""
+    w = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
+    told = messages.select("conv_id", "turn", "role", "text", F.row_number().over(w).alias("nth"))
+    return told.withColumn("op", F.lit("message")).withColumn("seq", F.monotonically_increasing_id())
 
 
 def render(messages: DataFrame, learned: str = LEARNED, piece: int = PIECE) -> DataFrame:
@@ -111,7 +140,7 @@ def op7_chat(spark, sf_dir: str) -> DataFrame:
     """Contract of operator 7 over the whole of ``conversations`` and conversation -1."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     extra = spark.sql("select -1L as conv_id, t.* from values (0L, 'user', '</s>[INST] ok [/INST]'), (1L, 'assistant', '</s>[INST] ok [/INST]') as t(turn, role, text)")
-    return digests(shared.save(render(rows.unionByName(extra)), "chat"))
+    return digests(shared.save(render(fold(log(rows.unionByName(extra)))), "chat"))
 
 
 ORACLE = r"""

@@ -167,6 +167,43 @@ def test_chat_fold_and_reversible_template(spark):
     assert [x for r in p for x in r.learned] == [t or "" for t in texts[1::2]]
 
 
+EVENTS = "conv_id long, seq long, op string, turn long, role string, text string"
+
+
+def test_chat_fold_takes_the_last_of_repeated_and_tied_events(spark):
+    ev = [
+        (1, 1, "message", 0, "user", "hi"), (1, 1, "message", 0, "user", "hi"), (1, 2, "message", 1, "assistant", "a"), (1, 3, "edit", 1, None, "b"), (1, 3, "edit", 1, None, "b"),
+        (2, 5, "message", 0, "user", "hey"), (2, 5, "edit", 0, "user", "hi"), (2, 5, "delta", 0, None, "!"), (2, 6, "delta", 0, None, "?"), (2, 6, "delta", 0, None, "?"), (None, None, "delta", None, "user", "x"),
+    ]
+    got = chat.fold(spark.createDataFrame(ev, EVENTS)).collect()
+    assert Counter((r.conv_id, r.turn, r.role, r.text) for r in got) == Counter([(1, 0, "user", "hi"), (1, 1, "assistant", "b"), (2, 0, "user", "hi!??"), (None, None, "user", "x")])
+
+
+def test_chat_fold_of_a_long_conversation_with_regenerations(spark):
+    r, ev = random.Random(4), []
+    for conv in (1, 1, 1, None, 2):
+        for _ in range(400):
+            ev.append((conv, len(ev), r.choice(["message", "edit", "delta", "delta", "delta", "regenerate"]), r.randrange(40), "user", f"{len(ev)} "))
+    want = {}
+    for conv, _, op, turn, _, text in ev:
+        if op == "regenerate":
+            want = {k: v for k, v in want.items() if k[0] != conv or k[1] < turn}
+        want[conv, turn] = "" if op == "regenerate" else want.get((conv, turn), "") + text if op == "delta" else text
+    ev = [(c, s, op, t, role, None if op == "regenerate" else x) for c, s, op, t, role, x in ev]
+    r.shuffle(ev)
+    assert {(x.conv_id, x.turn): x.text for x in chat.fold(spark.createDataFrame(ev, EVENTS)).collect()} == want
+
+
+def test_chat_query_folds_a_log(spark, monkeypatch, same):
+    called, fold = [], chat.fold
+    monkeypatch.setattr(chat, "fold", lambda e: called.append(1) or fold(e))
+    same(registry.QUERIES["op7_chat"](spark, SF), registry.ORACLES["op7_chat"])
+    assert called
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 0, None, "b"), (1, None, "user", None), (None, 0, "user", "c")]
+    m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert Counter((r.conv_id, r.turn, r.role, r.text or "") for r in chat.fold(chat.log(m)).collect()) == Counter((c, t, role, x or "") for c, t, role, x in rows)
+
+
 def test_mixing_meets_targets_and_reruns_agree(spark):
     rows = [(i, " ".join(["w"] * (i % 17)), None if i % 5 == 0 else f"s{i % 3}") for i in range(600)] + [(1, "w w w", "s0")] * 3
     got = [mixing.mix(docs(spark, rows)).collect() for _ in range(2)]
