@@ -30,8 +30,9 @@ from . import shared
 
 MAGIC = b"\x1f\x8b\x08"
 FILE_BYTES, RANGE_BYTES = 256 << 20, 16 << 20
-#: Read ahead at once; inflated bytes within which a header must end.
-STEP, HEADER_BYTES = 1 << 20, 1 << 16
+#: Read ahead at once; bytes inflated to tell a record from other data. A header may be of any length.
+STEP, FIRST_BYTES = 1 << 20, 1 << 16
+VERSION = b"WARC/1."
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
@@ -99,7 +100,6 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes: int = F
 def member(source, at: int, ahead: bytes = b""):
     """``(inflated bytes, place after the member)`` if a WARC record starts at ``at``, else None."""
     z, out, pos = zlib.decompressobj(31), bytearray(), at
-    checked = False
     try:
         while not z.eof:
             source.seek(pos)
@@ -107,15 +107,16 @@ def member(source, at: int, ahead: bytes = b""):
             if not chunk:
                 return None
             pos += len(chunk)
-            if not checked:
-                out += z.decompress(chunk, HEADER_BYTES)
-                if not out.startswith(b"WARC/1.") or b"\r\n\r\n" not in out and len(out) >= HEADER_BYTES:
+            if len(out) < len(VERSION):
+                out += z.decompress(chunk, FIRST_BYTES)
+                if not out.startswith(VERSION[: len(out)]):
                     return None
-                checked = True
                 chunk = z.unconsumed_tail
             out += z.decompress(chunk)
     except zlib.error:
         return None
+    if not out.startswith(VERSION) or b"\r\n\r\n" not in out:
+        return None
     return bytes(out), pos - len(z.unused_data)
 
 

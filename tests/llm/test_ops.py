@@ -143,6 +143,15 @@ def test_warc_round_trip_for_any_range(spark):
     assert gzip.decompress(one).startswith(b"WARC/1.1") and warc.member(io.BytesIO(b"\x1f\x8b\x08nothing"), 0) is None
 
 
+def test_warc_reads_records_with_long_headers(spark):
+    r = random.Random(6)
+    urls = ["data:" + "".join(r.choice("abcdefghij0123456789") for _ in range(n)) for n in (65_000, 66_000, 300_000, 2_500_000)]
+    files = warc.write(spark.createDataFrame([(i, u, f"p{i}") for i, u in enumerate(urls)], "page_id long, url string, html string").coalesce(1), shared.new_path(spark, "w"))
+    for size in (100_000, 1 << 24):
+        assert {x.page_id: (x.url, bytes(x.payload)) for x in warc.read(spark, files, range_bytes=size).collect()} == {i: (u, f"p{i}".encode()) for i, u in enumerate(urls)}
+    assert warc.member(io.BytesIO(gzip.compress(b"WARC/1.1 without an end")), 0) is None and warc.member(io.BytesIO(gzip.compress(b"WA")), 0) is None
+
+
 def test_line_dedup_keeps_first_copies(spark):
     long = " ".join(words(60, 8))
     rows = [(1, "a b\nc d\ne f\ng\n" + long, "s"), (2, "x\na b\nc d\ne f\ny\n\n" + long + "\nz", "s"), (3, "a b\nc d", "s"), (4, None, "s"), (5, "", "s"), (6, "a b\nc d\ne f", "s")]
