@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import shared
 
@@ -132,12 +133,22 @@ def _rounded(rows: DataFrame) -> DataFrame:
     return whole
 
 
+def _key(docs: DataFrame) -> F.Column:
+    """Hash of a row's columns, all of them. A hash passes over nulls, so their places are hashed as well."""
+    parts = []
+    for f in docs.schema.fields:
+        c = F.col("`" + f.name.replace("`", "``") + "`")
+        nested = isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))
+        parts += [c.isNull(), F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"}) if nested else c]
+    return F.xxhash64(*parts)
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, limit: float = LIMIT, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``(doc_id, source, size, source_size, target, copies, taken, key, nth)``: a row for each document.
 
     ``key`` and ``nth`` identify a document: a hash of its values, and a count where whole rows repeat.
     """
-    raw = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), sizes(F.col(text_col)).alias("size"), F.xxhash64(F.col(id_col), F.col(source_col), F.col(text_col)).alias("key"))
+    raw = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), sizes(F.col(text_col)).alias("size"), _key(docs).alias("key"))
     counted = shared.save(raw, "sizes")
     same = counted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     alone = counted.join(same, "key", "left_anti").withColumn("nth", F.lit(0))
@@ -159,7 +170,7 @@ def mix_rows(docs: DataFrame, weights=WEIGHTS, limit: float = LIMIT, id_col: str
     got = mix(docs, weights, limit, id_col, text_col, source_col)
     # rows that repeat whole are alike, so their copies may be summed and spread over any one of them
     total = got.where("copies > 0").groupBy(F.col("key").alias("__key")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
-    keyed = docs.withColumn("__key", F.xxhash64(F.col(id_col), F.col(source_col), F.col(text_col))).join(total, "__key")
+    keyed = docs.withColumn("__key", _key(docs)).join(total, "__key")
     one = keyed.where("__rows = 1")
     many = keyed.where("__rows > 1").dropDuplicates(["__key"])
     rest = one.unionByName(many).withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))

@@ -225,6 +225,13 @@ def test_mixing_meets_targets_and_reruns_agree(spark):
     assert len(got[0]) == len(rows) and all(abs(taken[s] - t) <= 17 for s, t in target.items())
 
 
+def test_mixing_keeps_rows_that_differ_in_other_columns(spark):
+    rows = [(1, "w w", "en", "a", None, {"k": 1}), (1, "w w", None, "a", "en", {"k": 1}), (1, "w w", "en", "a", None, {"k": 2}), (1, "w w", "de", "a", None, None), (1, "w w", "de", "a", None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, `x.y` string, m map<string,int>")
+    got = mixing.mix_rows(d).collect()  # one source is taken as it is
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, rows))
+
+
 def test_simhash_links_against_brute_force(spark):
     base = words(60, 1)
     rows = [(i, " ".join(base[: 60 - i % 3]), "a") for i in range(12)] + [(20 + i, " ".join(words(5, i)), "a") for i in range(30)] + [(90, None, "a"), (91, " ", "a")]
