@@ -107,7 +107,7 @@ def dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORD
     kept = shared.save(docs.withColumn("__uid", F.monotonically_increasing_id()), "numbered")
     rows = kept.select(F.col("__uid").alias("uid"), F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
     later, t = later_windows(rows, min_lines, min_words)
-    gone = later.select("uid", F.explode(F.sequence(F.col("i"), F.col("i") + F.col("length") - 1)).alias("i")).distinct()
+    gone = runs(later).select("uid", F.explode(F.sequence(F.col("i"), F.col("i") + F.col("lines") - 1)).alias("i")).distinct()
     places = t.select("uid", "i", "pos").join(gone, ["uid", "i"]).groupBy("uid").agg(F.sort_array(F.collect_list("pos")).alias("__gone"))
     got = kept.drop("lines_removed").join(places.withColumnRenamed("uid", "__uid"), "__uid", "left")
     # the lines between one deleted line and the next, so that the work stays in proportion to the text

@@ -176,6 +176,15 @@ def test_chat_fold_and_reversible_template(spark):
     assert [x for r in p for x in r.learned] == [t or "" for t in texts[1::2]]
 
 
+def test_line_dedup_deletes_maximal_runs(spark, monkeypatch, same):
+    seen, runs = [], line_dedup.runs
+    monkeypatch.setattr(line_dedup, "runs", lambda later: seen.append(runs(later)) or seen[-1])
+    rows = [(1, "p\nq\nr\ns\nt", "s"), (2, "q\nr\ns\nt\nu\nv\np\nq\nr", "s")]
+    got = {r.doc_id: (r.text, r.lines_removed) for r in line_dedup.dedup(docs(spark, rows)).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("u\nv", 7)}
+    assert sorted((r.i, r.lines, r.first_i) for r in seen[0].collect()) == [(1, 4, 2), (7, 3, 1)]
+
+
 EVENTS = "conv_id long, seq long, op string, turn long, role string, text string"
 
 
