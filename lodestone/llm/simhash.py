@@ -213,18 +213,29 @@ def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "node long, grams array<long>")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts, words: int, similarity: float) -> DataFrame:
-    """Of candidate pairs ``(a, b)`` those whose shingle sets are similar enough.
+def _facts(nodes: DataFrame, name: str) -> DataFrame:
+    """``nodes`` with its id as ``name`` and its size and bitmap as ``name_0`` and on."""
+    return nodes.select(F.col("node").alias(name), F.col("n").alias(f"{name}_0"), *[F.col(f"f{k}").alias(f"{name}_{k + 1}") for k in range(LANES)])
+
+
+def _may(similarity: float) -> F.Column:
+    """Whether the sets of ``a`` and ``b`` may be similar enough by their sizes and bitmaps; true of all that are.
 
     Each bit in which two bitmaps differ is a shingle that only one set has, and similar sets have at
-    most ``(1 - similarity) / (1 + similarity)`` of their members to themselves: the rest need no sets.
+    most ``(1 - similarity) / (1 + similarity)`` of their members to themselves.
     """
-    fp = [F.col("n"), *[F.col(f"f{k}") for k in range(LANES)]]
-    left = nodes.select(F.col("node").alias("a"), *[c.alias(f"x{k}") for k, c in enumerate(fp)])
-    right = nodes.select(F.col("node").alias("b"), *[c.alias(f"y{k}") for k, c in enumerate(fp)])
-    alone = sum((_far(f"x{k}", f"y{k}") for k in range(1, LANES + 1)), F.lit(0))
-    may = (alone <= (1 - similarity) / (1 + similarity) * (F.col("x0") + F.col("y0")) + 1e-6) & (F.least("x0", "y0") >= similarity * F.greatest("x0", "y0") - 1e-6)
-    near = shared.save(pairs.join(left, "a").join(right, "b").where(may).select("a", "b"), "near")
+    alone = sum((_far(f"a_{k}", f"b_{k}") for k in range(1, LANES + 1)), F.lit(0))
+    return (alone <= (1 - similarity) / (1 + similarity) * (F.col("a_0") + F.col("b_0")) + 1e-6) & (F.least("a_0", "b_0") >= similarity * F.greatest("a_0", "b_0") - 1e-6)
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, texts, words: int, similarity: float) -> DataFrame:
+    """Of candidate pairs ``(a, b)`` those whose shingle sets are similar enough, by their bounds first."""
+    return _exact(pairs.join(_facts(nodes, "a"), "a").join(_facts(nodes, "b"), "b").where(_may(similarity)).select("a", "b"), texts, words, similarity)
+
+
+def _exact(pairs: DataFrame, texts, words: int, similarity: float) -> DataFrame:
+    """Of pairs ``(a, b)`` those whose shingle sets are similar enough, by the sets."""
+    near = shared.save(pairs, "near")
     wanted = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
     sets = shared.save(_shingle_sets(texts(wanted), words), "sets")
     both = near.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("s")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("t")), "b")
@@ -237,13 +248,30 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts, words: int, similarity:
     return out
 
 
+def _across(placed: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``(a, b)`` of members ``placed(k, node, lead, component)`` of one bucket that lie in different components and may be similar.
+
+    The bounds are tested where the pairs meet, and a pair only in the least bucket that both are in, so
+    of a large group of copies too far from each other no more than the doubtful pairs come out.
+    """
+    mixed = placed.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("k")
+    held = shared.save(placed.join(mixed, "k"), "open")
+    places = held.groupBy("node").agg(F.collect_set("k").alias("ks"))  # at most one of each table
+    side = lambda v: held.select("k", "lead", F.col("node").alias(v), F.col("component").alias(f"c{v}")).join(_facts(nodes, v), v).join(places.select(F.col("node").alias(v), F.col("ks").alias(f"ks{v}")), v).drop(*(["lead"] if v == "b" else []))
+    met = side("a").join(side("b"), "k").where("a > b and ca <> cb and a <> lead and b <> lead").where(_may(similarity))
+    out = shared.save(met.where(F.array_min(F.array_intersect("ksa", "ksb")) == F.col("k")).select("a", "b"), "across")
+    shared.drop(held)
+    return out
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(row_key, doc_id, group_key)``: rows of one near-duplicate group share ``group_key``.
 
     Texts with equal sets of shingles are one node. Candidate pairs are first, in ``FIRST_TABLES``
     tables, each bucket's members with its least one, its lead; verified links give components. Then come
-    the members and leads of all buckets that lie in different components, and last all pairs across components in the buckets that still hold several: pairs within a component
-    add nothing. So a group of thousands of copies costs a few rows for each, and no candidate is lost.
+    the members and leads of all buckets that lie in different components, and last all pairs across
+    components in the buckets that still hold several: pairs within a component add nothing. So a group
+    of thousands of copies costs a few rows for each, and no candidate is lost.
     """
     sk = shared.save(_sketches(docs, words, id_col, text_col), "sketches")
     nodes = shared.save(
@@ -266,16 +294,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     links = first.union(_verified(apart.select("a", "b").distinct(), nodes, texts, words, similarity))
     comp = shared.save(components(links), "components")
     placed = members.where("n > 2").join(comp, "node", "left").select("k", "node", "lead", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("k")
-    open_ = shared.save(placed.join(mixed, "k"), "open")
-    x = open_.select("k", "lead", F.col("node").alias("a"), F.col("component").alias("ca"))
-    y = open_.select("k", F.col("node").alias("b"), F.col("component").alias("cb"))
-    across = x.join(y, "k").where("a > b and ca <> cb and a <> lead and b <> lead").select("a", "b").distinct()
-    second = _verified(across, nodes, texts, words, similarity)
+    across = _across(placed, nodes, similarity)
+    second = _exact(across, texts, words, similarity)
     final = components(links.union(second))
     groups = nodes.select("node").join(final, "node", "left").select("node", F.coalesce("component", "node").alias("group_key"))
     out = shared.save(sk.select("row_key", "doc_id", "node").join(groups, "node").select("row_key", "doc_id", "group_key"), "groups")
-    for t in (members, open_):
+    for t in (members, across, second, sk):
         shared.drop(t)
     return out
 
