@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 # fixed values
 STOP_WORDS = ("the", "a", "an", "and", "or", "is", "are", "to", "for", "of", "in", "on", "this", "that", "with", "from", "at", "by")
-SENSITIVE = r"(?i)password|secret|token|api_?key|connection_?string"
+SENSITIVE = r"(?i)password|passwd|secret|token|apikey|api_key|connectionstring|connstr|privatekey|clientsecret"
 
 
 def directory(path) -> F.Column:
@@ -26,11 +26,14 @@ def collapse(text) -> F.Column:
 
 
 def entropy(text) -> F.Column:
-    """Shannon entropy in bits per character; 0 for null and empty texts."""
-    n = F.char_length(text)
-    each = F.filter(F.array_distinct(F.split(text, "")), lambda c: c != "")
-    share = lambda c: (n - F.char_length(F.replace(text, c, F.lit("")))) / n
-    return F.coalesce(F.aggregate(each, F.lit(0.0), lambda a, c: a - share(c) * F.log2(share(c))), F.lit(0.0))
+    """Shannon entropy in bits per character; 0 for null and empty texts. The characters are sorted once and counted by runs."""
+    chars = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
+    n = F.size(chars)
+    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0.0).alias("sum"))
+    close = lambda a: F.when(a["run"] > 0, a["sum"] + a["run"] * F.log2(a["run"])).otherwise(a["sum"])
+    step = lambda a, c: F.when(a["last"] == c, F.struct(c.alias("last"), (a["run"] + 1).alias("run"), a["sum"].alias("sum"))).otherwise(F.struct(c.alias("last"), F.lit(1).alias("run"), close(a).alias("sum")))
+    total = F.aggregate(chars, start, step, close)
+    return F.coalesce(F.when(n > 0, F.greatest(F.lit(0.0), F.log2(n) - total / n)), F.lit(0.0))
 
 
 def natural_language(text) -> F.Column:
@@ -51,14 +54,17 @@ def port_like(value) -> F.Column:
 
 
 def version_weight(version) -> F.Column:
-    """Major + minor / 100 + patch / 10000 of the leading digits; null if there is no major number."""
-    part = lambda i: F.expr("cast(null as int)") if i is None else F.regexp_extract(F.coalesce(F.get(F.split(version, r"\."), F.lit(i)), F.lit("")), r"^(\d{1,9})", 1).try_cast("double")
-    return part(0) + F.coalesce(part(1), F.lit(0.0)) / 100 + F.coalesce(part(2), F.lit(0.0)) / 10000
+    """Major + minor / 100 + patch / 10000 by the leading digits of up to three parts, without a sign of comparison before; null if a part has no digits."""
+    bare = F.regexp_replace(F.trim(F.coalesce(version, F.lit(""))), r"^[=~^<>\s]+", "")
+    parts = F.slice(F.filter(F.split(bare, r"\."), lambda x: x != ""), 1, 3)
+    digits = F.transform(parts, lambda x: F.regexp_extract(x, r"^(\d{1,9})", 1).try_cast("double"))
+    weight = F.aggregate(F.zip_with(digits, F.array(F.lit(1.0), F.lit(0.01), F.lit(0.0001)), lambda d, w: F.when(d.isNotNull(), d * w)), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+    return F.when((F.size(digits) > 0) & ~F.exists(digits, lambda d: d.isNull()), weight)
 
 
 def staleness(current, latest) -> F.Column:
-    """How far ``latest`` is ahead, never below 0."""
-    return F.greatest(F.lit(0.0), version_weight(latest) - version_weight(current))
+    """How far ``latest`` is ahead, never below 0; 0 if either is missing or not a version."""
+    return F.greatest(F.lit(0.0), F.coalesce(version_weight(latest) - version_weight(current), F.lit(0.0)))
 
 
 def pinned(ecosystem, version) -> F.Column:

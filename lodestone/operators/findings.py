@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -54,9 +54,10 @@ def risk_ranking(findings: DataFrame, limit: int = 5) -> DataFrame:
 
 
 def rule_catalog(findings: DataFrame, rules: DataFrame) -> DataFrame:
-    """``rules(rule_id, default_severity)`` with totals over all runs and the effective state."""
-    joined = findings.join(rules, "rule_id", "right").groupBy("rule_id", "default_severity")
-    out = joined.agg(F.count("severity").alias("total"), F.count_if(F.col("severity") != F.col("default_severity")).alias("override_hits"))
+    """``rules(rule_id, default_severity)`` with totals over all runs and the effective state; findings are counted by rule and severity before the join."""
+    few = findings.groupBy("rule_id", "severity").agg(F.count("*").alias("n"))
+    joined = few.join(rules, "rule_id", "right").groupBy("rule_id", "default_severity")
+    out = joined.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.sum(F.when(F.col("severity") != F.col("default_severity"), F.col("n"))), F.lit(0)).alias("override_hits"))
     return out.withColumn("state", F.when(F.col("total") == 0, "No Findings").when(F.col("override_hits") > 0, "Overridden").otherwise("Enabled"))
 
 
@@ -72,10 +73,12 @@ def compare_counts(findings: DataFrame, baseline, target) -> DataFrame:
 
 
 def only_in(findings: DataFrame, run_id, other) -> DataFrame:
-    """First row of each fingerprint that the other run lacks."""
-    rows = _prints(findings, run_id).join(_prints(findings, other).select("fingerprint"), "fingerprint", "left_anti")
-    w = Window.partitionBy("fingerprint").orderBy("rule_id", "file_path", "line", severity_rank(), "confidence")
-    return rows.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+    """First row of each fingerprint that the other run lacks, by rule, path, line, severity and confidence; found by an aggregate, so few rows are shuffled."""
+    rows = _prints(findings, run_id).join(_prints(findings, other).select("fingerprint").distinct(), "fingerprint", "left_anti")
+    order = [F.col(c) for c in ("rule_id", "file_path", "line")] + [severity_rank().alias("__rank"), F.col("confidence")]
+    rest = [c for c in rows.columns if c not in ("fingerprint", "rule_id", "file_path", "line", "confidence")]
+    first = rows.groupBy("fingerprint").agg(F.min(F.struct(*order, *rest)).alias("r"))
+    return first.select(*[F.col("fingerprint") if c == "fingerprint" else F.col(f"r.{c}").alias(c) for c in findings.columns])
 
 
 def apply_policy(findings: DataFrame, policy: DataFrame, allowed: DataFrame) -> DataFrame:

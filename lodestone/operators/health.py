@@ -33,9 +33,8 @@ def dependency_rules(dependencies: DataFrame, advisories: DataFrame) -> DataFram
 
 def package_health(dependencies: DataFrame, latest: DataFrame) -> DataFrame:
     """``(ecosystem, name, pinned, staleness)`` of each package."""
-    d = dependencies.withColumn("bare", F.regexp_replace("version", r"^[=\[\s]+|[\]\s]+$", ""))
-    late = F.round(fn.staleness(F.col("bare"), F.col("latest")), 4)
-    j = d.join(latest, ["ecosystem", "name"], "left")
+    late = F.round(fn.staleness(F.regexp_replace("version", r"^\[|\]$", ""), F.col("latest")), 4)
+    j = dependencies.join(latest, ["ecosystem", "name"], "left")
     return j.groupBy("ecosystem", "name").agg(F.bool_and(fn.pinned(F.col("ecosystem"), F.col("version"))).alias("pinned"), F.max(late).alias("staleness"))
 
 

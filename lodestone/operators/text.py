@@ -18,8 +18,25 @@ def lines(files: DataFrame) -> DataFrame:
     return files.select("file_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "content")).select("file_id", (F.col("at") + 1).alias("line"), "content")
 
 
+def may_hit(files: DataFrame, rules=RULES) -> DataFrame:
+    """Files whose whole text matches a rule: the only ones worth opening into lines."""
+    return files.where(F.col("text").rlike("(?m)" + "|".join(f"(?:{p})" for _, _, p in rules)))
+
+
 def scan(files: DataFrame, rules=RULES) -> DataFrame:
     """``(file_id, line, rule_id, severity, matches)``: lines that a rule matches."""
     found = [F.struct(F.lit(r).alias("rule_id"), F.lit(s).alias("severity"), F.regexp_count("content", F.lit(p)).alias("matches")) for r, s, p in rules]
-    hits = lines(files).select("file_id", "line", F.explode(F.filter(F.array(*found), lambda x: x["matches"] > 0)).alias("hit"))
+    hits = lines(may_hit(files, rules)).select("file_id", "line", F.explode(F.filter(F.array(*found), lambda x: x["matches"] > 0)).alias("hit"))
     return hits.select("file_id", "line", "hit.rule_id", "hit.severity", "hit.matches")
+
+
+def rule_counts(files: DataFrame, rules=RULES) -> DataFrame:
+    """``(rule_id, severity, n)``: how many lines each rule matches, counted within each text before anything is exploded."""
+    split = F.split("text", "\n", -1)
+
+    def count(pattern: str):
+        return F.when(F.col("text").rlike(f"(?m){pattern}"), F.size(F.filter(split, lambda x: x.rlike(pattern)))).otherwise(0)
+
+    counts = [F.struct(F.lit(r).alias("rule_id"), F.lit(s).alias("severity"), count(p).alias("n")) for r, s, p in rules]
+    rows = may_hit(files, rules).select(F.explode(F.array(*counts)).alias("c")).select("c.*").where("n > 0")
+    return rows.groupBy("rule_id", "severity").agg(F.sum("n").alias("n"))

@@ -142,15 +142,18 @@ def text_scan(spark, sf_dir):
 
 @query(_scan_sql(f"select rule_id, {_PIVOT} from hits group by 1"))
 def rule_summary(spark, sf_dir):
-    return fo.pivot_by(text_scan(spark, sf_dir), "rule_id")
+    counts = to.rule_counts(table(spark, sf_dir, "documents").select("text"))
+    of = lambda s: F.coalesce(F.sum(F.when(F.col("severity") == s, F.col("n"))), F.lit(0)).alias(f"{s.lower()}_count")
+    return counts.groupBy("rule_id").agg(F.sum("n").alias("total"), of("Error"), of("Warning"), of("Info"))
 
 
 @query(
     f"with {COMMITS_SQL}, t as (select path, count(*) filter (where {_DAYS} <= 7) as commits_7d, count(*) filter (where {_DAYS} <= 14) as commits_14d, count(*) filter (where {_DAYS} <= 30) as commits_30d, "
-    "count(distinct author) as authors, cast(sum(greatest(0, lines)) as bigint) as lines_added from commits group by 1) select *, round(commits_30d * ln(1 + lines_added), 4) as churn_score from t"
+    "count(distinct author) as authors, cast(sum(greatest(0, lines)) as bigint) as lines_added, cast(sum(greatest(0, lines // 2)) as bigint) as lines_removed, max(ts) as last_commit_at from commits group by 1) select *, round(commits_30d * ln(1 + lines_added + lines_removed), 4) as churn_score from t"
 )
 def churn_file_metrics(spark, sf_dir):
-    return ho.churn(commits(spark, sf_dir), _now())
+    c = commits(spark, sf_dir).withColumn("added", F.col("lines")).withColumn("removed", F.floor(F.col("lines") / 2).cast("long"))
+    return ho.churn(c, _now(), (7, 14, 30))
 
 
 @query(
@@ -163,10 +166,10 @@ def gini_by_file(spark, sf_dir):
 
 @query(
     f"with {COMMITS_SQL}, a as (select path, author, count(*) as n, max(ts) as newest from commits group by 1, 2) "
-    "select path, author as top_author, round(n / cast(sum(n) over (partition by path) as double), 6) as top_author_pct from a qualify row_number() over (partition by path order by n desc, newest desc, author) = 1"
+    "select path, cast(author as varchar) as top_author, round(n / cast(sum(n) over (partition by path) as double), 6) as top_author_pct from a qualify row_number() over (partition by path order by n desc, newest desc, author) = 1"
 )
 def top_author(spark, sf_dir):
-    return ho.top_author(commits(spark, sf_dir))
+    return ho.top_author(commits(spark, sf_dir)).drop("top_author_last")
 
 
 @query(f"with {COMMITS_SQL}, f as (select path, count(*) as n from commits group by 1) select split_part(path, '/', 1) as module, round(quantile_cont(cast(n as double), 0.9), 6) as p90, count(*) as files from f group by 1")
@@ -174,25 +177,18 @@ def module_p90(spark, sf_dir):
     return ho.module_p90(commits(spark, sf_dir))
 
 
-@query(
-    f"with {TREE_SQL}, up as (select array_to_string(list_slice(string_split(path, '/'), 1, n), '/') as directory, size, metric from tree, range(1, 4) t(n)) "
-    "select directory, count(*) as files, cast(sum(size) as bigint) as size, round(sum(metric * size) / cast(sum(size) as double), 4) as metric from up group by 1"
-)
-def dir_aggregates(spark, sf_dir):
-    return ho.directories(tree(spark, sf_dir))
-
-
 @query(f"with {TREE_SQL} select count(*) as files, cast(sum(size) as bigint) as size, round(avg(metric), 4) as metric from tree where starts_with(path, 'ASIA/')")
 def dir_drilldown(spark, sf_dir):
     return ho.drilldown(tree(spark, sf_dir), "ASIA")
 
 
 @query(
-    f"with {COMMITS_SQL}, d as (select floor({_DAYS}) as days from commits), b as (select (days > 5)::int + (days > 10)::int + (days > 20)::int + (days > 25)::int as bucket from d), "
+    f"with {COMMITS_SQL}, d as (select case when lines % 11 <> 0 then floor({_DAYS} * 13) end as days from commits), b as (select case when days < 30 then 0 when days <= 90 then 1 when days <= 180 then 2 when days <= 365 then 3 else 4 end as bucket from d where days is not null), "
     "n as (select bucket, count(*) as n from b group by 1) select cast(t.i as int) as bucket, coalesce(n, 0) as n from range(0, 5) t(i) left join n on n.bucket = t.i"
 )
 def debt_aging(spark, sf_dir):
-    return ho.ageing(commits(spark, sf_dir), _now())
+    ages = commits(spark, sf_dir).select(F.when(F.col("lines") % 11 != 0, F.floor(ho.age_days(_now()) * 13)).alias("age_days"))
+    return ho.ageing(ages)
 
 
 @query(f"with {COMMITS_SQL} select path, " + ", ".join(f"case when count(*) filter (where kind = '{k}') > 0 then 'present' else 'missing' end as env_{k}" for k in KINDS) + " from commits group by 1")

@@ -66,9 +66,14 @@ _PINNED_SQL = r"case ecosystem when 'NuGet' then regexp_matches(version, '^(\d[\
 _BARE_SQL = r"regexp_replace(regexp_replace(version, '^[=\[\s]+', ''), '[\]\s]+$', '')"
 
 
+_UNBRACKETED = r"regexp_replace(regexp_replace(version, '^\[', ''), '\]$', '')"
+
+
 def _weight_sql(v: str) -> str:
-    part = lambda i: f"try_cast(regexp_extract(split_part({v}, '.', {i}), '^(\\d+)', 1) as double)"
-    return f"({part(1)} + coalesce({part(2)}, 0) / 100 + coalesce({part(3)}, 0) / 10000)"
+    token = f"regexp_replace(trim({v}), '^[=~^<>\\s]+', '')"
+    part = lambda i: f"try_cast(regexp_extract(split_part({token}, '.', {i}), '^(\\d+)', 1) as double)"
+    term = lambda i, w: f"case when split_part({token}, '.', {i}) = '' then 0 else {part(i)} * {w} end"
+    return f"({part(1)} + {term(2, 0.01)} + {term(3, 0.0001)})"
 
 
 def _inline(spark, rows: str, columns: str):
@@ -84,7 +89,7 @@ def dependency_rules(spark, sf_dir):
     return he.dependency_rules(_inline(spark, _DEPS, "ecosystem, name, version"), _inline(spark, _ADVISORIES, "ecosystem, name, version, advisory_id, score"))
 
 
-@query(f"with {_DEPS_SQL}, b as (select *, {_BARE_SQL} as bare, {_PINNED_SQL} as p from d) select ecosystem, name, bool_and(p) as pinned, max(round(greatest(0.0, coalesce({_weight_sql('latest')} - {_weight_sql('bare')}, 0.0)), 4)) as staleness from b left join l using (ecosystem, name) group by 1, 2")
+@query(f"with {_DEPS_SQL}, b as (select *, {_BARE_SQL} as bare, {_PINNED_SQL} as p from d) select ecosystem, name, bool_and(p) as pinned, max(round(greatest(0.0, coalesce({_weight_sql('latest')} - {_weight_sql(_UNBRACKETED)}, 0.0)), 4)) as staleness from b left join l using (ecosystem, name) group by 1, 2")
 def dependency_health(spark, sf_dir):
     return he.package_health(_inline(spark, _DEPS, "ecosystem, name, version"), _inline(spark, _LATEST, "ecosystem, name, latest"))
 
@@ -124,7 +129,7 @@ def custom_rules(spark, sf_dir):
     f"with {COMMITS_SQL}, a as (select path, author, count(*) as n, max(ts) as newest from commits group by 1, 2), r as (select *, row_number() over (partition by path order by n) as i, count(*) over (partition by path) as m from a), "
     "c as (select path, round(case when max(m) = 1 then 1.0 else greatest(0.0, least(1.0, 2.0 * cast(sum(i * n) as double) / (max(m) * cast(sum(n) as double)) - (max(m) + 1.0) / max(m))) end, 6) as concentration from r group by 1), "
     "t as (select * from a qualify row_number() over (partition by path order by n desc, newest desc, author) = 1) "
-    f"select path, author, concentration from t join c using (path) where concentration > 0.1 and epoch_us(timestamp '{NOW}') - epoch_us(newest) > 3 * 86400000000"
+    f"select path, cast(author as varchar) as author, concentration from t join c using (path) where concentration > 0.1 and epoch_us(timestamp '{NOW}') - epoch_us(newest) > 3 * 86400000000"
 )
 def churn_ownership(spark, sf_dir):
     c = commits(spark, sf_dir)
