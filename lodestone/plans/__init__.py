@@ -1 +1 @@
-from . import catalogue, code  # noqa: F401  (registers the queries of both)
+from . import catalogue, code, detectors, reports, scans  # noqa: F401  (registers the queries of all)

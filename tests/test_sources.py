@@ -1,7 +1,7 @@
 from lodestone.functions import scalars as fn
 from lodestone.operators import lines as lo
 from lodestone.operators import text as to
-from lodestone.sources import export, files
+from lodestone.sources import export, files, manifests
 from pyspark.sql import functions as F
 
 
@@ -15,7 +15,7 @@ def test_discovery_leaves_out_generated_hidden_and_large_files(spark, tmp_path):
         (tmp_path / name).write_bytes(b"x" * (3000 if name == "big.md" else 3) if name != "bad.txt" else b"a\xff")
     got = files.discover(spark, str(tmp_path), 1000)
     assert rows(got, "path", "category") == [("bad.txt", "Docs"), ("conf/e.json", "Config"), ("src/a.py", "Source")]
-    assert {r.path: r.text for r in got.collect()}["bad.txt"] is None
+    assert {r.path: r.text for r in got.collect()}["bad.txt"] == "a\ufffd"  # as any reader that replaces what it cannot decode
 
 
 def test_manifests_of_four_ecosystems(spark):
@@ -26,10 +26,10 @@ def test_manifests_of_four_ecosystems(spark):
         ("package.json", '{"dependencies": {"zeta": "^1.0.0"}, "devDependencies": {"eta": "2.0.0"}}'),
         ("package.json", "{}"), ("empty/Cargo.toml", None),
     ]
-    got = files.manifests(spark.createDataFrame(texts, "path string, text string"))
+    got = manifests.dependencies(spark.createDataFrame(texts, "path string, text string"))
     assert rows(got, "ecosystem", "name", "version", "line") == [
-        ("NuGet", "Gamma", "3.0.1", 2), ("PyPI", "alpha", "==1.2", 2), ("PyPI", "beta", ">=2", 3),
-        ("crates.io", "delta", "0.4", 4), ("crates.io", "eps", "=1.0", 5), ("npm", "eta", "2.0.0", 1), ("npm", "zeta", "^1.0.0", 1),
+        ("Cargo", "delta", "0.4", 4), ("Cargo", "eps", "=1.0", 5), ("NuGet", "Gamma", "3.0.1", 2), ("PyPI", "alpha", "==1.2", 2), ("PyPI", "beta", ">=2", 3),
+        ("npm", "eta", "2.0.0", 1), ("npm", "zeta", "^1.0.0", 1),
     ]
 
 
