@@ -26,10 +26,8 @@ from pyspark.sql import functions as F
 
 #: Labelled rows that the fit reads at most: those with the least hashes of their ids.
 MAX_ROWS = 40_000
-#: Word features that the fit weighs at most, the most frequent in toxic rows first.
-MAX_FEATURES = 200_000
-#: Entries of a lexicon at most.
-MAX_ENTRIES = 5_000
+#: Toxic rows that must have an entry, its log-odds and its log-likelihood ratio, at least.
+LEAST_ROWS, LEAST_ODDS, LEAST_RATIO = 4, 2.5, 15.0
 THRESHOLD = 0.7
 
 BASE_WORDS = ("idiot", "moron", "stupid", "scum", "worthless", "pathetic", "disgusting", "loser", "trash", "imbecile", "retard", "bastard", "bitch", "asshole", "fuck", "shit", "cunt", "whore", "slut", "vermin", "subhuman", "degenerate")
@@ -65,10 +63,10 @@ def fold(text: str | None) -> str:
 
 
 def features(folded: str) -> set[str]:
-    """Words (``word=``) and their beginnings of 4 to 6 letters."""
+    """Words of three letters or more (``word=``) and their beginnings of 4 to 6 letters."""
     out = set()
     for w in set(_WORD.findall(folded)):
-        if 3 <= len(w) <= 40:
+        if len(w) > 2:
             out.add(f"{w}=")
             out.update(w[:k] for k in (4, 5, 6) if len(w) >= k)
     return out
@@ -143,24 +141,27 @@ def _curve(points: np.ndarray, labels: np.ndarray) -> tuple[float, float, float]
     return tuple(map(float, w))
 
 
-def _counted(rows: DataFrame, keep: set[str] | None) -> DataFrame:
-    """``(feature, n)``: rows that have it, summed within each task first."""
+def _counted(rows: DataFrame) -> DataFrame:
+    """``rows(toxic, text)`` -> ``(feature, a, b)``: toxic and other rows that have it, summed within each task first."""
 
     def run(batches):
-        for b in batches:
-            texts = b.column(0).to_pylist()
-            for i in range(0, len(texts), 500):
-                c: Counter = Counter()
-                for t in texts[i : i + 500]:
-                    f = features(fold(t))
-                    c.update(f if keep is None else f & keep)
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["feature", "n"])
+        for batch in batches:
+            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            for i in range(0, len(rows), 500):
+                counts: tuple[Counter, Counter] = (Counter(), Counter())
+                for toxic, t in rows[i : i + 500]:
+                    counts[0 if toxic == 1 else 1].update(features(fold(t)))
+                names = list(counts[0] | counts[1])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array([c[n] for n in names], pa.int64()) for c in counts]], names=["feature", "a", "b"])
 
-    return rows.select("text").mapInArrow(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    return rows.select("toxic", "text").mapInArrow(run, "feature string, a long, b long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
 def _signed_texts(rows: DataFrame) -> DataFrame:
-    """``(toxic, text)`` with one text of each group that shares its least word-shingle hash: copies count once."""
+    """``(toxic, text)`` with one row for each group of texts that share their least word-shingle hash, so that copies count once.
+
+    The group's text is the least one and its label the worst, whatever the order of rows. Texts without words are one group.
+    """
 
     def run(batches):
         from .simhash import shingle_hashes
@@ -173,7 +174,8 @@ def _signed_texts(rows: DataFrame) -> DataFrame:
                 sign.append(int(h.min().view(np.int64)) if len(h) else 0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sign, pa.int64())], names=["toxic", "text", "sign"])
 
-    return rows.mapInArrow(run, "toxic int, text string, sign long").dropDuplicates(["sign"])
+    signed = rows.mapInArrow(run, "toxic int, text string, sign long")
+    return signed.groupBy("sign").agg(F.max("toxic").alias("toxic"), F.min(F.coalesce("text", F.lit(""))).alias("text")).drop("sign")
 
 
 def learning(doc_id) -> F.Column:
@@ -184,8 +186,9 @@ def learning(doc_id) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Lexicon:
     """Learn a lexicon from at most ``max_rows`` labelled rows on the learning side of the split.
 
-    An entry needs four toxic rows at least and a log-likelihood ratio of 15 or more. Only counts of
-    word features and two numbers a sampled row come to the driver; both are bounded by the limits.
+    An entry needs ``LEAST_ROWS`` toxic rows, and odds and a ratio that tell it from chance. The entries
+    found, the counts of the built-in words and two numbers a sampled row come to the driver: as many as
+    the sample can hold, whatever the size of the corpus.
     """
     from . import shared
 
@@ -199,32 +202,31 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: st
     joined = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "__id")
     rows = shared.save(_signed_texts(joined.select("toxic", "text")), "labelled")
     size = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    pos, neg = size.get(1, 0), size.get(0, 0)
+    pos, neg = size.get(1, 0), sum(n for t, n in size.items() if t != 1)
     lexicon = Lexicon()
     if pos and neg:
-        common = _counted(rows.where("toxic = 1"), None).where("n >= 4").orderBy(F.desc("n"), "feature").limit(MAX_FEATURES)
-        t = dict.fromkeys(lexicon.weights, 0) | {r.feature: r.n for r in common.collect()}
-        n = {r.feature: r.n for r in _counted(rows.where("toxic = 0"), set(t)).collect()}
-        scored = []
-        for f, a in t.items():
-            b = n.get(f, 0)
-            odds = math.log((a + 0.5) / (pos + 1)) - math.log((b + 0.5) / (neg + 1))
-            share = (a + b) / (pos + neg)
-            ratio = 2 * sum(x * math.log(x / (y * share)) for x, y in ((a, pos), (b, neg)) if x)
-            if odds > 2.5 and ratio >= 15:
-                scored.append((ratio, f, odds))
-            if f in lexicon.weights and b > 2 and odds < 1:
-                del lexicon.weights[f]
+        a, b = F.col("a").cast("double"), F.col("b").cast("double")
+        odds = F.ln((a + 0.5) / (pos + 1)) - F.ln((b + 0.5) / (neg + 1))
+        share = (a + b) / (pos + neg)
+        part = lambda x, n: F.when(x > 0, x * F.ln(x / (n * share))).otherwise(0.0)
+        base = F.col("feature").isin(*lexicon.weights)
+        told = _counted(rows).withColumn("odds", odds).withColumn("ratio", 2 * (part(a, pos) + part(b, neg)))
+        found = told.where((F.col("a") >= LEAST_ROWS) & (F.col("odds") > LEAST_ODDS) & (F.col("ratio") >= LEAST_RATIO) | base).collect()
+        t = {r.feature: r.a for r in found}
+        for r in found:
+            if r.feature in lexicon.weights and r.b > 2 and r.odds < 1:
+                del lexicon.weights[r.feature]
+        scored = [(r.ratio, r.feature, r.odds) for r in found if r.a >= LEAST_ROWS and r.odds > LEAST_ODDS and r.ratio >= LEAST_RATIO]
         fullest: dict[str, int] = {}  # by beginning: the count of its most frequent longer entry
         for _, f, _ in scored:
             for k in (4, 5, 6):
                 if len(f) > k and f[:k] != f:
                     fullest[f[:k]] = max(fullest.get(f[:k], 0), t[f])
         scored = [x for x in scored if fullest.get(x[1], 0) < 0.8 * t[x[1]]]  # "path" goes where "pathetic" says it all
-        lexicon.weights |= {f: odds for _, f, odds in sorted(scored, reverse=True)[:MAX_ENTRIES]}
-        found = measured(rows, lexicon).select("toxic", "weight", "words").toPandas()
-        points = np.array([_inputs(w, k) for w, k in zip(found.weight, found.words, strict=True)])
-        lexicon.curve = _curve(points, found.toxic.to_numpy(dtype=float))
+        lexicon.weights |= {f: odds for _, f, odds in sorted(scored, reverse=True)}
+        seen = measured(rows, lexicon).groupBy("toxic", "weight", "words").agg(F.count("*").alias("n")).orderBy("toxic", "weight", "words").toPandas()
+        points = np.array([_inputs(w, k) for w, k in zip(seen.weight, seen.words, strict=True)])
+        lexicon.curve = _curve(np.repeat(points, seen.n, axis=0), np.repeat((seen.toxic == 1).to_numpy(dtype=float), seen.n))
     shared.drop(rows)
     return lexicon
 
