@@ -36,6 +36,8 @@ from . import shared
 SEEDS = ("1101111", "1100010111", "11011000011", "1111101")
 MIN_WORDS, IDENTITY = 13, 0.8
 BLOCK_WORDS = 1_000_000
+#: Hits looked at together, so that a text of equal words needs no more memory than this.
+HITS = 1 << 20
 _WORD = re.compile(r"[^\W_]+")
 _ODD = (2 * np.arange(1, 4097, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -103,7 +105,8 @@ class Block:
 
     def matches(self, words: np.ndarray, min_words: int, identity: float, first: bool = False) -> list:
         """``(item, start, length, equal)``: the best verified stretch for each item; the first found if ``first``."""
-        tried, best = set(), {}
+        best: dict = {}
+        tried = np.zeros(0, np.int64)
         for m, h, at, table in zip(self.masks, self.hashes, self.where, self.filters, strict=True):
             if not len(h) or len(words) < len(m):
                 continue
@@ -112,12 +115,15 @@ class Block:
             if not len(maybe):
                 continue
             lo, hi = np.searchsorted(h, x[maybe], "left"), np.searchsorted(h, x[maybe], "right")
-            for p, a, b in zip(maybe[lo < hi], lo[lo < hi], hi[lo < hi], strict=True):
-                for i, q in at[a:b].tolist():
-                    d = int(p) - q
-                    if (i, d) in tried:
-                        continue
-                    tried.add((i, d))
+            for places in _pieces(hi - lo):
+                a, n = lo[places], (hi - lo)[places]
+                # each hit's row of the table, and from it the item and the diagonal, once for each
+                row = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+                item, shift = at[row, 0], np.repeat(maybe[places], n) - at[row, 1]
+                lines = np.setdiff1d(np.unique((item << 40) + (shift + (1 << 39))), tried)
+                tried = np.union1d(tried, lines)
+                for line in lines.tolist():
+                    i, d = line >> 40, (line & ((1 << 40) - 1)) - (1 << 39)
                     got = stretch(words, self.items[i][2], d, min_words, identity)
                     if got and (i not in best or (got[1], -got[0]) > (best[i][1], -best[i][0])):
                         best[i] = got
@@ -126,6 +132,17 @@ class Block:
         return [(i, *v) for i, v in sorted(best.items())]
 
 
+def _pieces(counts: np.ndarray):
+    """Slices of ``counts`` without its zeros, as index arrays, of at most ``HITS`` hits or one window's."""
+    used = np.flatnonzero(counts)
+    start = 0
+    total = np.concatenate([[0], np.cumsum(counts[used])])
+    while start < len(used):
+        stop = max(start + 1, int(np.searchsorted(total, total[start] + HITS, "right")) - 1)
+        yield used[start:stop]
+        start = stop
+
+
 def equal_run(n: int, identity: float) -> int:
     """Length of the equal run that ``n`` words must have if ``identity`` of them are equal."""
     unequal = int(n * (1 - identity) + 1e-9)
@@ -187,14 +204,14 @@ def _merged(items: list) -> list:
     return [x for x in by.values() if len(x[2])]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, seeds=SEEDS, min_words: int = MIN_WORDS, identity: float = IDENTITY, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, seeds=SEEDS, min_words: int = MIN_WORDS, identity: float = IDENTITY, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """``(doc_id, item_id, n_items, start_word, length, equal)``: each document with each item found in it."""
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
-    item_kind = benchmark.schema["item_id"].dataType.simpleString()
+    item_kind = benchmark.schema[item_col].dataType.simpleString()
     schema = f"doc_id {kind}, item_id {item_kind}, n_items long, start_word long, length long, equal long"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = spark.createDataFrame([], schema)
-    for block in blocks(benchmark, seeds, block_words, min_words, identity):
+    for block in blocks(benchmark, seeds, block_words, min_words, identity, item_col):
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches, sent=sent):
