@@ -10,7 +10,8 @@ prefixes only split intervals, and a suffix whose rank is unique is carried no f
 has an equal earlier one. Windows side by side with the same first copy make up the maximal runs.
 
 What counts as a repeated run: ``min_lines`` lines, or fewer lines (one or two) of ``min_words`` words
-together. The first copy, by doc_id and line, stays; later ones are deleted.
+together. The first copy, by doc_id and line, stays whole; later ones are deleted, and of a run that
+overlaps its own first copy the lines behind that copy.
 
 Defined results: lines without words are not part of the sequences and stay; a null text stays null, has
 no lines and loses none; a null doc_id comes last in order; repeated rows are copies like any other; an
@@ -93,30 +94,36 @@ def later_windows(rows: DataFrame, min_lines: int = MIN_LINES, min_words: int =
 
 
 def runs(later: DataFrame) -> DataFrame:
-    """Maximal repeated runs: ``(uid, i, lines, first_uid, first_i)``, windows side by side with one first copy merged."""
+    """Maximal repeated runs: ``(uid, i, lines, first_uid, first_i, gone)``, windows side by side at one distance from their first copies merged.
+
+    ``gone`` is the first line to delete: ``i``, or, where a run overlaps its own first copy (a line or a
+    few lines repeated over and over), the first line behind that copy, which stays whole.
+    """
     w = Window.partitionBy("uid", "first.uid", F.col("i") - F.col("first.i")).orderBy("i", "length")
     reach = F.max(F.col("i") + F.col("length")).over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = later.withColumn("new", F.coalesce((F.col("i") > reach).cast("int"), F.lit(1)))
     named = marked.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     g = named.groupBy("uid", F.col("first.uid").alias("first_uid"), (F.col("i") - F.col("first.i")).alias("apart"), "run")
-    return g.agg(F.min("i").alias("i"), F.max(F.col("i") + F.col("length")).alias("end")).select("uid", "i", (F.col("end") - F.col("i")).alias("lines"), "first_uid", (F.col("i") - F.col("apart")).alias("first_i"))
+    own = F.when(F.col("uid") == F.col("first_uid"), F.greatest("i", F.col("end") - F.col("apart"))).otherwise(F.col("i"))
+    return g.agg(F.min("i").alias("i"), F.max(F.col("i") + F.col("length")).alias("end")).select("uid", "i", (F.col("end") - F.col("i")).alias("lines"), "first_uid", (F.col("i") - F.col("apart")).alias("first_i"), own.alias("gone"))
 
 
 def dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with later copies deleted from their texts, and ``lines_removed`` (in place of a column of that name)."""
-    kept = shared.save(docs.withColumn("__uid", F.monotonically_increasing_id()), "numbered")
-    rows = kept.select(F.col("__uid").alias("uid"), F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    uid, gone_at, parts_at = (shared.free(docs, c) for c in ("uid", "gone", "parts"))
+    kept = shared.save(docs.withColumn(uid, F.monotonically_increasing_id()), "numbered")
+    rows = kept.select(F.col(uid).alias("uid"), F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
     later, t = later_windows(rows, min_lines, min_words)
-    gone = runs(later).select("uid", F.explode(F.sequence(F.col("i"), F.col("i") + F.col("lines") - 1)).alias("i")).distinct()
-    places = t.select("uid", "i", "pos").join(gone, ["uid", "i"]).groupBy("uid").agg(F.sort_array(F.collect_list("pos")).alias("__gone"))
-    got = kept.drop("lines_removed").join(places.withColumnRenamed("uid", "__uid"), "__uid", "left")
+    gone = runs(later).select("uid", F.explode(F.sequence(F.col("gone"), F.col("i") + F.col("lines") - 1)).alias("i")).distinct()
+    places = t.select("uid", "i", "pos").join(gone, ["uid", "i"]).groupBy(F.col("uid").alias(uid)).agg(F.sort_array(F.collect_list("pos")).alias(gone_at))
+    got = kept.drop("lines_removed").join(places, uid, "left")
     # the lines between one deleted line and the next, so that the work stays in proportion to the text
-    parts = F.split(F.col(text_col), "\n", -1)
-    bounds, ends = F.concat(F.array(F.lit(-1)), F.col("__gone")), F.concat(F.col("__gone"), F.array(F.size("__parts")))
-    pieces = F.zip_with(bounds, ends, lambda a, b: F.slice(F.col("__parts"), a + 2, b - a - 1))
-    out = got.withColumn("__parts", F.when(F.col("__gone").isNotNull(), parts))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.flatten(pieces), "\n"))
-    return out.withColumn(text_col, text).withColumn("lines_removed", F.when(F.col("__gone").isNotNull(), F.size("__gone")).otherwise(0).cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns if c != "lines_removed"], "lines_removed")
+    split = F.split(F.col(text_col), "\n", -1)
+    bounds, ends = F.concat(F.array(F.lit(-1)), F.col(gone_at)), F.concat(F.col(gone_at), F.array(F.size(parts_at)))
+    pieces = F.zip_with(bounds, ends, lambda a, b: F.slice(F.col(parts_at), a + 2, b - a - 1))
+    out = got.withColumn(parts_at, F.when(F.col(gone_at).isNotNull(), split))
+    text = F.when(F.col(gone_at).isNull(), F.col(text_col)).otherwise(F.array_join(F.flatten(pieces), "\n"))
+    return out.withColumn(text_col, text).withColumn("lines_removed", F.when(F.col(gone_at).isNotNull(), F.size(gone_at)).otherwise(0).cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns if c != "lines_removed"], "lines_removed")
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
@@ -140,8 +147,11 @@ wins as (
   union all select doc_id, i, 2, md5(line || chr(10) || l2) from w where w2 >= 50
   union all select doc_id, i, 3, md5(line || chr(10) || l2 || chr(10) || l3) from w where l3 is not null),
 later as (
-  select doc_id, i, n from (select *, row_number() over (partition by n, k order by doc_id, i) as o from wins) where o > 1),
-gone as (select distinct doc_id, i + j as i from later, range(0, 3) t(j) where j < n),
+  select * from (select doc_id, i, n, first_value(doc_id) over o as fd, first_value(i) over o as fi, row_number() over o as nth from wins window o as (partition by n, k order by doc_id, i)) where nth > 1),
+joined as (select *, coalesce(i > max(i + n) over (partition by doc_id, fd, i - fi order by i, n rows between unbounded preceding and 1 preceding), true) as new from later),
+named as (select *, sum(new::int) over (partition by doc_id, fd, i - fi order by i, n rows unbounded preceding) as run from joined),
+runs as (select doc_id, fd, i - fi as apart, min(i) as i, max(i + n) as stop from named group by doc_id, fd, i - fi, run),
+gone as (select distinct doc_id, unnest(range(case when doc_id = fd then greatest(i, stop - apart) else i end, stop)) as i from runs),
 marked as (
   select l.doc_id, l.pos, l.line, g.i is not null as removed
   from lines l left join used u on u.doc_id = l.doc_id and u.pos = l.pos left join gone g on g.doc_id = u.doc_id and g.i = u.i),

@@ -143,6 +143,21 @@ def _key(docs: DataFrame) -> F.Column:
     return F.xxhash64(*parts)
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``nth``: 0 for a ``key`` that occurs once, else 0, 1, 2 ... over the rows of the key, which are alike.
+
+    The rows of a frequent key are numbered within parts, and each part goes on from those before it, so
+    the numbers are the same however the rows are dealt and no task gathers a whole key.
+    """
+    same = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    alone = rows.join(same, "key", "left_anti").withColumn("nth", F.lit(0).cast("long"))
+    again = shared.save(rows.join(same, "key", "left_semi").withColumn("part", F.spark_partition_id()), "repeated")
+    w = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = again.groupBy("key", "part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).drop("n")
+    inside = again.withColumn("inside", F.row_number().over(Window.partitionBy("key", "part").orderBy("key")) - 1)
+    return alone.unionByName(inside.join(before, ["key", "part"]).withColumn("nth", F.col("before") + F.col("inside")).drop("part", "before", "inside"))
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, limit: float = LIMIT, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``(doc_id, source, size, source_size, target, copies, taken, key, nth)``: a row for each document.
 
@@ -150,10 +165,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, limit: float = LIMIT, id_col: str = "d
     """
     raw = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), sizes(F.col(text_col)).alias("size"), _key(docs).alias("key"))
     counted = shared.save(raw, "sizes")
-    same = counted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    alone = counted.join(same, "key", "left_anti").withColumn("nth", F.lit(0))
-    again = counted.join(same, "key", "left_semi").withColumn("part", F.spark_partition_id()).withColumn("nth", F.row_number().over(Window.partitionBy("key", "part").orderBy("doc_id")) * 1_000_003 + F.col("part"))
-    rows = alone.unionByName(again.drop("part"))
+    rows = numbered(counted)
     plan = targets(counted.groupBy("source").agg(F.sum("size").alias("source_size")), weights, limit)
     plan = shared.save(plan.withColumn("sid", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull())), "targets")
     due = (F.col("target") / F.greatest("source_size", F.lit(1))).alias("due")
@@ -169,11 +181,11 @@ def mix_rows(docs: DataFrame, weights=WEIGHTS, limit: float = LIMIT, id_col: str
     """``docs`` with each row repeated as often as the mix takes it; same columns."""
     got = mix(docs, weights, limit, id_col, text_col, source_col)
     # rows that repeat whole are alike, so their copies may be summed and spread over any one of them
-    total = got.where("copies > 0").groupBy(F.col("key").alias("__key")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
-    keyed = docs.withColumn("__key", _key(docs)).join(total, "__key")
-    one = keyed.where("__rows = 1")
-    many = keyed.where("__rows > 1").dropDuplicates(["__key"])
-    rest = one.unionByName(many).withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+    key, copies, many = (shared.free(docs, c) for c in ("row_key", "copies", "rows"))
+    total = got.where("copies > 0").groupBy(F.col("key").alias(key)).agg(F.sum("copies").alias(copies), F.count("*").alias(many))
+    keyed = docs.withColumn(key, _key(docs)).join(total, key)
+    rest = keyed.where(F.col(many) == 1).unionByName(keyed.where(F.col(many) > 1).dropDuplicates([key]))
+    rest = rest.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))))
     return rest.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

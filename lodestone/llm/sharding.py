@@ -66,18 +66,30 @@ def assign(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
     return out.withColumn("oversize", F.col("shard_bytes") > limit)
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a row number, written once so that it stays."""
-    return shared.save(docs.withColumn("__uid", F.monotonically_increasing_id()), "numbered")
-
-
 def shard_rows(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``shard``, ``shard_bytes`` and ``oversize`` (in place of columns of those names)."""
-    kept = _numbered(docs)
+    uid = shared.free(docs, "uid")
+    kept = shared.save(docs.withColumn(uid, F.monotonically_increasing_id()), "numbered")  # written once, so that the numbers stay
     size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long")
-    slim = kept.select(F.col("__uid").alias("uid"), address(F.col(id_col), F.col(text_col), F.col("__uid")).alias("address"), size.alias("n_bytes"))
-    got = assign(slim, limit).select(F.col("uid").alias("__uid"), "shard", "shard_bytes", "oversize")
-    return kept.drop("shard", "shard_bytes", "oversize").join(got, "__uid").drop("__uid")
+    slim = kept.select(F.col(uid).alias("uid"), address(F.col(id_col), F.col(text_col), F.col(uid)).alias("address"), size.alias("n_bytes"))
+    got = assign(slim, limit).select(F.col("uid").alias(uid), "shard", "shard_bytes", "oversize")
+    return kept.drop("shard", "shard_bytes", "oversize").join(got, uid).drop(uid)
+
+
+def directory(sharded: DataFrame) -> DataFrame:
+    """``(shard, depth, shard_bytes, documents)``: the buckets of the directory, from sharded rows; no prefix is the beginning of another."""
+    return sharded.groupBy("shard").agg(F.char_length("shard").alias("depth"), F.min("shard_bytes").alias("shard_bytes"), F.count("*").alias("documents"))
+
+
+def look_up(keys: DataFrame, buckets: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``keys`` with the ``shard`` that a document of that id is in, by the first 32 bits of its address; null if none, or deeper buckets tell rows of one id apart."""
+    bits = F.lpad(F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 2), 32, "0")
+    at = shared.free(keys, "prefix")
+    depths = buckets.where("depth <= 32").agg(F.array_sort(F.collect_set("depth")).alias("depths"))  # at most 33 numbers
+    tried = keys.withColumn(shared.free(keys, "bits"), bits).join(F.broadcast(depths))
+    tried = tried.select(*[F.col(f"`{c}`") for c in keys.columns], F.explode_outer(F.transform("depths", lambda d: F.substring(F.col(shared.free(keys, "bits")), F.lit(1), d))).alias(at))
+    found = tried.join(buckets.where("depth <= 32").select(F.col("shard").alias(at)), at)
+    return keys.join(found.select(F.col(f"`{id_col}`"), F.col(at).alias("shard")).distinct(), id_col, "left")
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

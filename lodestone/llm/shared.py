@@ -1,12 +1,13 @@
 """Shared storage for intermediate tables and binary files.
 
-Everything lands below the folder that the session names in ``spark.checkpoint.dir`` (a plain
-``/tmp/checkpoints`` only where that is unset, as in tests), which the driver and all executors see.
+Everything lands below the folder that the session names in ``spark.checkpoint.dir``, which the driver
+and all executors see. Only a session on one machine may leave it unset; it gets ``/tmp/checkpoints``.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 def base_dir(spark: SparkSession) -> str:
     """Root of the shared folder."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints").rstrip("/")
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
+    return (named or "/tmp/checkpoints").rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -22,14 +26,38 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{base_dir(spark)}/lodestone/{label}-{uuid.uuid4().hex}"
 
 
+#: Tables written and not dropped yet, the latest last.
+_kept: list[str] = []
+
+
 def save(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet into the shared folder and read it back."""
     spark = df.sparkSession
     path = new_path(spark, label)
+    _kept.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """The number of tables written so far, for ``release``."""
+    return len(_kept)
+
+
+def release(spark: SparkSession, since: int) -> None:
+    """Delete all tables written since ``mark`` gave ``since``, but for the last; what was made of the others must be written by then."""
+    while len(_kept) > since + 1:
+        remove(spark, _kept.pop(since))
+
+
+def free(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def drop(df: DataFrame | None) -> None:
     """Delete the files of a table made by ``save`` that nothing will read again."""
     if df is None:
@@ -38,6 +66,7 @@ def drop(df: DataFrame | None) -> None:
     for f in {os.path.dirname(x) for x in df.inputFiles()}:
         if "/lodestone/" in f:
             remove(spark, f)
+            _kept[:] = [p for p in _kept if os.path.basename(p) != os.path.basename(f)]
 
 
 def remove(spark: SparkSession, path: str) -> None:

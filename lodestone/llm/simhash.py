@@ -307,9 +307,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the one with the least id (nulls last)."""
     groups = near_duplicates(docs, words, similarity, id_col, text_col)
-    kept = groups.groupBy("group_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("m")).select(F.col("m.row_key").alias("__row_key"))
-    rows = docs.withColumn("__row_key", _row_key(id_col, text_col)).join(kept, "__row_key", "left_semi")
-    return rows.dropDuplicates(["__row_key"]).drop("__row_key")
+    key = shared.free(docs, "row_key")
+    kept = groups.groupBy("group_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("m")).select(F.col("m.row_key").alias(key))
+    rows = docs.withColumn(key, _row_key(id_col, text_col)).join(kept, key, "left_semi")
+    return rows.dropDuplicates([key]).drop(key)
 
 
 # --- queries --------------------------------------------------------------------------------------
