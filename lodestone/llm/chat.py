@@ -87,10 +87,15 @@ def fold(events: DataFrame) -> DataFrame:
 
 
 def log(messages: DataFrame) -> DataFrame:
-    """``messages(conv_id, turn, role, text)`` as an event log for ``fold``: every row is a message of its own."""
+    """``messages(conv_id, turn, role, text)`` as an event log for ``fold``: every row is a message with the first half of its text, and a delta that streams the rest."""
     w = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
-    told = messages.select("conv_id", "turn", "role", "text", F.row_number().over(w).alias("nth"))
-    return told.withColumn("op", F.lit("message")).withColumn("seq", F.monotonically_increasing_id())
+    told = messages.select("conv_id", "turn", "role", "text", F.row_number().over(w).alias("nth")).withColumn("seq", 2 * F.monotonically_increasing_id())
+    half = F.when(F.char_length("text") > 1, F.floor(F.char_length("text") / 2).cast("int")).otherwise(F.char_length("text"))
+    events = F.array(
+        F.struct(F.lit("message").alias("op"), F.col("role"), F.substring("text", F.lit(1), half).alias("text"), F.col("seq")),
+        F.struct(F.lit("delta").alias("op"), F.lit(None).cast("string").alias("role"), F.substring("text", half + 1, F.char_length("text")).alias("text"), (F.col("seq") + 1).alias("seq")),
+    )
+    return told.select("conv_id", "turn", "nth", F.explode(F.when(F.char_length("text") > 1, events).otherwise(F.slice(events, 1, 1))).alias("e")).select("conv_id", "turn", "nth", "e.*")
 
 
 def render(messages: DataFrame, learned: str = LEARNED, piece: int = PIECE) -> DataFrame:
