@@ -1,12 +1,10 @@
-"""Settings that drift, dependencies, feature flags, literals and suppressions."""
+"""Settings that drift, suppressions, user rules and ownership."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import scalars as fn
-
 
 def config_drift(settings: DataFrame, environments) -> DataFrame:
     """``settings(key, env, value)`` -> ``(key, rule_id, env)``: keys in one environment only, missing in some, or hard-coded with several values."""
@@ -21,48 +19,6 @@ def config_drift(settings: DataFrame, environments) -> DataFrame:
     return g.select("key", F.explode(rules).alias("r")).select("key", "r.rule_id", "r.env")
 
 
-def dependency_rules(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
-    """``(ecosystem, name, version)`` with ``(ecosystem, name, version, advisory_id, score)`` -> ``(ecosystem, name, rule_id, advisory_id)``."""
-    d = dependencies.dropDuplicates(["ecosystem", "name", "version"])
-    loose = d.where(~fn.pinned(F.col("ecosystem"), F.col("version"))).select("ecosystem", "name", F.lit("deps.unpinned").alias("rule_id"), F.lit(None).cast("string").alias("advisory_id"))
-    bare = d.withColumn("version", F.regexp_replace("version", r"^[=\[\s]+|[\]\s]+$", ""))
-    kind = fn.advisory_severity(F.col("score"))
-    hit = bare.join(advisories, ["ecosystem", "name", "version"]).select("ecosystem", "name", F.concat(F.lit("deps.vulnerable."), F.when(kind.isin("Critical", "High"), F.lower(kind)).otherwise("medium")).alias("rule_id"), "advisory_id")
-    return loose.union(hit)
-
-
-def package_health(dependencies: DataFrame, latest: DataFrame) -> DataFrame:
-    """``(ecosystem, name, pinned, staleness)`` of each package."""
-    late = F.round(fn.staleness(F.regexp_replace("version", r"^\[|\]$", ""), F.col("latest")), 4)
-    j = dependencies.join(latest, ["ecosystem", "name"], "left")
-    return j.groupBy("ecosystem", "name").agg(F.bool_and(fn.pinned(F.col("ecosystem"), F.col("version"))).alias("pinned"), F.max(late).alias("staleness"))
-
-
-def feature_flags(occurrences: DataFrame, stale_days: int = 180, recent_days: int = 90) -> DataFrame:
-    """``(flag, kind, age_days)`` -> ``(flag, refs, defs, state)``: stale (old and not touched lately), dead (defined, never read) or active."""
-    g = occurrences.groupBy(fn.flag_name(F.col("flag")).alias("flag")).agg(F.count_if(F.col("kind") == "ref").alias("refs"), F.count_if(F.col("kind") == "def").alias("defs"), F.min("age_days").alias("newest"), F.max("age_days").alias("oldest"))
-    state = F.when((F.col("defs") > 0) & (F.col("refs") == 0), "dead").when((F.col("refs") > 0) & (F.col("oldest") >= stale_days) & (F.col("newest") >= recent_days), "stale").otherwise("active")
-    return g.select("flag", "refs", "defs", state.alias("state"))
-
-
-def literal_score(n, compared, conditions, tests, exceptions) -> F.Column:
-    """Score of a literal from its number of uses and those in comparisons, conditions, tests and exceptions."""
-    boost = 1 + F.when(compared > 0, 0.9).otherwise(0.0) + F.when(conditions > 0, 0.4).otherwise(0.0)
-    penalty = F.when(tests == n, 0.45).otherwise(0.0) + F.least(F.lit(0.35), 0.35 * exceptions / n)
-    return F.round(F.log2(n + 1) * boost * (1 - F.least(F.lit(0.9), penalty)), 4)
-
-
-def magic_candidates(lines: DataFrame, min_uses: int = 2, max_entropy: float = 4.2) -> DataFrame:
-    """``lines(path, line, content, is_test)`` -> ``(literal, n, files, score, rule_id)`` of literals worth naming."""
-    used = lines.select("path", "is_test", "content", F.explode(fn.literals(F.col("content"))).alias("raw"))
-    flags = used.select("path", "is_test", fn.collapse(F.col("raw")).alias("literal"), F.col("content").rlike("==|!=").alias("cmp"), F.col("content").rlike(r"\b(if|while|when|case)\b").alias("cond"), F.col("content").rlike(r"\b(throw|raise)\b").alias("exc"))
-    g = flags.where(F.char_length("literal") > 2).groupBy("literal").agg(F.count("*").alias("n"), F.countDistinct("path").alias("files"), *[F.count_if(c).alias(c) for c in ("cmp", "cond", "exc", "is_test")]).where(F.col("n") >= min_uses)
-    secret = (F.char_length("literal") >= 16) & (fn.entropy(F.col("literal")) >= max_entropy)
-    kept = g.where(~secret & ~fn.natural_language(F.col("literal")))
-    rule = F.when(F.col("cmp") > 0, "magic.comparison").when(F.col("n") >= max(2 * min_uses, 5), "magic.frequent").otherwise("magic.candidate")
-    return kept.select("literal", "n", "files", literal_score(F.col("n"), F.col("cmp"), F.col("cond"), F.col("is_test"), F.col("exc")).alias("score"), rule.alias("rule_id"))
-
-
 def suppression_overview(findings: DataFrame, suppressed) -> DataFrame:
     """Active and suppressed findings of each rule, and the total without suppressions."""
     s = F.coalesce(suppressed, F.lit(False))

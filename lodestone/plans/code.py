@@ -1,4 +1,4 @@
-"""Registered queries over text, literals, settings, dependencies and suppressions, and their DuckDB SQL."""
+"""Registered queries over text, lines of code, settings, versions and suppressions, and their DuckDB SQL."""
 
 from __future__ import annotations
 
@@ -8,18 +8,15 @@ from ..functions import scalars as fn
 from ..operators import health as he
 from ..operators import history as ho
 from ..operators import lines as lo
+from ..operators import portability as po
 from ..operators import text as to
+from ..sources.code_views import CODE_SQL, code_files
 from ..sources.driver_tables import COMMITS_SQL, FINDINGS_SQL, TREE_SQL, commits, findings, table, tree
 from .catalogue import _PIVOT, KINDS, NOW, _now, query
 
-_LINES = "lines as (select doc_id as file_id, unnest(string_split(text, chr(10))) as content, generate_subscripts(string_split(text, chr(10)), 1) as line from documents)"
 _STOPS = ", ".join(f"'{w}'" for w in fn.STOP_WORDS)
 
 
-def _lines(spark, sf_dir):
-    return to.lines(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "text"))
-
-
 @query("select doc_id, round(coalesce(list_aggregate(string_split(text, ''), 'entropy'), 0.0), 5) as entropy from documents")
 def entropy_filter(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.round(fn.entropy(F.col("text")), 5).alias("entropy"))
@@ -33,21 +30,6 @@ def natural_language_filter(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", fn.natural_language(F.col("text")).alias("prose"))
 
 
-@query(
-    "with lines as (select url as path, page_id % 7 = 0 as is_test, unnest(string_split(html, chr(10))) as content from pages), "
-    r"""used as (select path, is_test, content, unnest(regexp_extract_all(content, '"(?:[^"\\]|\\.)*"|''(?:[^''\\]|\\.)*''')) as raw from lines), """
-    r"flags as (select path, is_test, trim(regexp_replace(raw[2:-2], '[ \t\r\n]+', ' ', 'g')) as literal, regexp_matches(content, '==|!=') as cmp, regexp_matches(content, '\b(if|while|when|case)\b') as cond, regexp_matches(content, '\b(throw|raise)\b') as exc from used), "
-    "g as (select literal, count(*) as n, count(distinct path) as files, count(*) filter (where cmp) as cmp, count(*) filter (where cond) as cond, count(*) filter (where exc) as exc, count(*) filter (where is_test) as tests from flags where length(literal) > 2 group by 1 having count(*) >= 2), "
-    f"w as (select *, regexp_extract_all(lower(literal), '[a-z]{{2,}}') as words from g where not (length(literal) >= 16 and list_aggregate(string_split(literal, ''), 'entropy') >= 4.2)) "
-    "select literal, n, files, round(log2(n + 1) * (1 + case when cmp > 0 then 0.9 else 0 end + case when cond > 0 then 0.4 else 0 end) * (1 - least(0.9, case when tests = n then 0.45 else 0 end + least(0.35, 0.35 * exc / n))), 4) as score, "
-    "case when cmp > 0 then 'magic.comparison' when n >= 5 then 'magic.frequent' else 'magic.candidate' end as rule_id from w "
-    f"where not (len(words) >= 3 and regexp_matches(literal, '[.,;:!?]') and len(list_filter(words, lambda x: x in ({_STOPS}))) / greatest(len(words), 1) >= 0.35)"
-)
-def magic_candidates(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select(F.col("url").alias("path"), (F.col("page_id") % 7 == 0).alias("is_test"), F.explode(F.split("html", "\n", -1)).alias("content"))
-    return he.magic_candidates(p)
-
-
 @query(
     f"with {COMMITS_SQL}, g as (select path as key, list_distinct(list(kind)) as envs, count(distinct lines % 50) as n from commits group by 1), "
     "r as (select key, case when len(envs) = 1 then [{'rule_id': 'drift.orphan', 'env': envs[1]}] else list_concat("
@@ -58,53 +40,6 @@ def config_drift(spark, sf_dir):
     return he.config_drift(commits(spark, sf_dir).select(F.col("path").alias("key"), F.col("kind").alias("env"), (F.col("lines") % 50).cast("string").alias("value")), KINDS)
 
 
-_DEPS = "('NuGet', 'alpha', '1.2.3'), ('NuGet', 'beta', '[2.0.1]'), ('NuGet', 'gamma', '1.*'), ('PyPI', 'delta', '==4.5.6'), ('PyPI', 'delta', '>=4.0'), ('PyPI', 'eps', ''), ('crates.io', 'zeta', '=0.3.1'), ('crates.io', 'eta', '0.3'), ('npm', 'theta', '7.8.9'), ('npm', 'iota', '^1.0.0')"
-_ADVISORIES = "('NuGet', 'alpha', '1.2.3', 'A-1', '9.8'), ('NuGet', 'beta', '2.0.1', 'A-2', 'CVSS 7.5'), ('PyPI', 'delta', '4.5.6', 'A-3', 'moderate'), ('npm', 'theta', '7.8.9', 'A-4', '3.1'), ('npm', 'theta', '7.8.9', 'A-5', 'HIGH')"
-_LATEST = "('NuGet', 'alpha', '3.0.0'), ('NuGet', 'beta', '2.0.0'), ('PyPI', 'delta', '4.6.0'), ('npm', 'theta', '7.8.12'), ('npm', 'iota', 'x')"
-_DEPS_SQL = f"d(ecosystem, name, version) as (values {_DEPS}), a(ecosystem, name, version, advisory_id, score) as (values {_ADVISORIES}), l(ecosystem, name, latest) as (values {_LATEST})"
-_PINNED_SQL = r"case ecosystem when 'NuGet' then regexp_matches(version, '^(\d[\w.+-]*|\[[^,\]]+\])$') when 'PyPI' then regexp_matches(version, '^==[^*]+$') when 'crates.io' then regexp_matches(version, '^=\s*\d') else regexp_matches(version, '^\d+\.\d+\.\d+$') end"
-_BARE_SQL = r"regexp_replace(regexp_replace(version, '^[=\[\s]+', ''), '[\]\s]+$', '')"
-
-
-_UNBRACKETED = r"regexp_replace(regexp_replace(version, '^\[', ''), '\]$', '')"
-
-
-def _weight_sql(v: str) -> str:
-    token = f"regexp_replace(trim({v}), '^[=~^<>\\s]+', '')"
-    part = lambda i: f"try_cast(regexp_extract(split_part({token}, '.', {i}), '^(\\d+)', 1) as double)"
-    term = lambda i, w: f"case when split_part({token}, '.', {i}) = '' then 0 else {part(i)} * {w} end"
-    return f"({part(1)} + {term(2, 0.01)} + {term(3, 0.0001)})"
-
-
-def _inline(spark, rows: str, columns: str):
-    return spark.sql(f"select * from values {rows} as t({columns})")
-
-
-@query(
-    f"with {_DEPS_SQL} select ecosystem, name, 'deps.unpinned' as rule_id, null as advisory_id from d where not {_PINNED_SQL} union all "
-    f"select ecosystem, name, case when x >= 9 or lower(score) like '%critical%' then 'deps.vulnerable.critical' when x >= 7 or (x is null and lower(score) like '%high%') then 'deps.vulnerable.high' else 'deps.vulnerable.medium' end, advisory_id "
-    f"from (select ecosystem, name, {_BARE_SQL} as version from d) join (select *, try_cast(regexp_extract(score, '(\\d+(?:\\.\\d+)?)\\s*$', 1) as double) as x from a) using (ecosystem, name, version)"
-)
-def dependency_rules(spark, sf_dir):
-    return he.dependency_rules(_inline(spark, _DEPS, "ecosystem, name, version"), _inline(spark, _ADVISORIES, "ecosystem, name, version, advisory_id, score"))
-
-
-@query(f"with {_DEPS_SQL}, b as (select *, {_BARE_SQL} as bare, {_PINNED_SQL} as p from d) select ecosystem, name, bool_and(p) as pinned, max(round(greatest(0.0, coalesce({_weight_sql('latest')} - {_weight_sql(_UNBRACKETED)}, 0.0)), 4)) as staleness from b left join l using (ecosystem, name) group by 1, 2")
-def dependency_health(spark, sf_dir):
-    return he.package_health(_inline(spark, _DEPS, "ecosystem, name, version"), _inline(spark, _LATEST, "ecosystem, name, latest"))
-
-
-_FLAGS = "('\"NEW__UI\"', 'ref', 200), ('NEW_UI', 'ref', 95), ('NEW_UI', 'def', 300), ('OLD', 'def', 10), ('FAST', 'ref', 181), ('FAST', 'ref', 3), (' BARE ', 'ref', null)"
-
-
-@query(
-    f"with f(flag, kind, age) as (values {_FLAGS}), g as (select replace(trim(trim(flag), '\"'), '__', '_') as flag, count(*) filter (where kind = 'ref') as refs, count(*) filter (where kind = 'def') as defs, min(age) as lo, max(age) as hi from f group by 1) "
-    "select flag, refs, defs, case when defs > 0 and refs = 0 then 'dead' when refs > 0 and hi >= 180 and lo >= 90 then 'stale' else 'active' end as state from g"
-)
-def feature_flags(spark, sf_dir):
-    return he.feature_flags(_inline(spark, _FLAGS, "flag, kind, age_days"))
-
-
 @query(f"with {FINDINGS_SQL} select rule_id, count(*) filter (where line % 5 <> 0) as active, count(*) filter (where line % 5 = 0) as suppressed, count(*) as total from findings group by 1")
 def suppression_by_rule(spark, sf_dir):
     return he.suppression_overview(findings(spark, sf_dir), F.col("line") % 5 == 0)
@@ -162,27 +97,59 @@ def treemap_nodes(spark, sf_dir):
     return up.groupBy(F.array_join(F.slice("parts", 1, F.col("depth")), "/").alias("node"), "depth", (F.col("depth") == F.size("parts")).alias("leaf")).agg(F.sum("size").alias("size"))
 
 
-@query(f"with {_LINES} select file_id, line, strpos(content, '@') as at from lines where strpos(content, '@') > 0")
+_CODE_LINES = f"{CODE_SQL}, rows as (select path as file_id, line, content from code)"
+
+
+def _code_lines(spark, sf_dir):
+    return to.lines(code_files(spark, sf_dir).select(F.col("path").alias("file_id"), "text"))
+
+
+@query(f"with {_CODE_LINES}, hits as (select file_id, line, content, unnest(regexp_extract_all(content, '{po.IPV4}')) as value from rows) select file_id, line, value, strpos(content, value) as at from hits")
 def text_scan_positions(spark, sf_dir):
-    return _lines(spark, sf_dir).select("file_id", "line", F.instr("content", "@").cast("long").alias("at")).where("at > 0")
+    rows = _code_lines(spark, sf_dir).select("file_id", "line", F.explode(po.spots(F.col("content"), po.IPV4)).alias("s"))
+    return rows.select("file_id", "line", "s.value", F.col("s.column").cast("long").alias("at"))
 
 
 @query(
-    f"with {_LINES}, n as (select file_id, line, sum((length(content) - length(replace(content, 'e', ''))) - (length(content) - length(replace(content, 'a', '')))) over w as total from lines window w as (partition by file_id order by line)) "
+    f"with {_CODE_LINES}, n as (select file_id, line, sum(2 * length(content) - length(replace(content, '{{', '')) - length(content) - (length(content) - length(replace(content, '}}', '')))) over w as total from rows window w as (partition by file_id order by line)) "
     "select file_id, line, cast(total - least(0, min(total) over (partition by file_id order by line)) as bigint) as depth from n"
 )
 def brace_scope(spark, sf_dir):
-    return lo.brace_depth(_lines(spark, sf_dir), "e", "a").select("file_id", "line", "depth")
+    return lo.brace_depth(_code_lines(spark, sf_dir)).select("file_id", "line", "depth")
+
 
+@query(f"with {CODE_SQL} select path as file_id, line, length(regexp_extract(content, '^( *)', 1)) as indent from code where language = 'python'")
+def indent_scope(spark, sf_dir):
+    rows = to.lines(code_files(spark, sf_dir).where("language = 'python'").select(F.col("path").alias("file_id"), "text"))
+    return rows.select("file_id", "line", lo.indent(F.col("content")).cast("long").alias("indent"))
 
-@query(f"with {_LINES} select file_id, line, max(strpos(content, '@') > 0) over (partition by file_id order by line rows between 5 preceding and 5 following) as near from lines")
+
+@query(f"with {_CODE_LINES} select file_id, line, max(contains(content, 'GetEnvironmentVariable(')) over (partition by file_id order by line rows between 5 preceding and 5 following) as near from rows")
 def nearby_marker(spark, sf_dir):
-    return lo.near(_lines(spark, sf_dir), F.contains("content", F.lit("@"))).select("file_id", "line", "near")
+    return lo.near(_code_lines(spark, sf_dir), F.contains("content", F.lit("GetEnvironmentVariable("))).select("file_id", "line", "near")
 
 
-@query(f"with {_LINES} select file_id, line, strpos(content, '@') > 0 or coalesce(strpos(lag(content) over (partition by file_id order by line), '@') > 0, false) as suppressed from lines")
+@query(f"with {_CODE_LINES} select file_id, line, contains(content, 'lodestone: ignore') or coalesce(contains(lag(content) over (partition by file_id order by line), 'lodestone: ignore'), false) as suppressed from rows")
 def line_suppressions(spark, sf_dir):
-    return lo.suppressed(_lines(spark, sf_dir), "@").select("file_id", "line", "suppressed")
+    return lo.suppressed(_code_lines(spark, sf_dir), "lodestone: ignore").select("file_id", "line", "suppressed")
+
+
+_VERSION = "['', '>=', '^', '~'][p_size % 4 + 1] || p_size % 9 || case when p_size % 5 = 0 then '.x' when p_size % 5 = 1 then '' else '.' || p_size || '.' || p_partkey % 7 end"
+
+
+def _weight_sql(v: str) -> str:
+    token = f"regexp_replace(trim({v}), '^[=~^<>\\s]+', '')"
+    part = lambda i: f"try_cast(regexp_extract(split_part({token}, '.', {i}), '^(\\d+)', 1) as double)"
+    term = lambda i, w: f"case when split_part({token}, '.', {i}) = '' then 0 else {part(i)} * {w} end"
+    return f"({part(1)} + {term(2, 0.01)} + {term(3, 0.0001)})"
+
+
+@query(f"with v as (select p_partkey, {_VERSION} as version from part) select p_partkey, version, round(greatest(0.0, coalesce({_weight_sql("'7.5'")} - {_weight_sql('version')}, 0.0)), 6) as staleness from v")
+def version_staleness(spark, sf_dir):
+    k, n = F.col("p_partkey"), F.col("p_size")
+    rest = F.when(n % 5 == 0, ".x").when(n % 5 == 1, "").otherwise(F.concat(F.lit("."), n.cast("string"), F.lit("."), (k % 7).cast("string")))
+    version = F.concat(F.element_at(F.array(F.lit(""), F.lit(">="), F.lit("^"), F.lit("~")), (n % 4 + 1).cast("int")), (n % 9).cast("string"), rest)
+    return table(spark, sf_dir, "part").select("p_partkey", version.alias("version")).select("*", F.round(fn.staleness(F.col("version"), F.lit("7.5")), 6).alias("staleness"))
 
 
 @query(f"with {FINDINGS_SQL} select case when starts_with(rule_id, 'S') then 'standard' when starts_with(rule_id, 'P') then 'promo' else 'other' end as artifact, {_PIVOT} from findings group by 1")

@@ -58,6 +58,11 @@ def _event_flags(spark, sf_dir):
     return e.select(flag.alias("flag"), ((F.col("user_id") % 5 == 0) | (F.col("event_type") == "login")).alias("is_definition"), (F.col("event_id") % 400).cast("double").alias("age"), F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("path"), F.col("event_id").cast("int").alias("line"))
 
 
+@query(f"with {_FLAGGED} select k as flag, refs, defs, oldest, newest from s")
+def feature_flags(spark, sf_dir):
+    return hy.flag_states(_event_flags(spark, sf_dir)).select(F.lower("flag").alias("flag"), "refs", "defs", "oldest", "newest")
+
+
 @query(
     f"with {_FLAGGED}, p as (select k, min(row(path, line)) filter (where not is_definition) as used, min(row(path, line)) filter (where is_definition) as defined from f group by 1) "
     "select struct_extract(used, 1) as path, 'hygiene.stale_feature_flag' as rule_id, struct_extract(used, 2) as line, 'Warning' as severity, 'High' as confidence from s join p using (k) where refs > 0 and oldest >= 180 and newest >= 0 "
@@ -287,7 +292,7 @@ def dependency_findings(spark, sf_dir):
     return _short(de.analyse(_manifest_files(spark, sf_dir), a, n)).select("path", "line", "rule_id", "severity", "confidence")
 
 
-def _dependency_health(spark, sf_dir):
+def _dependency_findings_in_order(spark, sf_dir):
     a, n = _advice(spark)
     f = de.analyse(_manifest_files(spark, sf_dir), a, n)
     return f.withColumn("finding_id", F.concat_ws("|", F.lpad(F.regexp_extract("path", r"m(\d+)/", 1), 12, "0"), F.lpad(F.col("line").cast("string"), 6, "0"), "rule_id", "fingerprint"))
@@ -299,13 +304,13 @@ def _dependency_health(spark, sf_dir):
 shown as (select distinct e.ecosystem, lower(e.name) as k from e left join bad on eco = ecosystem and k = lower(name) and v = exact where exact is null or n is not null)
 select p.name, p.ecosystem, pinned, advisories from p join shown s on s.ecosystem = p.ecosystem and s.k = lower(p.name)"""
 )
-def dependency_packages(spark, sf_dir):
-    return de.health_page(de.health(_dependency_health(spark, sf_dir))).select("name", "ecosystem", "pinned", F.col("advisories").cast("long").alias("advisories"))
+def dependency_health(spark, sf_dir):
+    return de.health_page(de.health(_dependency_findings_in_order(spark, sf_dir))).select("name", "ecosystem", "pinned", F.col("advisories").cast("long").alias("advisories"))
 
 
 @query("select * from (values ('Python 2.x'), ('Python 3.6'), ('net5.0')) t(framework)")
 def dependency_frameworks(spark, sf_dir):
-    return de.frameworks(_dependency_health(spark, sf_dir)).select("framework")
+    return de.frameworks(_dependency_findings_in_order(spark, sf_dir)).select("framework")
 
 
 # --- literals -------------------------------------------------------------------------------------
@@ -331,7 +336,7 @@ def _candidates(spark, sf_dir):
 
 
 @query(f"with {_MAGIC} select literal, n, files, path, score, rule_id from scored")
-def magic_scores(spark, sf_dir):
+def magic_candidates(spark, sf_dir):
     return _candidates(spark, sf_dir).select("literal", "n", "files", "path", "score", "rule_id")
 
 
@@ -427,3 +432,84 @@ def scan_all_rules(spark, sf_dir):
     files, bundle = cv.code_files(spark, sf_dir), cfg.Bundle(rules={r.lower(): (r, True, s) for r, s in catalog.RULES.items()})
     found = scan.union(scan.portability_scan(files, bundle, _SUPPRESSIONS), scan.hygiene_scan(files, _now(), bundle))
     return found.where("rule_id <> 'async.nested_runtime' and rule_id not like '%feature_flag'").groupBy("rule_id").agg(F.count("*").alias("n"))
+
+
+# --- store, logs, documents -----------------------------------------------------------------------
+
+
+@query(f"with {FINDINGS_SQL} select file_path, rule_id, line, severity, count(distinct row(\"column\", fingerprint, message)) as n from findings where run_id = 'y1996' group by all")
+def store_round_trip(spark, sf_dir):
+    """A run written twice, the second time in place of the first, and read back."""
+    from ..sources import store as st
+
+    root = st.scratch(spark)
+    files = sv.files(spark, sf_dir).where("run_id = 'y1996'")
+    found = sv.findings(spark, sf_dir).where("run_id = 'y1996'").withColumnRenamed("file_path", "path")
+    lost = found.limit(1).withColumn("path", F.lit("not/there.cs"))
+    run = {"run_id": "y1996", "repo_root": "/repo", "tool_version": "1"}
+    st.write_run(spark, root, run, files, found.limit(5), catalog.builtin(spark))
+    st.write_run(spark, root, run, files, found.unionByName(lost), catalog.builtin(spark))
+    s = st.read(spark, root)
+    return s.findings.groupBy("file_path", "rule_id", F.col("line").cast("long").alias("line"), "severity").agg(F.countDistinct("finding_id").alias("n"))
+
+
+@query(
+    "select lpad(cast(event_id as varchar), 40, '0') as sha, 'u' || user_id || '@x' as author, case when event_id % 3 = 0 then 'new/f' || user_id || '.cs' else 'f' || user_id || '.cs' end as path, case when event_id % 3 = 0 then 'old/f' || user_id || '.cs' end as old_path, "
+    "case when event_id % 4 = 0 then 0 else cast(floor(value) as bigint) end as added, case when event_id % 4 = 0 then 0 else user_id end as removed from events"
+)
+def commit_log_parse(spark, sf_dir):
+    """Events written as a log and read back."""
+    e = table(spark, sf_dir, "events")
+    n, u = F.col("event_id").cast("string"), F.col("user_id").cast("string")
+    head = F.concat(F.lit("commit "), F.lpad(n, 40, "0"), F.lit("\tu"), u, F.lit("@x\t1700000000"))
+    count = lambda c: F.when(F.col("event_id") % 4 == 0, "-").otherwise(c.cast("string"))
+    path = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("{old => new}/f"), u, F.lit(".cs"))).otherwise(F.concat(F.lit("f"), u, F.lit(".cs")))
+    body = F.concat_ws("\t", count(F.floor("value")), count(F.col("user_id")), path)
+    rows = e.select(F.col("event_id").alias("file_id"), F.posexplode(F.array(head, F.lit(""), body)).alias("line", "content"))
+    return fl.commit_log(rows).drop("ts")
+
+
+@query("select 'f' || o_custkey || '.cs' as path, cast(o_orderkey as int) as line, case when o_orderkey % 5 = 0 then 'unknown' else 'Ann ' || o_custkey end as author, case when o_orderkey % 7 <> 0 then make_timestamp(1700000000000000 + o_orderkey * 1000000) end as author_time from orders")
+def blame_parse(spark, sf_dir):
+    """Orders written as the blame of files and read back."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    k = F.col("o_orderkey").cast("string")
+    who = F.when(F.col("o_orderkey") % 5 == 0, "").otherwise(F.concat(F.lit("Ann "), F.col("o_custkey").cast("string")))
+    time = F.when(F.col("o_orderkey") % 7 != 0, (F.col("o_orderkey") + 1_700_000_000).cast("string")).otherwise("none")
+    chunk = F.concat(F.lpad(k, 40, "0"), F.lit(" 1 "), k, F.lit(" 1\nauthor "), who, F.lit("\nauthor-mail <a>\nauthor-time "), time, F.lit("\nsummary s\n\tauthor x\n"))
+    text = o.groupBy("o_custkey").agg(F.array_join(F.collect_list(chunk), "").alias("text"))
+    return hy.parse_blame(text.select(F.concat(F.lit("f"), F.col("o_custkey").cast("string"), F.lit(".cs")).alias("path"), "text"))
+
+
+@query(f"with {_MAGIC} select rule_id, path, 'Literal ''' || literal || ''' is used ' || n || ' times.' as message, case when compared > 0 then 'High' else 'Medium' end as confidence, upper(sha256(rule_id || '|' || literal || '|' || n)) as fingerprint from scored")
+def magic_findings(spark, sf_dir):
+    found = ma.occurrences(cv.code_files(spark, sf_dir).where("category = 'Source'"))
+    return ma.findings(ma.candidates(found), found).select("rule_id", "path", "message", "confidence", "fingerprint")
+
+
+_CELL = lambda c: f"'<td>' || replace(replace(replace(replace(coalesce(cast({c} as varchar), ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') || '</td>'"
+
+
+@query(f"with {FINDINGS_SQL} select '<tr>' || {_CELL('file_path')} || {_CELL('line')} || {_CELL('metadata')} || '</tr>' as row from findings where run_id = 'y1997'")
+def html_export(spark, sf_dir):
+    return ex.html_rows(sv.findings(spark, sf_dir).where("run_id = 'y1997'").select("file_path", "line", "metadata"))
+
+
+@query(f"with {FINDINGS_SQL} select to_json({{'rule_id': rule_id, 'line': line, 'severity': severity, 'snippet': snippet}}) as row from findings where run_id = 'y1997'")
+def json_export(spark, sf_dir):
+    return ex.json_rows(sv.findings(spark, sf_dir).where("run_id = 'y1997'").select("rule_id", "line", "severity", "snippet"))
+
+
+@query(
+    f"with {FINDINGS_SQL} select cast(finding_id as varchar) as finding_id, run_id, rule_id, null::varchar as rule_title, severity, confidence, file_path, cast(line as varchar) as line, cast(\"column\" as varchar) as \"column\", message, snippet, fingerprint, metadata from findings where run_id = 'y1997'"
+)
+def csv_export(spark, sf_dir):
+    return ex.csv_rows(sv.findings(spark, sf_dir).where("run_id = 'y1997'"))
+
+
+@query("select * from (values " + ", ".join(f"({_quoted(r)}, {_quoted(s)}, true, 'built-in')" for r, s in catalog.RULES.items()) + ") t(rule_id, severity, enabled, source) union all select 'brand.' || p_brand, 'Info', count(*) % 2 = 0, 'parts' from part group by p_brand")
+def rule_list(spark, sf_dir):
+    """The rules in force: those built in and a rule for each brand."""
+    own = table(spark, sf_dir, "part").groupBy(F.concat(F.lit("brand."), "p_brand").alias("rule_id")).agg(F.lit("Info").alias("severity"), (F.count("*") % 2 == 0).alias("enabled"), F.lit("parts").alias("source"))
+    bundle = cfg.Bundle(rules={r.lower(): (r, True, s) for r, s in catalog.RULES.items()})
+    return spark.createDataFrame(cfg.rule_list(bundle), "rule_id string, severity string, enabled boolean, source string").unionByName(own)

@@ -8,6 +8,7 @@ part of a run appears when Spark commits its job; a job that fails leaves nothin
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -35,6 +36,12 @@ class Store:
     metrics: DataFrame
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder for a store that will not be kept, below the shared folder or else the warehouse."""
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{top.rstrip('/')}/store-{uuid.uuid4().hex}"
+
+
 def _path(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
