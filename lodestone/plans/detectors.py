@@ -469,7 +469,7 @@ def commit_log_parse(spark, sf_dir):
     return fl.commit_log(rows).drop("ts")
 
 
-@query("select 'f' || o_custkey || '.cs' as path, cast(o_orderkey as int) as line, case when o_orderkey % 5 = 0 then 'unknown' else 'Ann ' || o_custkey end as author, case when o_orderkey % 7 <> 0 then make_timestamp(1700000000000000 + o_orderkey * 1000000) end as author_time from orders")
+@query("select 'f' || o_custkey || '.cs' as path, cast(o_orderkey as int) as line, case when o_orderkey % 5 = 0 then 'unknown' else 'Ann ' || o_custkey end as author, case when o_orderkey % 7 <> 0 then 1700000000000000 + o_orderkey * 1000000 else -1 end as author_time from orders")
 def blame_parse(spark, sf_dir):
     """Orders written as the blame of files and read back."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
@@ -478,7 +478,8 @@ def blame_parse(spark, sf_dir):
     time = F.when(F.col("o_orderkey") % 7 != 0, (F.col("o_orderkey") + 1_700_000_000).cast("string")).otherwise("none")
     chunk = F.concat(F.lpad(k, 40, "0"), F.lit(" 1 "), k, F.lit(" 1\nauthor "), who, F.lit("\nauthor-mail <a>\nauthor-time "), time, F.lit("\nsummary s\n\tauthor x\n"))
     text = o.groupBy("o_custkey").agg(F.array_join(F.collect_list(chunk), "").alias("text"))
-    return hy.parse_blame(text.select(F.concat(F.lit("f"), F.col("o_custkey").cast("string"), F.lit(".cs")).alias("path"), "text"))
+    blame = hy.parse_blame(text.select(F.concat(F.lit("f"), F.col("o_custkey").cast("string"), F.lit(".cs")).alias("path"), "text"))
+    return blame.withColumn("author_time", F.coalesce(F.unix_micros("author_time"), F.lit(-1)))
 
 
 @query(f"with {_MAGIC} select rule_id, path, 'Literal ''' || literal || ''' is used ' || n || ' times.' as message, case when compared > 0 then 'High' else 'Medium' end as confidence, upper(sha256(rule_id || '|' || literal || '|' || n)) as fingerprint from scored")

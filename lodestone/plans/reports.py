@@ -38,16 +38,25 @@ def _joined(where: str) -> str:
     return f"select f.*, category, language from findings f join (select file_id, category, language from files) using (file_id) where {where}"
 
 
-@query(f"with {STORE_SQL} select r.run_id, repo_root, started_at, ended_at, tool_version, count(severity) as total, " + ", ".join(f"count(*) filter (where severity = '{s}') as {s.lower()}_count" for s in ("Error", "Warning", "Info")) + " from runs r left join findings f on f.run_id = r.run_id group by all")
+def _micros(df, *names):
+    """Times as microseconds, -1 for none, which every engine writes alike."""
+    return df.withColumns({c: F.coalesce(F.unix_micros(c), F.lit(-1)) for c in names})
+
+
+def _micros_sql(*names: str) -> str:
+    return ", ".join(f"coalesce(epoch_us({c}), -1) as {c.rsplit('.', 1)[-1]}" for c in names)
+
+
+@query(f"with {STORE_SQL} select r.run_id, repo_root, {_micros_sql('started_at', 'ended_at')}, tool_version, count(severity) as total, " + ", ".join(f"count(*) filter (where severity = '{s}') as {s.lower()}_count" for s in ("Error", "Warning", "Info")) + " from runs r left join findings f on f.run_id = r.run_id group by all")
 def store_runs(spark, sf_dir):
     s = sv.store(spark, sf_dir)
-    return ro.run_list(s.runs, s.findings)
+    return _micros(ro.run_list(s.runs, s.findings), "started_at", "ended_at")
 
 
-@query(f"with {STORE_SQL} select run_id, repo_root, started_at, ended_at, tool_version, 0 as total, 0 as error_count, 0 as warning_count, 0 as info_count from runs where run_id = 'empty'")
+@query(f"with {STORE_SQL} select run_id, repo_root, {_micros_sql('started_at', 'ended_at')}, tool_version, 0 as total, 0 as error_count, 0 as warning_count, 0 as info_count from runs where run_id = 'empty'")
 def store_run_by_id(spark, sf_dir):
     s = sv.store(spark, sf_dir)
-    return ro.run_by_id(s.runs, s.findings, "empty")
+    return _micros(ro.run_by_id(s.runs, s.findings, "empty"), "started_at", "ended_at")
 
 
 def _page_sql(where: str, order: str, offset: int, limit: int) -> str:
@@ -173,10 +182,10 @@ def rule_catalog_by_category(spark, sf_dir):
     return ro.rule_catalog(sv.findings(spark, sf_dir), catalog.builtin(spark), " Churn ")
 
 
-@query(f"with {STORE_SQL} select run_id, repo_root, started_at, file_path, line, \"column\", severity, message, confidence, fingerprint from (select f.*, repo_root, started_at from findings f join runs using (run_id) where rule_id = 'hygiene.fixme' order by started_at desc, finding_id desc limit 60)")
+@query(f"with {STORE_SQL} select run_id, repo_root, {_micros_sql('started_at')}, file_path, line, \"column\", severity, message, confidence, fingerprint from (select f.*, repo_root, started_at from findings f join runs using (run_id) where rule_id = 'hygiene.fixme' order by started_at desc, finding_id desc limit 60)")
 def rule_across_runs(spark, sf_dir):
     s = sv.store(spark, sf_dir)
-    return ro.rule_history(s.findings, s.runs, "hygiene.fixme", 60)
+    return _micros(ro.rule_history(s.findings, s.runs, "hygiene.fixme", 60), "started_at")
 
 
 @query(f"with {FINDINGS_SQL} select count(*) filter (where not {_SUPPRESSED}) as active, count(*) filter (where {_SUPPRESSED}) as suppressed, count(*) as what_if from findings where run_id = '{RUN}'")
@@ -219,27 +228,27 @@ def comparison_counts(spark, sf_dir):
 _HISTORY = f"{FILES_SQL}, {COMMITS_SQL}, {METRICS_SQL}"
 
 
-@query(f"with {_HISTORY} select * from metrics")
+@query(f"with {_HISTORY} select * replace (coalesce(epoch_us(last_commit_at), -1) as last_commit_at) from metrics")
 def file_metrics(spark, sf_dir):
-    return sv.metrics(spark, sf_dir)
+    return _micros(sv.metrics(spark, sf_dir), "last_commit_at")
 
 
-_METRIC_ITEM = "file_id, file_path, churn_score, stale_score, commits_90d, authors, concentration, top_author, top_author_pct, last_commit_at, concentration > 0.8 and commits_90d = 0 as is_orphaned"
+_METRIC_ITEM = "file_id, file_path, churn_score, stale_score, commits_90d, authors, concentration, top_author, top_author_pct, coalesce(epoch_us(last_commit_at), -1) as last_commit_at, concentration > 0.8 and commits_90d = 0 as is_orphaned"
 
 
 @query(f"with {_HISTORY} select {_METRIC_ITEM} from metrics where churn_score >= 1 and coalesce(stale_score, 0) <= 0.9 and file_path ilike 'src/%' order by churn_score desc, file_path limit 20 offset 2")
 def churn_page(spark, sf_dir):
-    return ro.metrics_page(sv.metrics(spark, sf_dir), RUN, 2, 20, min_churn=1, max_stale=0.9, path_prefix="src/")
+    return _micros(ro.metrics_page(sv.metrics(spark, sf_dir), RUN, 2, 20, min_churn=1, max_stale=0.9, path_prefix="src/"), "last_commit_at")
 
 
-@query(f"with {_HISTORY} select {_METRIC_ITEM} from metrics order by coalesce(last_commit_at, timestamp '1900-01-01'), file_path limit 500")
+@query(f"with {_HISTORY} select {_METRIC_ITEM} from metrics order by coalesce(metrics.last_commit_at, timestamp '1900-01-01'), file_path limit 500")
 def churn_page_by_age(spark, sf_dir):
-    return ro.metrics_page(sv.metrics(spark, sf_dir), RUN, limit=1000, sort="last", descending=False)
+    return _micros(ro.metrics_page(sv.metrics(spark, sf_dir), RUN, limit=1000, sort="last", descending=False), "last_commit_at")
 
 
 @query(f"with {_HISTORY}, top as (select {_METRIC_ITEM} from metrics order by concentration desc, file_path limit 200) select * from top where concentration >= 0.15 order by concentration desc, file_path limit 50")
 def ownership_list(spark, sf_dir):
-    return ro.ownership_list(sv.metrics(spark, sf_dir), RUN, 0.15)  # events have many authors each
+    return _micros(ro.ownership_list(sv.metrics(spark, sf_dir), RUN, 0.15), "last_commit_at")  # events have many authors each
 
 
 @query(
@@ -250,9 +259,9 @@ def history_findings(spark, sf_dir):
     return ho.history_findings(sv.metrics(spark, sf_dir).withColumnRenamed("file_path", "path"))
 
 
-@query(f"with {_HISTORY}, r as (select *, row_number() over (partition by path order by ts desc, sha) as place from commits) select path, author, ts, added, removed, sha, place from r where place <= 2")
+@query(f"with {_HISTORY}, r as (select *, row_number() over (partition by path order by ts desc, sha) as place from commits) select path, author, epoch_us(ts) as ts, added, removed, sha, place from r where place <= 2")
 def newest_commits(spark, sf_dir):
-    return ho.newest_commits(sv.commits(spark, sf_dir))
+    return _micros(ho.newest_commits(sv.commits(spark, sf_dir)), "ts")
 
 
 _P90 = "count(*) as files, " + ", ".join(f"round(quantile_cont(coalesce({c}, 0.0), 0.9), 6) as {a}" for c, a in (("churn_score", "churn_p90"), ("stale_score", "stale_p90"), ("concentration", "ownership_p90")))
