@@ -365,9 +365,18 @@ def directories(heat: DataFrame, metric: str = "churn_score") -> DataFrame:
 
 
 def directory_aggregates(heat: DataFrame, metric: str = "churn_score") -> DataFrame:
-    """``directories`` in the order of a walk: a folder, then those in it, the larger first."""
+    """``directories`` in the order of a walk from the root: a folder, then those in it, the larger first, then by name.
+
+    A folder's place among its siblings, put behind those of the folders above it, is its place in the walk.
+    """
     d = directories(heat, metric)
-    return d.orderBy(F.when(F.col("depth") == 0, "").otherwise(F.col("key"))).drop("key")
+    parent = F.when(F.col("depth") <= 1, ".").otherwise(F.regexp_replace("key", "/[^/]*$", ""))
+    w = Window.partitionBy("__parent").orderBy(F.desc("size_bytes"), "key")
+    placed = d.where("depth > 0").withColumn("__parent", parent).select("key", "depth", F.row_number().over(w).alias("place"))
+    parts = F.split("key", "/")
+    up = placed.select("key", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("above"))
+    walk = up.join(placed.select(F.col("key").alias("above"), "depth", "place"), "above").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("depth", "place"))).alias("walk"))  # one entry a level
+    return d.join(walk, "key", "left").orderBy(F.asc_nulls_first("walk")).drop("walk", "key")
 
 
 def treemap(heat: DataFrame, metric: str = "churn_score") -> DataFrame:

@@ -107,7 +107,14 @@ def test_folders_from_the_leaves_up_with_files_of_no_bytes(spark):
             assert v == pytest.approx(fold(f"{d}/"), abs=1e-5)
     assert len(got) == 1 + len({"/".join(p.split("/")[:i]) for _, p, *_ in rows for i in range(1, p.count("/") + 1)})
     walk = [r.directory for r in reports.directory_aggregates(heat).collect()]
-    assert walk[0] == "." and all(d.rpartition("/")[0] in ("", *walk[:i]) for i, d in enumerate(walk))
+    size, by = {d: v[0] for d, v in got.items()}, {}
+    for d in size:
+        by.setdefault("" if d == "." else d.rpartition("/")[0] or ".", []).append(d)
+
+    def steps(d):
+        return [d] + [x for c in sorted(by.get(d, []), key=lambda c: (-size[c], c.upper())) for x in steps(c)]
+
+    assert walk == steps(".")
 
 
 def test_tree_drilldown_and_nesting(spark):
