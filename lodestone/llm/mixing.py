@@ -26,7 +26,7 @@ from . import shared
 WEIGHTS = (5.0, 2.0, 1.0)
 LIMIT = 3.0
 #: Documents a chunk holds on average; leftovers that a node of the tree rounds.
-CHUNK_ROWS, FAN_IN = 20_000, 1_000
+CHUNK_ROWS, FAN_IN = 2_000, 1_000
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = 7
 
