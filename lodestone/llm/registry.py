@@ -16,4 +16,4 @@ QUERIES = {
     "op9_simhash_near_dup": simhash.op9_simhash_near_dup,
     "op10_media": media.op10_media,
 }
-ORACLES: dict[str, str] = {"op3_sharding": sharding.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op7_chat": chat.ORACLE}
+ORACLES: dict[str, str] = {"op3_sharding": sharding.ORACLE, "op5_warc": warc.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op7_chat": chat.ORACLE}

@@ -192,3 +192,15 @@ def op5_warc(spark, sf_dir: str) -> DataFrame:
     """Contract of operator 5 over the whole of ``pages``."""
     files = write(spark.read.parquet(f"{sf_dir}/pages.parquet"), shared.new_path(spark, "warc"))
     return read(spark, files, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: The digest in base 32: each five hexadecimal digits of the SHA-1 are four characters.
+_CHARACTER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((v >> {shift}) & 31) + 1]"
+ORACLE = f"""
+with p as (select page_id, strlen(coalesce(html, '')) as n, sha1(coalesce(html, '')) as h from pages),
+marked as (select *, max(page_id) over (partition by h) as last from p)
+select page_id, cast(n as bigint) as payload_bytes,
+  array_to_string(list_transform(list_transform(range(0, 8), lambda g: cast('0x' || substr(h, cast(g * 5 + 1 as int), 5) as int)), lambda v: {" || ".join(_CHARACTER.format(shift=s) for s in (15, 10, 5, 0))}), '') as payload_digest,
+  case when page_id = last then 'response' else 'revisit' end as record_type, case when page_id <> last then last end as refers_to
+from marked
+"""
