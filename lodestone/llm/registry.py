@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, line_dedup, media, mixing, sharding, simhash, token_counts, toxicity, warc
+from . import chat, decontamination, line_dedup, media, mixing, sharding, simhash, spelling, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_simhash_near_dup": simhash.op9_simhash_near_dup,
     "op10_media": media.op10_media,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
 }
 ORACLES: dict[str, str] = {"op3_sharding": sharding.ORACLE, "op5_warc": warc.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op7_chat": chat.ORACLE}
