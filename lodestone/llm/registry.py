@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, line_dedup, media, mixing, repair, sharding, simhash, spelling, token_counts, toxicity, warc
+from . import chat, decontamination, line_dedup, media, mixing, repair, sharding, simhash, spelling, substring, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_media": media.op10_media,
     "op11_spelling_variants": spelling.op11_spelling_variants,
     "op12_conversation_repair": repair.op12_conversation_repair,
+    "op13_substring_dedup": substring.op13_substring_dedup,
 }
 ORACLES: dict[str, str] = {"op3_sharding": sharding.ORACLE, "op5_warc": warc.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op7_chat": chat.ORACLE}
