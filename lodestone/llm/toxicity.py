@@ -46,6 +46,8 @@ _SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "6": "g", "7":
 _IGNORED = dict.fromkeys([*range(0x300, 0x370), 0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
 _TABLE = str.maketrans(_HOMOGLYPHS) | {ord(k): v for k, v in _SUBSTITUTES.items()} | _IGNORED
 _TABLE[ord("ӏ")] = _TABLE[ord("ł")] = "i"  # as every l
+#: Odd factors: each puts hashes in another order.
+_MIXES = tuple(np.uint64(x) for x in (1, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _SYMBOLS = re.compile(r"[@$!€](?=\w)")
 _SYMBOL = {"@": "a", "$": "s", "!": "i", "€": "e"}
 _STRETCHED = re.compile(r"(\w)\1{2,}")
@@ -157,25 +159,30 @@ def _counted(rows: DataFrame) -> DataFrame:
     return rows.select("toxic", "text").mapInArrow(run, "feature string, a long, b long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
+def _signature(text: str | None) -> int:
+    """A number that texts share whose sets of three-word shingles have equal minima under each of ``_MIXES``: copies always, near copies mostly, texts with a phrase in common hardly ever."""
+    import xxhash
+
+    from .simhash import shingle_hashes
+
+    h = shingle_hashes((text or "").encode(), 3)
+    return xxhash.xxh64_intdigest(np.array([(h * m).min() for m in _MIXES]).tobytes()) >> 1 if len(h) else 0
+
+
 def _signed_texts(rows: DataFrame) -> DataFrame:
-    """``(toxic, text)`` with one row for each group of texts that share their least word-shingle hash, so that copies count once.
+    """``(toxic, text)`` with one row for each label of each group of texts that share a signature, so that copies count once.
 
-    The group's text is the least one and its label the worst, whatever the order of rows. Texts without words are one group.
+    A label stays with a text of its own, the least one in its group; copies with different labels are a
+    row for each label. Texts without words are one group.
     """
 
     def run(batches):
-        from .simhash import shingle_hashes
-
         for b in batches:
-            texts = b.column(1).to_pylist()
-            sign = []
-            for t in texts:
-                h = shingle_hashes((t or "").encode(), 3)
-                sign.append(int(h.min().view(np.int64)) if len(h) else 0)
+            sign = [_signature(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sign, pa.int64())], names=["toxic", "text", "sign"])
 
     signed = rows.mapInArrow(run, "toxic int, text string, sign long")
-    return signed.groupBy("sign").agg(F.max("toxic").alias("toxic"), F.min(F.coalesce("text", F.lit(""))).alias("text")).drop("sign")
+    return signed.groupBy("sign", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("toxic", "text")
 
 
 def learning(doc_id) -> F.Column:
