@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import structured
-from .portability import _GUID, _json, any_of, default_severity, fingerprint
+from .portability import GUID, _json, any_of, default_severity, fingerprint
 
 # fixed values
 EV2_MARKERS = ("/ev2/", "/rollout", "/service-model", "/servicemodel", "/bindings/")
@@ -46,7 +46,7 @@ def scalar_rules() -> F.Column:
     """The rules that a scalar breaks, from ``kind, at, key, value``; rows without a value break none."""
     key, at, value = F.lower(F.coalesce("key", F.lit(""))), F.lower("at"), F.col("value")
     said = lambda word: key.contains(word) | at.contains(word)
-    fixed, guid = ~parameter(value), value.rlike(f"(?i)^{_GUID}$")
+    fixed, guid = ~parameter(value), value.rlike(f"^{GUID}$")
     secret, low = key.rlike("(?i)" + any_of(SECRETS) + "$"), F.lower(value)
     vault = low.rlike("keyvault|kv://|secretref")
     secure = F.contains(value, F.lit("$(")) | F.contains(value, F.lit("${{")) | low.rlike(r"variables\[|keyvault")
@@ -95,7 +95,7 @@ def text_fallback(files: DataFrame) -> DataFrame:
     """Findings from the lines of artifacts ``files(path, kind, text, error)`` that are not structured or cannot be parsed."""
     rows = files.select("path", "kind", "error", F.posexplode(F.split("text", "\n", -1)).alias("i", "raw")).withColumn("raw", F.regexp_replace("raw", r"\r$", "")).withColumn("t", F.trim("raw"))
     rows = rows.where("t <> '' and t not like '#%'").withColumn("value", line_value(F.col("t")))
-    low, guid = F.lower("t"), F.col("value").rlike(f"(?i)^{_GUID}$")
+    low, guid = F.lower("t"), F.col("value").rlike(f"^{GUID}$")
     hit = lambda k, when, rule, value=None: F.when((F.col("kind") == k) & when, F.struct(F.lit(rule).alias("rule_id"), (F.col("value") if value is None else F.lit(value)).alias("hit")))
     hits = F.array(
         hit("Ev2", low.contains("subscription") & guid, "deploy.ev2.hardcoded.subscription"), hit("Ev2", low.contains("tenant") & guid, "deploy.ev2.hardcoded.tenant"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,28 +13,35 @@ from .portability import _json, fingerprint
 
 # fixed values
 ENVIRONMENTS = ("dev", "development", "test", "qa", "stage", "staging", "prod", "production", "uat")
-PATTERN = rf"(?i)^(.+?)\.({'|'.join(ENVIRONMENTS)})\.(json|ya?ml|toml|ini|config)$"
+#: How a value that is a token and nothing else begins and ends.
+TOKENS = (("${", "}"), ("$(", ")"), ("{{", "}}"), ("%", "%"), ("@Microsoft.KeyVault(", ")"))
 
 
-def environment_files(files: DataFrame, pattern: str = PATTERN) -> DataFrame:
-    """``files(path)`` that are named for an environment, with ``folder, base, env, ext``: by ``pattern`` (base, environment, extension), else by the part before the extension."""
+def environment_files(files: DataFrame, pattern: str | None = None) -> DataFrame:
+    """``files(path)`` that are named for an environment, with ``folder, base, env, ext``: by the user's ``pattern`` (base, environment, extension), else by the part before the extension."""
     name = F.element_at(F.split(F.replace("path", F.lit("\\"), F.lit("/")), "/"), -1)
-    parts = F.filter(F.transform(F.split(name, "[.]"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(name, "[.]"), lambda x: F.trim(x)), lambda x: x != "")
     n = F.size(parts)
-    other = (n >= 3) & F.lower(F.get(parts, n - 2)).isin(*ENVIRONMENTS)
-    first = name.rlike(pattern)
-    pick = lambda i, c: F.when(first, F.regexp_extract(name, pattern, i)).when(other, c)
-    out = files.withColumn("base", pick(1, F.array_join(F.slice(parts, F.lit(1), F.greatest(n - 2, F.lit(0))), "."))).withColumn("env", F.lower(pick(2, F.get(parts, n - 2)))).withColumn("ext", F.lower(pick(3, F.get(parts, n - 1))))
-    return out.withColumn("folder", fn.directory(F.col("path"))).where("env is not null")
+    named = (n >= 3) & F.lower(F.get(parts, n - 2)).isin(*ENVIRONMENTS)
+    told = {"base": F.array_join(F.slice(parts, F.lit(1), F.greatest(n - 2, F.lit(0))), "."), "env": F.get(parts, n - 2), "ext": F.get(parts, n - 1)}
+    for i, c in enumerate(told, 1):
+        value = F.when(named, told[c])
+        if pattern:
+            value = F.when(name.rlike(pattern), F.regexp_extract(name, pattern, i)).otherwise(value)
+        files = files.withColumn(c, value if c == "base" else F.lower(value))
+    return files.withColumn("folder", fn.directory(F.col("path"))).where("env is not null")
 
 
 def parameterised(value) -> F.Column:
     """A token and nothing else, or a reference to a vault."""
-    whole = value.rlike(r"(?i)^\s*(\$\{[^}]+\}|\$\([^)]+\)|\{\{[^}]+\}\}|%[^%]+%|@Microsoft\.KeyVault\([^)]+\))\s*$")
-    return F.coalesce((F.trim(value) != "") & (whole | F.lower(value).rlike("keyvault|vault[.]azure[.]net")), F.lit(False))
+    text = F.trim(value)
+    inner = lambda a, z: F.substring(text, F.lit(len(a) + 1), F.char_length(text) - len(a) - len(z))
+    tests = [F.lower(text).startswith(a.lower()) & text.endswith(z) & (F.char_length(text) > len(a) + len(z)) & ~F.contains(inner(a, z), F.lit(z[0])) for a, z in TOKENS]
+    vault = F.contains(F.lower(text), F.lit("keyvault")) | F.contains(F.lower(text), F.lit("vault.azure.net"))
+    return F.coalesce(reduce(lambda a, b: a | b, tests, vault), F.lit(False))
 
 
-def settings(files: DataFrame, pattern: str = PATTERN) -> DataFrame:
+def settings(files: DataFrame, pattern: str | None = None) -> DataFrame:
     """``files(path, text)`` -> ``(config_set, path, env, key, value)`` of the JSON and YAML files named for an environment; files that cannot be read are left out."""
     own = environment_files(files, pattern).select("path", "text", F.concat_ws("/", F.lower("folder"), F.lower("base"), F.lower("ext")).alias("config_set"), "base", "env", "ext")
     flat = structured.flatten(own.select("path", "text")).where("error is null")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 from ..functions.globs import loose
-from .portability import _GUID, _json, any_of, fingerprint, is_test, opened, rules_of, spots
+from .portability import GUID, QUOTED, _json, any_of, fingerprint, is_test, opened, rules_of, spots
 
 # fixed values
 SINKS = {
@@ -27,8 +27,14 @@ CALLS = {
 }
 COMPARISONS, CONDITIONS, EXCEPTIONS = ("==", "!=", "case ", "match ", "ContainsKey", "TryGetValue"), ("if ", "if(", "else if", "while "), ("throw", "raise", "panic!")
 MIN_USES, PER_DIRECTORY, TOTAL, MAX_ENTROPY = 2, 50, 500, 4.2
-SAFE = rf"(?i)\b{_GUID}\b|\b\d{{4}}-\d{{2}}-\d{{2}}(?:[t ]\d{{2}}:\d{{2}}:\d{{2}}(?:[.]\d+)?(?:z|[+-]\d{{2}}:\d{{2}})?)?\b|^v?\d+[.]\d+[.]\d+(?:-[0-9a-z.-]+)?(?:[+][0-9a-z.-]+)?$"
-LITERAL = r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'"
+
+
+def identifier(value) -> F.Column:
+    """Values that name nothing by themselves: one with a GUID in it, one with a word that begins with a date of the calendar, a version of three numbers."""
+    dated = F.exists(F.split(value, r"\s+"), lambda w: w.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}") & F.substring(w, 1, 10).try_cast("date").isNotNull())
+    core = F.split(F.regexp_replace(value, "^[vV]|[-+].*$", ""), "[.]")
+    version = (F.size(core) == 3) & F.forall(core, lambda x: x.rlike("^[0-9]+$"))
+    return value.rlike(GUID) | F.coalesce(dated, F.lit(False)) | version
 
 
 def _has(text, words):
@@ -57,11 +63,11 @@ def occurrences(files: DataFrame, sinks: dict | None = None, allow=(), deny=(),
     rows = opened(files.select("path", "language", "text"))
     logged = F.coalesce(_by_language(sinks, lambda w: _has(F.col("content"), w)), F.lit(False))
     call = _by_language(CALLS, lambda w: F.coalesce(*[F.when(F.lower("content").contains(t.lower()), t) for t in w]))
-    found = rows.where(~logged).withColumn("call", call.cast("string")).select("*", F.explode(spots(F.col("content"), LITERAL)).alias("s"))
+    found = rows.where(~logged).withColumn("call", call.cast("string")).select("*", F.explode(spots(F.col("content"), QUOTED)).alias("s"))
     inner = F.expr("substring(s.value, 2, char_length(s.value) - 2)")
     found = found.withColumn("raw", inner).withColumn("literal", fn.collapse(F.regexp_replace(inner, r"\r", ""))).where("char_length(literal) > 2")
     lit = F.col("literal")
-    dull = _like_any(lit, allow) | (F.size(rules_of(lit)) > 0) | lit.rlike(SAFE) | fn.natural_language(lit) | ((F.char_length(lit) >= 16) & (fn.entropy(lit) >= max_entropy))
+    dull = _like_any(lit, allow) | (F.size(rules_of(lit)) > 0) | identifier(lit) | fn.natural_language(lit) | ((F.char_length(lit) >= 16) & (fn.entropy(lit) >= max_entropy))
     kept = found.where(_like_any(lit, deny) | ~dull)
     return kept.select(
         "path", "language", "line", F.col("s.column").alias("column"), "raw", "literal", "call", _has(F.col("content"), COMPARISONS).alias("compared"), _has(F.col("content"), CONDITIONS).alias("condition"),
@@ -112,13 +118,14 @@ def findings(rows: DataFrame, found: DataFrame, per_file: int = 5) -> DataFrame:
     )
 
 
-def ranked(rows: DataFrame, min_score: float = 0.0, min_uses: int = MIN_USES, language: str = "", path_prefix: str = "", top: int = 25) -> DataFrame:
-    """Candidates by score after filters; ``path_prefix`` holds for the first place."""
+def ranked(rows: DataFrame, min_score: float = 0.0, min_uses: int = MIN_USES, language: str = "", path_prefix: str = "", top: int = 25, found: DataFrame | None = None) -> DataFrame:
+    """Candidates by score after filters; ``path_prefix`` holds for any of the places in ``found``, or, without them, for the first place."""
     rows = rows.where((F.col("score") >= min_score) & (F.col("n") >= min_uses))
     if language.strip():
         rows = rows.where(F.exists("languages", lambda x: F.lower(x) == language.strip().lower()))
     if path_prefix.strip():
-        rows = rows.where(F.lower("path").startswith(path_prefix.strip().lower()))
+        begins = F.lower("path").startswith(path_prefix.strip().lower())
+        rows = rows.where(begins) if found is None else rows.join(found.where(begins).select("literal"), "literal", "left_semi")
     return rows.orderBy(F.desc("score"), F.desc("n"), F.upper("literal"), "literal").limit(min(max(1, top), 100))
 
 

@@ -1,9 +1,10 @@
 """Portability detectors over files: whole-text patterns, literals of several languages, ports, cloud clients.
 
 ``files(path, category, language, text)`` -> findings ``(path, rule_id, line, column, message, snippet,
-severity, confidence, fingerprint, metadata)``. Syntax is read by expressions over lines, without a
-parser: a literal's call is the innermost one still open before it on its line. All work stays in
-expressions over one row a file; a file is opened into lines only if its whole text may hold a hit.
+severity, confidence, fingerprint, metadata)``. C# and PowerShell are cut into tokens by
+``sources/code_tokens.py``, over whole files; all other work stays in expressions over one row a file, and
+a file is opened into lines only if its whole text may hold a hit. Values are judged by their parts
+(numbers with dots, names with dots, words, settings) and lists of names.
 
 Defined results: a null or empty text has no findings; a null path is an empty one in fingerprints;
 repeated rows of a file are reported each.
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.globs import loose
+from ..sources import code_tokens as ct
 from . import catalog
 
 # fixed values
@@ -51,27 +53,19 @@ def any_of(words) -> str:
     return "(?:" + "|".join("".join(c if c.isalnum() or c in "_- /:!<" else f"\\{c}" for c in w) for w in words) + ")"
 
 
-_BYTE = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-_GUID = r"[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}"
-IPV4 = rf"\b(?:{_BYTE}[.]){{3}}{_BYTE}\b"
-PATTERNS = {
-    "portability.hardcoded.ipv4": IPV4,
-    "portability.hardcoded.dns": rf"(?i)\b(?:[a-z0-9-]+[.])+{any_of(CLOUD_DOMAINS)}\b",
-    "portability.hardcoded.filepath.windows": r"(?<![A-Za-z0-9_])(?:[A-Za-z]:\\(?:[^\\\r\n:*?\"<>|]+\\?)+|\\\\[A-Za-z0-9._$ -]+\\[^\r\n]+)",
-    "portability.hardcoded.filepath.linux": rf"(?i)\B/{any_of(ROOT_FOLDERS)}/(?:[^\s\"'`]+)?",
-    "portability.hardcoded.guid": rf"(?i)\b{any_of(ID_KEYWORDS)}\b[^\r\n]{{0,50}}\b{_GUID}\b",
-    "portability.hardcoded.region": rf"(?i)\b{any_of(REGIONS)}\b",
-    "portability.hardcoded.endpoint": rf"(?i)\b{any_of(ENDPOINTS)}\b",
-    "portability.hardcoded.connectionstring": rf"(?i)\b{any_of(SECRET_KEYS)}\s*=",
-    "portability.hardcoded.localhost": "(?i)localhost",
-    "portability.hardcoded.registrykey": rf"(?i)\bHKEY_{any_of(HIVES)}\\[^\r\n\"']+",
-}
-#: The rules for whole texts, the first seven; Linux paths count in source files only.
-TEXT_RULES = tuple(PATTERNS)[:7]
-QUOTED = r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'"
-CSHARP_STRING = r"@\"(?:[^\"]|\"\")*\"|\"(?:\\.|[^\"\\])*\""
-#: A call still open at the end of a text: its name, and its opening bracket.
-OPEN_CALL = r"([\w.:<>]+)\s*\((?:[^();]|\([^()]*\))*$"
+#: What a text is cut into before it is judged: numbers with dots, names with dots, words, and what is written like a GUID.
+DOTTED, HOST, WORD = r"\b[0-9]+(?:[.][0-9]+)+\b", r"\b[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+\b", r"\b[A-Za-z0-9_]+\b"
+GUID = r"\b[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}\b"
+#: A path ends at a blank, a quote or a sign that no name has; what may not stand before it is kept apart for other engines.
+_NO_WORD, _NO_PATH = r"\w", r"\w./-"
+_DRIVE_OR_SHARE, _ROOTED = r"(?:[A-Za-z]:|\\\\[\w.-]+)\\[^\s\"'<>|*?]*", rf"/(?:{'|'.join(ROOT_FOLDERS)})/[\w.@%+~/-]*"
+WINDOWS_PATH, LINUX_PATH = f"(?<![{_NO_WORD}]){_DRIVE_OR_SHARE}", f"(?<![{_NO_PATH}]){_ROOTED}"
+_ID_WORD = r"\b" + any_of(ID_KEYWORDS) + r"\b"
+#: The rules for whole texts; Linux paths count in source files only.
+TEXT_RULES = tuple(f"portability.hardcoded.{x}" for x in ("ipv4", "dns", "filepath.windows", "filepath.linux", "guid", "region", "endpoint"))
+LITERAL_RULES = (*TEXT_RULES, *(f"portability.hardcoded.{x}" for x in ("connectionstring", "localhost", "registrykey")))
+#: Quoted texts: stretches without quotes and backslashes, between them a backslash with what it escapes.
+QUOTED = "|".join(rf"{q}[^{q}\\]*(?:\\.[^{q}\\]*)*{q}" for q in "\"'")
 MARKER = "lodestone"
 FINDING = ("path", "rule_id", "line", "column", "message", "snippet", "severity", "confidence", "fingerprint", "metadata")
 
@@ -90,13 +84,37 @@ def spots(content, pattern: str) -> F.Column:
     return F.zip_with(hits, places, lambda v, p: F.struct(v.alias("value"), p.alias("column"), F.substring(content, F.lit(1), p - 1).alias("before")))
 
 
+def is_ipv4(dotted) -> F.Column:
+    """Whether a number with dots is an address: four parts, none above 255."""
+    parts = F.split(dotted, "[.]")
+    return (F.size(parts) == 4) & F.forall(parts, lambda x: F.coalesce(x.try_cast("int") <= 255, F.lit(False)))
+
+
+def in_cloud(host) -> F.Column:
+    """Whether a name with dots lies in a cloud domain."""
+    h = F.lower(host)
+    return F.exists(F.array(*[F.lit(f".{d}") for d in CLOUD_DOMAINS]), lambda d: h.endswith(d))
+
+
+def is_endpoint(host) -> F.Column:
+    return F.lower(host).isin(*ENDPOINTS)
+
+
+def is_region(word) -> F.Column:
+    return F.lower(word).isin(*REGIONS)
+
+
 def rules_of(value) -> F.Column:
     """The rules that a literal's value falls under; of addresses only the first is compared with those allowed."""
-    first = F.regexp_extract(value, IPV4, 0)
-    tests = {r: value.rlike(p) for r, p in PATTERNS.items()}
-    tests["portability.hardcoded.ipv4"] = (first != "") & ~first.isin(*ALLOWED_IPS)
-    tests["portability.hardcoded.guid"] |= value.rlike(rf"(?i)\b{_GUID}\b") & value.rlike("(?i)" + any_of(ID_KEYWORDS))
-    return F.filter(F.array(*[F.when(t, r) for r, t in tests.items()]), lambda x: x.isNotNull())
+    every = lambda pattern: F.regexp_extract_all(value, F.lit(pattern), F.lit(0))
+    first = F.get(F.filter(every(DOTTED), is_ipv4), F.lit(0))
+    hosts = every(HOST)
+    settings = F.split(value, ";")
+    tests = (
+        first.isNotNull() & ~first.isin(*ALLOWED_IPS), F.exists(hosts, in_cloud), value.rlike(WINDOWS_PATH), value.rlike(LINUX_PATH), value.rlike(GUID) & value.rlike("(?i)" + any_of(ID_KEYWORDS)), F.exists(every(WORD), is_region), F.exists(hosts, is_endpoint),
+        F.exists(settings, lambda x: F.contains(x, F.lit("=")) & F.lower(F.trim(F.substring_index(x, "=", 1))).isin(*SECRET_KEYS)), F.contains(F.lower(value), F.lit("localhost")), reduce(lambda a, b: a | b, [F.contains(F.upper(value), F.lit(f"HKEY_{h}\\")) for h in HIVES]),
+    )
+    return F.filter(F.array(*[F.when(t, r) for r, t in zip(LITERAL_RULES, tests, strict=True)]), lambda x: x.isNotNull())
 
 
 def is_test(path) -> F.Column:
@@ -151,19 +169,29 @@ def _severity() -> F.Column:
     return F.when(is_test(F.col("path")), "Info").otherwise(default_severity(F.col("rule_id")))
 
 
-def _of_rule(rule: str) -> F.Column:
-    """Matches of a rule in ``content`` as (rule_id, value, column)."""
-    return F.transform(spots(F.col("content"), PATTERNS[rule]), lambda s: F.struct(F.lit(rule).alias("rule_id"), s["value"].alias("value"), s["column"].alias("column")))
+def _text_hits() -> F.Column:
+    """Matches of the text rules in ``content`` as (rule_id, value, column)."""
+    content = F.col("content")
+    tests = (
+        (DOTTED, lambda s: is_ipv4(s["value"]) & ~s["value"].isin(*ALLOWED_IPS)), (HOST, lambda s: in_cloud(s["value"])), (WINDOWS_PATH, None), (LINUX_PATH, lambda s: F.col("category") == "Source"),
+        (GUID, lambda s: s["before"].rlike(f"(?i){_ID_WORD}")), (WORD, lambda s: is_region(s["value"])), (HOST, lambda s: is_endpoint(s["value"])),
+    )
+
+    def told(rule: str, pattern: str, test):
+        found = spots(content, pattern)
+        return F.transform(F.filter(found, test) if test else found, lambda s: F.struct(F.lit(rule).alias("rule_id"), s["value"].alias("value"), s["column"].alias("column")))
+
+    return F.concat(*[told(rule, *of) for rule, of in zip(TEXT_RULES, tests, strict=True)])
+
+
+#: Without a sign of these no text rule has a match.
+_MAY = rf"[A-Za-z0-9][.][A-Za-z0-9]|\\|/{any_of(ROOT_FOLDERS)}/|(?i){any_of(ID_KEYWORDS)}|{any_of(REGIONS)}"
 
 
 def text_findings(files: DataFrame) -> DataFrame:
     """Matches of the text rules in files of any language; suppressions do not apply."""
-    may = F.col("text").rlike("|".join(f"(?:{PATTERNS[r]})" for r in TEXT_RULES))
-    rows = opened(files.where(F.col("category").isin(*TEXT_CATEGORIES) & may)).drop("spared")
-    hits = [_of_rule(r) for r in TEXT_RULES]
-    hits[0] = F.filter(hits[0], lambda s: ~s["value"].isin(*ALLOWED_IPS))
-    hits[3] = F.when(F.col("category") == "Source", hits[3]).otherwise(F.slice(hits[3], 1, 0))
-    found = rows.select("path", "line", "content", F.explode(F.concat(*hits)).alias("h")).select("path", "line", "content", "h.*")
+    rows = opened(files.where(F.col("category").isin(*TEXT_CATEGORIES) & F.col("text").rlike(_MAY))).where(F.col("content").rlike(_MAY)).drop("spared")
+    found = rows.select("path", "line", "content", F.explode(_text_hits()).alias("h")).select("path", "line", "content", "h.*")
     return _finding(found, F.col("value"), F.concat(F.lit("Hard-coded value '"), F.col("value"), F.lit("'.")), default_severity(F.col("rule_id")), "Medium", _json(engine="regex", ruleVersion="1", matchedValue=F.col("value")))
 
 
@@ -186,39 +214,38 @@ def line_findings(files: DataFrame) -> DataFrame:
     return _finding(found, F.col("value"), text, _severity(), sure, told).unionByName(_finding(ports, F.col("value"), F.concat(F.lit("Hard-coded port "), F.col("value"), F.lit(".")), _severity(), "High", told))
 
 
+def _named(symbol, words) -> F.Column:
+    """Whether a name holds one of some names, case and all."""
+    return F.coalesce(reduce(lambda a, b: a | b, [F.contains(symbol, F.lit(w)) for w in words]), F.lit(False))
+
+
 def csharp_findings(files: DataFrame) -> DataFrame:
-    """C#: literals by the call that they are in, cloud clients made directly, ports in network calls."""
-    rows = opened(files.where((F.col("category") == "Source") & (F.col("language") == "csharp")))
-    found = rows.select("*", F.explode(spots(F.col("content"), CSHARP_STRING)).alias("s")).select("*", "s.column", "s.before", "s.value").drop("s")
-    inner = F.when(F.col("value").startswith("@"), F.replace(F.expr("substring(value, 3, char_length(value) - 3)"), F.lit('""'), F.lit('"'))).otherwise(F.regexp_replace(F.expr("substring(value, 2, char_length(value) - 2)"), r"\\(.)", "$1"))
-    found = found.withColumn("value", inner).where(F.trim("value") != "")
-    found = found.withColumn("attribute", F.regexp_extract("before", r"^\s*\[\s*([\w.]+)\s*\([^()]*$", 1)).withColumn("symbol", F.regexp_extract("before", OPEN_CALL, 1))
-    made = F.col("before").rlike(r"\bnew\s+[\w.:<>]+\s*\((?:[^();]|\([^()]*\))*$")
-    found = found.where(made | ~F.col("symbol").rlike(any_of(CONFIG_CALLS))).withColumn("rule_id", F.explode(rules_of(F.col("value"))))
+    """C#: literals by the call or attribute that they are an argument of, cloud clients made directly, ports in network calls; calls may run over any number of lines."""
+    sources = files.where((F.col("category") == "Source") & (F.col("language") == "csharp"))
+    rows = ct.tokens(sources, lambda text: ct.csharp(text, CONFIG_READS, MARKER), ct.CSHARP)
+    read = ~F.col("made") & _named(F.col("symbol"), CONFIG_CALLS)
+    found = rows.where((F.col("kind") == "string") & (F.trim("value") != "") & ~read).withColumn("rule_id", F.explode(rules_of(F.col("value"))))
     certain = F.col("rule_id").isin("portability.hardcoded.connectionstring", "portability.hardcoded.localhost")
-    sure = F.when((F.col("attribute") != "") | F.col("symbol").rlike(any_of(SYMBOLS)) | certain, "High").otherwise("Medium")
+    sure = F.when(F.col("attribute").isNotNull() | _named(F.col("symbol"), SYMBOLS) | certain, "High").otherwise("Medium")
     mild = F.when(is_test(F.col("path")) | F.col("near_config"), "Info").otherwise(default_severity(F.col("rule_id")))
-    told = _json(engine="csharp-heuristic", astConfirmed=False, callsite=F.when(F.col("attribute") != "", F.col("attribute")).when(F.col("symbol") != "", F.col("symbol")).otherwise("literal"))
+    told = _json(engine="csharp-tokens", astConfirmed=False, callsite=F.coalesce(F.nullif("attribute", F.lit("")), "symbol", F.lit("literal")))
     literals = _finding(found, F.col("value"), F.concat(F.lit("Hard-coded value '"), F.col("value"), F.lit("'.")), mild, sure, told)
-    client = rows.select("path", "line", "content", F.explode(spots(F.col("content"), rf"(?<=\bnew )\s*[\w.<>]*{any_of(CLOUD_CLIENTS)}[\w.<>]*(?=\s*[({{\[])")).alias("s")).select("path", "line", "content", "s.column", F.trim("s.value").alias("value"))
-    client = client.withColumn("rule_id", F.lit("portability.cloud.sdk.no_abstraction"))
-    clients = _finding(client, F.col("value"), F.concat(F.lit("Cloud client '"), F.col("value"), F.lit("' is made directly.")), _severity(), "High", _json(engine="csharp-heuristic", callsite=F.concat(F.lit("new "), F.col("value"))))
-    inside = rf"(?i)([\w.]*{any_of(PORT_CALLS)}[\w.]*|\bnew\s+[\w.]*{any_of(PORT_TYPES)}[\w.]*)\s*\((?:[^();]|\([^()]*\)|[\w.]+\s*\()*$"
-    port = rows.select("path", "line", "content", F.explode(F.filter(spots(F.col("content"), r"(?<![\w.])[0-9]{1,9}(?![\w.])"), lambda s: odd_port(s["value"]) & s["before"].rlike(inside) & ((F.char_length(s["before"]) - F.char_length(F.replace(s["before"], F.lit('"'), F.lit("")))) % 2 == 0))).alias("s"))
-    port = port.select("path", "line", "content", "s.column", "s.value", F.regexp_extract("s.before", inside, 1).alias("symbol")).withColumn("rule_id", F.lit("portability.hardcoded.port"))
-    ports = _finding(port, F.col("value"), F.concat(F.lit("Hard-coded port "), F.col("value"), F.lit(" in '"), F.col("symbol"), F.lit("'.")), _severity(), "High", _json(engine="csharp-heuristic", callsite=F.col("symbol")))
+    client = rows.where((F.col("kind") == "new") & _named(F.col("value"), CLOUD_CLIENTS)).withColumn("rule_id", F.lit("portability.cloud.sdk.no_abstraction"))
+    clients = _finding(client, F.col("value"), F.concat(F.lit("Cloud client '"), F.col("value"), F.lit("' is made directly.")), _severity(), "High", _json(engine="csharp-tokens", callsite=F.concat(F.lit("new "), F.col("value"))))
+    network = F.filter("calls", lambda c: _named(c, PORT_CALLS) | (c.startswith("new ") & _named(c, PORT_TYPES)))
+    port = rows.where((F.col("kind") == "number") & odd_port(F.col("value"))).withColumn("call", F.regexp_replace(F.get(network, F.lit(0)), "^new ", "")).where("call is not null").withColumn("rule_id", F.lit("portability.hardcoded.port"))
+    ports = _finding(port, F.col("value"), F.concat(F.lit("Hard-coded port "), F.col("value"), F.lit(" in '"), F.col("call"), F.lit("'.")), _severity(), "High", _json(engine="csharp-tokens", callsite=F.col("call")))
     return literals.unionByName(clients).unionByName(ports)
 
 
 def powershell_findings(files: DataFrame) -> DataFrame:
-    """PowerShell: quoted and bare arguments of five commands; of ``New-Object`` only where a URI is made."""
-    rows = opened(files.where((F.col("category") == "Source") & (F.col("language") == "powershell")))
-    found = rows.select("*", F.explode(spots(F.col("content"), QUOTED + r"|[^\s\"'|;(){}]+")).alias("s")).select("*", "s.column", "s.before", "s.value").drop("s")
-    command = F.regexp_extract("before", rf"(?i)(?:^|[\s|;({{=])({any_of(CMDLETS)})\s(?:\"[^\"]*\"|'[^']*'|[^|;\"'])*$", 1)
-    found = found.withColumn("command", command).where("command <> ''")
-    found = found.where((F.lower("command") != "new-object") | F.lower("content").contains("system.uri"))
-    found = found.withColumn("value", F.when(F.col("value").rlike("^[\"']"), F.expr("substring(value, 2, char_length(value) - 2)")).otherwise(F.col("value"))).withColumn("rule_id", F.explode(rules_of(F.col("value"))))
-    return _finding(found, F.col("value"), F.concat(F.lit("Hard-coded value passed to '"), F.col("command"), F.lit("'.")), _severity(), "High", _json(engine="powershell-heuristic", callsite=F.col("command")))
+    """PowerShell: quoted and bare arguments of five commands, whatever lines they stand on; of ``New-Object`` only where a URI is made."""
+    rows = ct.tokens(files.where((F.col("category") == "Source") & (F.col("language") == "powershell")), lambda text: ct.powershell(text, MARKER), ct.POWERSHELL)
+    own = F.lower("command").isin(*[c.lower() for c in CMDLETS])
+    uri = F.exists("words", lambda w: F.contains(F.lower(w), F.lit("system.uri")))
+    found = rows.where(own & ((F.lower("command") != "new-object") | uri)).withColumn("rule_id", F.explode(rules_of(F.col("value"))))
+    told = _json(engine="powershell-tokens", callsite=F.col("command"), parameter=F.col("parameter"))
+    return _finding(found, F.col("value"), F.concat(F.lit("Hard-coded value passed to '"), F.col("command"), F.lit("'.")), _severity(), "High", told)
 
 
 def custom_findings(files: DataFrame, rules: list[dict]) -> DataFrame:

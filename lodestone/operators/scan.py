@@ -69,7 +69,7 @@ def deploy_scan(files: DataFrame, bundle: cfg.Bundle) -> DataFrame:
     return apply_policy(artifacts.analyse(own.select("path", "text")), bundle)
 
 
-def drift_scan(files: DataFrame, bundle: cfg.Bundle, pattern: str = drift.PATTERN) -> DataFrame:
+def drift_scan(files: DataFrame, bundle: cfg.Bundle, pattern: str | None = None) -> DataFrame:
     return apply_policy(drift.findings(drift.settings(files.select("path", "text"), pattern)), bundle)
 
 

@@ -104,9 +104,9 @@ def _code_lines(spark, sf_dir):
     return to.lines(code_files(spark, sf_dir).select(F.col("path").alias("file_id"), "text"))
 
 
-@query(f"with {_CODE_LINES}, hits as (select file_id, line, content, unnest(regexp_extract_all(content, '{po.IPV4}')) as value from rows) select file_id, line, value, strpos(content, value) as at from hits")
+@query(f"with {_CODE_LINES}, hits as (select file_id, line, content, unnest(regexp_extract_all(content, '{po.DOTTED}')) as value from rows) select file_id, line, value, strpos(content, value) as at from hits")
 def text_scan_positions(spark, sf_dir):
-    rows = _code_lines(spark, sf_dir).select("file_id", "line", F.explode(po.spots(F.col("content"), po.IPV4)).alias("s"))
+    rows = _code_lines(spark, sf_dir).select("file_id", "line", F.explode(po.spots(F.col("content"), po.DOTTED)).alias("s"))
     return rows.select("file_id", "line", "s.value", F.col("s.column").cast("long").alias("at"))
 
 

@@ -318,12 +318,13 @@ def dependency_frameworks(spark, sf_dir):
 _HAS = lambda words: f"regexp_matches(content, '(?i){ma.any_of(words)}')".replace("''", "'")
 _SINK = "case " + " ".join(f"when language = '{k}' then {_HAS(w)}" for k, w in ma.SINKS.items()) + " else false end"
 _STOPS = ", ".join(f"'{w}'" for w in ma.fn.STOP_WORDS)
-_MAGIC = f"""{CODE_SQL}, quoted as (select *, unnest(regexp_extract_all(content, {_quoted(ma.LITERAL)})) as q from code where category = 'Source' and not ({_SINK})),
+_MAGIC = f"""{CODE_SQL}, quoted as (select *, unnest(regexp_extract_all(content, {_quoted(ma.QUOTED)})) as q from code where category = 'Source' and not ({_SINK})),
 lit as (select *, trim(regexp_replace(q[2:-2], '[ \\t\\r\\n]+', ' ', 'g')) as literal from quoted),
 kept as (
   select *, {_HAS(ma.COMPARISONS)} as compared, {_HAS(ma.CONDITIONS)} as condition, {_HAS(ma.EXCEPTIONS)} as exception,
     lower(path) like 'tests/%' or lower(path) like '%/tests/%' or lower(path) like '%/test/%' or lower(path) like '%.tests.%' as test
-  from lit where length(literal) > 2 and len({_literal_rules("literal")}) = 0 and not regexp_matches(literal, {_quoted(ma.SAFE)})
+  from lit where length(literal) > 2 and len({_literal_rules("literal")}) = 0 and not regexp_matches(literal, {_quoted(ma.GUID)})
+    and len(list_filter(string_split(literal, ' '), lambda x: regexp_matches(x, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') and try_cast(x[1:10] as date) is not null)) = 0 and not regexp_full_match(regexp_replace(literal, '^[vV]|[-+].*$', '', 'g'), '[0-9]+[.][0-9]+[.][0-9]+')
     and not (length(literal) >= 16 and list_aggregate(string_split(literal, ''), 'entropy') >= 4.2)
     and not (len(regexp_extract_all(lower(literal), '[a-z]{{2,}}')) >= 3 and regexp_matches(literal, '[.,;:!?]') and len(list_filter(regexp_extract_all(lower(literal), '[a-z]{{2,}}'), lambda x: x in ({_STOPS}))) / greatest(len(regexp_extract_all(lower(literal), '[a-z]{{2,}}')), 1) >= 0.35)),
 g as (select literal, count(*) as n, count(distinct path) as files, min(path) as path, count(*) filter (where compared) as compared, count(*) filter (where condition) as condition, count(*) filter (where exception) as exception, count(*) filter (where test) as test from kept group by 1 having count(*) >= 2),
@@ -348,9 +349,10 @@ def magic_limited(spark, sf_dir):
     return ma.limited(_candidates(spark, sf_dir), 4, 12).select("literal", "n", "score")
 
 
-@query(f"with {_MAGIC} select literal, score, rule_id from scored where score >= 0.5 and n >= 2 and lower(path) like 'src/%' order by score desc, n desc, upper(literal), literal limit 25")
+@query(f"with {_MAGIC} select literal, score, rule_id from scored where score >= 0.5 and n >= 2 and literal in (select literal from kept where lower(path) like 'src/%') order by score desc, n desc, upper(literal), literal limit 25")
 def magic_ranked(spark, sf_dir):
-    return ma.ranked(_candidates(spark, sf_dir), 0.5, 2, path_prefix="SRC/").select("literal", "score", "rule_id")
+    found = ma.occurrences(cv.code_files(spark, sf_dir).where("category = 'Source'"))
+    return ma.ranked(ma.candidates(found), 0.5, 2, path_prefix="SRC/", found=found).select("literal", "score", "rule_id")
 
 
 @query(f"with {_MAGIC}, m as (select *, case when path like '%/%' then split_part(path, '/', 1) else '.' end as module from scored) select module, literal, score, row_number() over (partition by lower(module) order by score desc, n desc, upper(literal), literal) as place from m qualify place <= 3")

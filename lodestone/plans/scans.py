@@ -18,34 +18,41 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _sql_pattern(rule: str) -> str:
-    """The rule's pattern without looking behind or at no word: one character before takes part, and the match is the first group."""
-    p = po.PATTERNS[rule]
-    if rule.endswith("windows"):
-        return "(?:^|[^A-Za-z0-9_])(" + p.removeprefix("(?<![A-Za-z0-9_])") + ")"
-    if rule.endswith("linux"):
-        return r"(?i)(?:^|[^A-Za-z0-9_])(" + p.removeprefix(r"(?i)\B") + ")"
-    return f"({p})" if not p.startswith("(?i)") else f"(?i)({p[4:]})"
+def _list_of(values) -> str:
+    return ", ".join(_quoted(x) for x in values)
+
+
+_IS_IPV4 = "len(list_filter(string_split(x, '.'), lambda p: coalesce(try_cast(p as int) <= 255, false))) = 4 and len(string_split(x, '.')) = 4"
+_IN_CLOUD = "(" + " or ".join(f"x like '%.{d}'" for d in po.CLOUD_DOMAINS) + ")"
+_DRIVES, _ROOTS = f"(?:^|[^{po._NO_WORD}])({po._DRIVE_OR_SHARE})", f"(?:^|[^{po._NO_PATH}])({po._ROOTED})"
+_ID = f"(?i){po.any_of(po.ID_KEYWORDS)}"
 
 
 def _literal_rules(value: str) -> str:
     """A list of the rules of a value."""
-    tests = {r: f"regexp_matches({value}, {_quoted(_sql_pattern(r))})" for r in po.PATTERNS}
-    first = f"regexp_extract({value}, {_quoted(po.IPV4)})"
-    tests["portability.hardcoded.ipv4"] = f"({first} <> '' and {first} not in ('0.0.0.0', '127.0.0.1'))"
-    tests["portability.hardcoded.guid"] = f"({tests['portability.hardcoded.guid']} or (regexp_matches({value}, '(?i){po._GUID}') and regexp_matches({value}, '(?i){po.any_of(po.ID_KEYWORDS)}')))"
-    return "list_filter([" + ", ".join(f"case when {t} then '{r}' end" for r, t in tests.items()) + "], lambda x: x is not null)"
+    every = lambda p, v=value: f"regexp_extract_all({v}, {_quoted(p)})"
+    some = lambda rows, test: f"len(list_filter({rows}, lambda x: {test})) > 0"
+    ips, hosts = f"list_filter({every(po.DOTTED)}, lambda x: {_IS_IPV4})", every(po.HOST, f"lower({value})")
+    tests = (
+        f"(len({ips}) > 0 and {ips}[1] not in ('0.0.0.0', '127.0.0.1'))", some(hosts, _IN_CLOUD), f"regexp_matches({value}, {_quoted(_DRIVES)})", f"regexp_matches({value}, {_quoted(_ROOTS)})",
+        f"(regexp_matches({value}, {_quoted(po.GUID)}) and regexp_matches({value}, {_quoted(_ID)}))", some(every(po.WORD, f"lower({value})"), f"x in ({_list_of(po.REGIONS)})"), some(hosts, f"x in ({_list_of(po.ENDPOINTS)})"),
+        some(f"string_split({value}, ';')", f"contains(x, '=') and lower(trim(split_part(x, '=', 1))) in ({_list_of(po.SECRET_KEYS)})"), f"contains(lower({value}), 'localhost')", "(" + " or ".join(f"contains(upper({value}), 'HKEY_{h}\\')" for h in po.HIVES) + ")",
+    )
+    return "list_filter([" + ", ".join(f"case when {t} then '{r}' end" for r, t in zip(po.LITERAL_RULES, tests, strict=True)) + "], lambda x: x is not null)"
 
 
 def _each_text_rule(rows: str) -> str:
-    parts = []
-    for r in po.TEXT_RULES:
-        only = " and category = 'Source'" if r.endswith("linux") else ""
-        parts.append(f"select path, line, content, '{r}' as rule_id, unnest(regexp_extract_all(content, {_quoted(_sql_pattern(r))}, 1)) as value from {rows} where true{only}")
+    tests = (
+        (po.DOTTED, 0, f"{_IS_IPV4} and x not in ('0.0.0.0', '127.0.0.1')"), (po.HOST, 0, _IN_CLOUD.replace("x like", "lower(x) like")), (_DRIVES, 1, "true"), (_ROOTS, 1, "category = 'Source'"),
+        (po.GUID, 0, f"regexp_matches(content, {_quoted('(?i)' + po._ID_WORD + '.*')} || x)"), (po.WORD, 0, f"lower(x) in ({_list_of(po.REGIONS)})"), (po.HOST, 0, f"lower(x) in ({_list_of(po.ENDPOINTS)})"),
+    )
+    parts = [
+        f"select path, line, content, '{r}' as rule_id, x as value from (select path, category, line, content, unnest(regexp_extract_all(content, {_quoted(p)}, {g})) as x from {rows}) where {test}" for r, (p, g, test) in zip(po.TEXT_RULES, tests, strict=True)
+    ]
     return " union all ".join(parts)
 
 
-_TEXT = f"select path, rule_id, line, value, {_DEFAULT} as severity, 'Medium' as confidence from ({_each_text_rule('code')}) where not (rule_id like '%ipv4' and value in ('0.0.0.0', '127.0.0.1'))"
+_TEXT = f"select path, rule_id, line, value, {_DEFAULT} as severity, 'Medium' as confidence from ({_each_text_rule('code')})"
 
 
 def _short(findings, value="matchedValue"):

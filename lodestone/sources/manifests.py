@@ -145,6 +145,10 @@ def with_central_versions(deps: DataFrame) -> DataFrame:
     return out.withColumn("exact", pinned_version(F.col("ecosystem"), F.col("version"))).withColumn("pinned", F.col("exact").isNotNull())
 
 
+#: Frameworks that are named anywhere in a manifest (fixed values).
+OLD_NAMED = ("netcoreapp3.1", "net5.0")
+
+
 def old_frameworks(files: DataFrame) -> DataFrame:
     """``(path, line, framework, reason)``: frameworks and runtimes past their support, once for each line."""
     f = _named(files).where("file like '%.csproj' or file in ('directory.packages.props', 'packages.config', 'requirements.txt', 'setup.py', 'pyproject.toml', 'cargo.toml', 'package.json')")
@@ -152,9 +156,13 @@ def old_frameworks(files: DataFrame) -> DataFrame:
     py = f.where("file in ('pyproject.toml', 'setup.py')").select("path", F.posexplode(F.split("text", "\n", -1)).alias("i", "content")).where(F.lower("content").contains("python"))
     said = F.array(F.when(F.contains("content", F.lit("3.6")), "Python 3.6"), F.when(F.contains("content", F.lit("2.")), "Python 2.x"))
     py = py.select("path", (F.col("i") + 1).alias("line"), F.explode(F.filter(said, lambda x: x.isNotNull())).alias("framework"), F.lit("Out-of-support Python runtime.").alias("reason"))
-    token = r"(?i)\b(netcoreapp3\.1|net5\.0|python\s*2(?:\.\d+)?|python\s*3\.6)\b"
-    at = f.where(F.col("text").rlike(token)).select("path", F.posexplode(F.split("text", "\n", -1)).alias("i", "content"))
-    words = at.select("path", (F.col("i") + 1).alias("line"), F.explode(F.regexp_extract_all("content", F.lit(token), F.lit(1))).alias("framework"), F.lit("Out-of-support framework/runtime detected.").alias("reason"))
+    # a name, perhaps blanks, and its numbers
+    name, number = r"\b([A-Za-z]+)[ \t]*[0-9][0-9.]*", r"\b[A-Za-z]+[ \t]*([0-9]+(?:[.][0-9]+)*)"
+    at = f.where(F.col("text").rlike("(?i)netcoreapp|net|python")).select("path", F.posexplode(F.split("text", "\n", -1)).alias("i", "content"))
+    told = F.arrays_zip(*[F.regexp_extract_all("content", F.lit(number), F.lit(g)).alias(c) for g, c in ((0, "said"), (1, "number"))])
+    kind = lambda x: F.lower(F.regexp_extract(x["said"], name, 1))
+    old = lambda x: F.concat(kind(x), x["number"]).isin(*OLD_NAMED) | ((kind(x) == "python") & ((x["number"] == "2") | x["number"].startswith("2.") | (x["number"] == "3.6")))
+    words = at.select("path", (F.col("i") + 1).alias("line"), F.explode(F.transform(F.filter(told, old), lambda x: x["said"])).alias("framework"), F.lit("Out-of-support framework/runtime detected.").alias("reason"))
     every = net.withColumn("o", F.lit(0)).unionByName(py.withColumn("o", F.lit(1))).unionByName(words.withColumn("o", F.lit(2)))
     g = every.groupBy("path", "line", F.lower("framework").alias("k")).agg(F.min(F.struct("o", "framework", "reason")).alias("r"))
     return g.select("path", F.col("line").cast("int").alias("line"), "r.framework", "r.reason")

@@ -33,3 +33,10 @@ def test_scan_of_nulls_and_no_files(spark):
 def test_page_limits_are_clamped(spark):
     f = spark.createDataFrame([(1, "r", "p", i, "Info", "Low", str(i)) for i in range(3)], "run_id int, rule_id string, file_path string, line int, severity string, confidence string, fingerprint string")
     assert [r.line for r in fo.page(f, -5, 0).collect()] == [0]
+
+
+def test_bench_names_are_registered():
+    import __spark_entry__
+    import bench
+
+    assert set(bench.HEADLINE) <= set(__spark_entry__.queries())
