@@ -27,6 +27,8 @@ from __future__ import annotations
 
 import io
 import uuid
+from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -80,31 +82,29 @@ def _path(folder: str, block: int) -> str:
     return f"{folder}/{block:016x}"
 
 
-class _Hashes(dict):
-    """64-bit hashes of words, kept while there are not too many."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 1_000_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_hashes = _Hashes()
-
-
 class Words:
     """The words of several texts in a row, their hashes, and the bounds of the texts."""
 
     def __init__(self, texts: list[bytes]):
         split = [t.split() for t in texts]
         self.bounds = np.cumsum([0, *map(len, split)])
-        self.words = [w for s in split for w in s]
-        self.hash = np.fromiter(map(_hashes.__getitem__, self.words), np.uint64, len(self.words))
-        self.text = np.repeat(np.arange(len(texts)), np.diff(self.bounds))
-        self.left = np.repeat(self.bounds[1:], np.diff(self.bounds)) - np.arange(len(self.words))
+        self.words = list(chain.from_iterable(split))
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        import xxhash
+
+        return np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))
+
+    @cached_property
+    def text(self) -> np.ndarray:
+        """The number of each word's text."""
+        return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
+
+    @cached_property
+    def left(self) -> np.ndarray:
+        """Words from each word to the end of its text, itself included."""
+        return np.repeat(self.bounds[1:], np.diff(self.bounds)) - np.arange(len(self.words))
 
     def grams(self, k: int) -> np.ndarray:
         """Hash of the ``k`` words from each word on; the largest number where the text ends before."""
