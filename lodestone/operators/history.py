@@ -161,6 +161,11 @@ def history_findings(metrics: DataFrame, stale_least: float = 0.8) -> DataFrame:
     return metrics.select("path", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("h")).select("path", "h.rule_id", "h.severity")
 
 
+def unavailable(files: DataFrame) -> DataFrame:
+    """The notice, for each of ``files(path)``, that there is no history to look at."""
+    return files.select("path", F.lit("churn.analysis.unavailable").alias("rule_id"), F.lit("Info").alias("severity"))
+
+
 def module_p90(commits: DataFrame) -> DataFrame:
     """90th percentile, with linear interpolation, of commits a file by top folder."""
     files = commits.groupBy("path").agg(F.count("*").alias("n"))

@@ -440,7 +440,11 @@ def exit_code(findings: DataFrame, fail_on: str = "Error", errors: int = 0) -> i
     return 2 if errors else int(not findings.where(severity_rank() <= at).isEmpty())
 
 
-def console_summary(findings: DataFrame, top: int = 10) -> DataFrame:
-    """``(kind, name, n)``: severities, and the ``top`` files and rules."""
+def console_summary(findings: DataFrame, top: int = 10, metrics: DataFrame | None = None) -> DataFrame:
+    """``(kind, name, n)``: severities, the ``top`` files and rules, and, with metrics, the hotspots: files of most churn, with their commits of the year."""
     part = lambda kind, c, n: findings.groupBy(F.col(c).alias("name")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(n).select(F.lit(kind).alias("kind"), "name", "n")
-    return part("severity", "severity", 3).unionByName(part("file", "file_path", top)).unionByName(part("rule", "rule_id", top))
+    out = part("severity", "severity", 3).unionByName(part("file", "file_path", top)).unionByName(part("rule", "rule_id", top))
+    if metrics is None:
+        return out
+    hot = metrics.where("churn_score > 0").orderBy(F.desc("churn_score"), "file_path").limit(top)
+    return out.unionByName(hot.select(F.lit("hotspot").alias("kind"), F.col("file_path").alias("name"), F.col("commits_365d").alias("n")))

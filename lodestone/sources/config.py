@@ -24,6 +24,10 @@ TEMPLATES = {
 }
 
 
+#: Files beside the rules, at the root of a repository.
+SUPPRESSIONS, LITERALS, SERVICES = "lodestone.suppressions.yaml", "lodestone.literals.yaml", "service-map.txt"
+
+
 @dataclass
 class Bundle:
     """The rules in force and all else that is configured, with warnings and errors of reading it."""
@@ -224,6 +228,29 @@ def literal_settings(text: str) -> dict:
     return {"numbers": numbers, "allow": lists.get("allowlist", []), "deny": lists.get("denylist", []), "sinks": sinks}
 
 
+def side_files(root: str, bundle: Bundle) -> dict:
+    """``suppressions``, ``literals`` and ``services`` of a repository; what cannot be read is an error of ``bundle``."""
+    out = {"suppressions": [], "literals": {}, "services": []}
+    for key, name, read in (("suppressions", SUPPRESSIONS, suppressions), ("literals", LITERALS, literal_settings), ("services", SERVICES, services)):
+        try:
+            with open(os.path.join(root, name), encoding="utf-8") as f:
+                out[key] = read(f.read())
+        except FileNotFoundError:
+            continue
+        except (OSError, ValueError) as e:
+            bundle.errors.append(f"{name}: {e}")
+    return out
+
+
+def look_back(bundle: Bundle, given: str | None = None, default: int = 365) -> int:
+    """Days of history to look at: those given (``90d``), else ``churn.sinceDays``, else ``churn.since`` of the settings."""
+    churn = bundle.settings.get("churn") if isinstance(bundle.settings.get("churn"), dict) else {}
+    told = lambda name: churn.get(name, bundle.settings.get(f"churn.{name}"))
+    number = told("sinceDays")
+    fixed = number if isinstance(number, int) and not isinstance(number, bool) and number > 0 else days(str(told("since") or ""), default)
+    return days(given, fixed)
+
+
 def ignore_patterns(root: str) -> list[str]:
     """Lines of the ignore file at the root."""
     try:

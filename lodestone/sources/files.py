@@ -84,19 +84,3 @@ def commit_log(lines: DataFrame) -> DataFrame:
     num = lambda i: F.coalesce(F.get(F.split("content", "\t"), F.lit(i)).try_cast("long"), F.lit(0))
     new, old = renamed(F.get(F.split("content", "\t"), F.lit(2)))
     return rows.select(part(1).alias("sha"), part(2).alias("author"), F.timestamp_seconds(part(3).cast("long")).alias("ts"), new.alias("path"), old.alias("old_path"), num(0).alias("added"), num(1).alias("removed"))
-
-
-def git_log(root: str, since_days: int | None = None) -> str:
-    """The text that ``commit_log`` reads, from the repository at ``root``, merges against their first parent."""
-    import subprocess
-
-    since = [f"--since={since_days}.days"] if since_days else []
-    return subprocess.run(["git", "-C", root, "log", "--numstat", "-m", "--first-parent", "--format=commit %H%x09%ae%x09%at", *since], capture_output=True, text=True, check=True).stdout
-
-
-def git_blame(root: str, path: str) -> str | None:
-    """The text that ``parse_blame`` reads, or None where there is no history."""
-    import subprocess
-
-    done = subprocess.run(["git", "-C", root, "blame", "--line-porcelain", "--", path], capture_output=True, text=True, errors="replace", check=False)
-    return done.stdout if done.returncode == 0 else None
