@@ -1,13 +1,16 @@
 """Sinks: findings as CSV, JSON, SARIF, an HTML page or Parquet.
 
-CSV and Parquet are folders that the tasks write. The other forms are one document: its rows are made by
-expressions, and the driver copies them to the file one after another without holding them.
+CSV and Parquet are folders that the tasks write. The other forms are one document on any file system that
+Hadoop knows: its rows are made by expressions and written by tasks as parts, in the order of the rows, and
+the parts are joined by streams within the JVM, so no row comes to Python and none is held. A document gets
+its name when it is whole. Rows in a total order give the same bytes however they are partitioned.
 """
 
 from __future__ import annotations
 
 import html
 import json
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,12 +34,32 @@ def export(findings: DataFrame, path: str, kind: str = "csv", mode: str = "error
         raise ValueError(f"no such kind of export: {kind}")
 
 
-def _document(path: str, head: str, rows, between: str, tail: str) -> None:
-    with open(path.removeprefix("file://"), "w", encoding="utf-8") as f:
-        f.write(head)
-        for i, row in enumerate(rows):
-            f.write((between if i else "") + row)
-        f.write(tail)
+def _document(path: str, head: str, rows: DataFrame, between: str, tail: str) -> None:
+    """``head``, the texts of ``rows`` with ``between`` between them, ``tail``."""
+    spark = rows.sparkSession
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    mark = uuid.uuid4().hex
+    at = lambda name: jvm.org.apache.hadoop.fs.Path(name)
+    parts, draft, whole = f"{path}.{mark}.parts", at(f"{path}.{mark}.tmp"), at(path)
+    rows.write.option("lineSep", between).text(parts)
+    fs = whole.getFileSystem(conf)
+    try:
+        found = sorted((s.getPath().getName(), s.getPath(), s.getLen()) for s in fs.listStatus(at(parts)) if s.getPath().getName().startswith("part-") and s.getLen())
+        out = fs.create(draft, True)
+        out.write(bytearray(head.encode()))
+        for i, (_, part, size) in enumerate(found):
+            count = size - (len(between.encode()) if i + 1 == len(found) else 0)
+            stream = fs.open(part)
+            jvm.org.apache.commons.io.IOUtils.copyLarge(stream, out, 0, count)
+            stream.close()
+        out.write(bytearray(tail.encode()))
+        out.close()
+        fs.delete(whole, False)
+        if not fs.rename(draft, whole):
+            raise OSError(f"{path} cannot be written")
+    finally:
+        fs.delete(at(parts), True)
+        fs.delete(draft, False)
 
 
 def _all(findings: DataFrame, columns=COLUMNS) -> DataFrame:
@@ -48,10 +71,6 @@ def csv_rows(findings: DataFrame) -> DataFrame:
     return _all(findings)
 
 
-def _stream(rows: DataFrame):
-    return (r[0] for r in rows.toLocalIterator(prefetchPartitions=True))
-
-
 def json_rows(findings: DataFrame) -> DataFrame:
     """``row``: each finding as a JSON object, missing values included."""
     return findings.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in findings.columns]), {"ignoreNullFields": "false"}).alias("row"))
@@ -59,7 +78,7 @@ def json_rows(findings: DataFrame) -> DataFrame:
 
 def json_parts(findings: DataFrame, run: dict, filters: dict):
     head = json.dumps({"run": run, "filters": filters}, default=str)[:-1]
-    return f'{head}, "findings": [', _stream(json_rows(findings)), ",\n", "]}"
+    return f'{head}, "findings": [', json_rows(findings), ",\n", "]}"
 
 
 def sarif_level(severity="severity") -> F.Column:
@@ -85,7 +104,7 @@ def sarif_results(findings: DataFrame) -> DataFrame:
 def sarif_parts(findings: DataFrame, run: dict, filters: dict):
     rules = ",".join(r.row for r in sarif_rules(findings).collect())  # a row for each rule of the catalogue
     head = f'{{"$schema": "{SARIF_SCHEMA}", "version": "{SARIF_VERSION}", "runs": [{{"tool": {{"driver": {{"name": "lodestone", "version": {json.dumps(str(run.get("tool_version", "")))}, "rules": [{rules}]}}}}, "results": ['
-    return head, _stream(sarif_results(findings)), ",\n", "]}]}"
+    return head, sarif_results(findings), ",\n", "]}]}"
 
 
 def html_rows(findings: DataFrame) -> DataFrame:
@@ -97,4 +116,4 @@ def html_rows(findings: DataFrame) -> DataFrame:
 def html_parts(findings: DataFrame, run: dict, filters: dict):
     names = "".join(f"<th>{html.escape(c)}</th>" for c in findings.columns)
     title = html.escape(f"Findings of run {run.get('run_id', '')}")
-    return f"<!doctype html><html><head><meta charset='utf-8'><title>{title}</title></head><body><h1>{title}</h1><table><tr>{names}</tr>", _stream(html_rows(findings)), "\n", "</table></body></html>"
+    return f"<!doctype html><html><head><meta charset='utf-8'><title>{title}</title></head><body><h1>{title}</h1><table><tr>{names}</tr>", html_rows(findings), "\n", "</table></body></html>"
