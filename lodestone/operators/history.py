@@ -135,12 +135,10 @@ def project_keys(files: DataFrame) -> DataFrame:
 
 def service_keys(files: DataFrame, mappings: list[tuple[str, str]]) -> DataFrame:
     """``files(path)`` with ``module_service``: the first of ``mappings(service, glob)``, a configuration, whose glob fits, else ``.``."""
-    from ..functions.globs import loose
+    from .patterns import first
 
-    out = F.lit(".")
-    for service, glob in reversed(mappings):
-        out = F.when(F.col("path").rlike(loose(glob)), service).otherwise(out)
-    return files.withColumn("module_service", out)
+    named = first(files, [(glob, service) for service, glob in mappings])
+    return files.join(named, "path", "left").withColumn("module_service", F.coalesce("value", F.lit("."))).drop("value")
 
 
 def module_aggregates(metrics: DataFrame, key: F.Column) -> DataFrame:

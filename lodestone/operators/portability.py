@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.globs import loose
 from ..sources import code_tokens as ct
-from . import catalog
+from . import catalog, patterns
 
 # fixed values
 ALLOWED_IPS = ("0.0.0.0", "127.0.0.1")
@@ -75,9 +75,9 @@ def fingerprint(*parts) -> F.Column:
     return F.upper(F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]).cast("binary"), 256))
 
 
-def spots(content, pattern: str) -> F.Column:
+def spots(content, pattern) -> F.Column:
     """Matches of ``pattern``, from left to right: an array of (value, column from 1, text before)."""
-    hits, gaps = F.regexp_extract_all(content, F.lit(pattern), F.lit(0)), F.split(content, pattern, -1)
+    hits, gaps = F.regexp_extract_all(content, F.lit(pattern), F.lit(0)), F.split(content, F.lit(pattern), F.lit(-1))
     zero = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("places"))
     step = lambda a, x: F.struct((a["at"] + F.char_length(x["0"]) + F.char_length(F.coalesce(x["1"], F.lit("")))).alias("at"), F.when(x["1"].isNull(), a["places"]).otherwise(F.concat(a["places"], F.array(a["at"] + F.char_length(x["0"])))).alias("places"))
     places = F.aggregate(F.transform(F.arrays_zip(gaps.alias("g"), hits.alias("h")), lambda x: F.struct(x["g"].alias("0"), x["h"].alias("1"))), zero, step)["places"]
@@ -249,36 +249,24 @@ def powershell_findings(files: DataFrame) -> DataFrame:
 
 
 def custom_findings(files: DataFrame, rules: list[dict]) -> DataFrame:
-    """Matches of a user's own rules (``id, pattern, message, severity, categories, enabled``, a configuration) in whole texts; suppressions do not apply."""
-    parts = []
-    for r in rules:
-        if not r.get("enabled", True):
-            continue
-        rows = files.where(F.col("category").isin(*r.get("categories", ("Source", "Config"))) & F.col("text").rlike(r["pattern"]))
-        hits = rows.select("path", "text", F.explode(spots(F.col("text"), r["pattern"])).alias("s")).select("path", "text", "s.value", "s.before")
-        line = F.regexp_count("before", F.lit("\n")) + 1
-        hits = hits.withColumn("line", line).withColumn("column", F.char_length(F.substring_index("before", "\n", -1)) + 1).withColumn("content", F.regexp_replace(F.get(F.split("text", "\n", -1), F.col("line") - 1), r"\r$", ""))
-        hits = hits.withColumn("rule_id", F.lit(r["id"]))
-        parts.append(_finding(hits, F.col("value"), F.lit(r["message"]), F.lit(r.get("severity", "Warning")), "Medium", _json(engine="custom-regex", source=r.get("source", ""), match=F.col("value"))))
-    if not parts:
-        return text_findings(files.where(F.lit(False)))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def suppressed_by(entries: list[dict]) -> F.Column:
-    """Whether a finding falls under an entry (``path`` glob, ``rule``, perhaps ``fingerprint``), a configuration."""
-    out = F.lit(False)
-    for e in entries:
-        if (e.get("path") or "").strip() and (e.get("rule") or "").strip():
-            hit = F.col("path").rlike(loose(e["path"])) & (F.lower("rule_id") == e["rule"].lower())
-            out = out | (hit & (F.lower("fingerprint") == e["fingerprint"].lower()) if (e.get("fingerprint") or "").strip() else hit)
-    return F.coalesce(out, F.lit(False))
+    """Matches of a user's own rules (``id, pattern, message, severity, categories, enabled``, a configuration) in whole texts; suppressions do not apply.
+
+    Rules are rows that files meet by their category, so any number of them makes one plan.
+    """
+    table = [(r["id"], r["pattern"], r["message"], r.get("severity", "Warning"), r.get("source", ""), c) for r in rules if r.get("enabled", True) for c in dict.fromkeys(r.get("categories", ("Source", "Config")))]
+    own = files.sparkSession.createDataFrame(table, "rule_id string, __pattern string, __message string, __severity string, __source string, category string")
+    rows = files.join(own, "category").where(F.rlike("text", F.col("__pattern")))
+    hits = rows.select("path", "text", "rule_id", "__message", "__severity", "__source", F.explode(spots(F.col("text"), F.col("__pattern"))).alias("s")).select("*", "s.value", "s.before").drop("s")
+    line = F.regexp_count("before", F.lit("\n")) + 1
+    hits = hits.withColumn("line", line).withColumn("column", F.char_length(F.substring_index("before", "\n", -1)) + 1).withColumn("content", F.regexp_replace(F.get(F.split("text", "\n", -1), F.col("line") - 1), r"\r$", ""))
+    return _finding(hits, F.col("value"), F.col("__message"), F.col("__severity"), "Medium", _json(engine="custom-regex", source=F.col("__source"), match=F.col("value")))
 
 
 def analyse(files: DataFrame, suppressions: list[dict] | None = None, custom: list[dict] | None = None) -> DataFrame:
     """All portability findings: source files by their language's detector, all others by the text rules, the user's rules for every file."""
     own = ("csharp", "powershell", *CALLS)
     rest = files.where(~((F.col("category") == "Source") & F.coalesce(F.col("language").isin(*own), F.lit(False))))
-    told = csharp_findings(files).unionByName(line_findings(files)).unionByName(powershell_findings(files)).where(~suppressed_by(suppressions or []))
+    told = csharp_findings(files).unionByName(line_findings(files)).unionByName(powershell_findings(files))
+    told = patterns.without(told, [e for e in suppressions or [] if (e.get("path") or "").strip() and (e.get("rule") or "").strip()], loose)
     out = told.unionByName(text_findings(rest))
     return out.unionByName(custom_findings(files, custom)) if custom else out

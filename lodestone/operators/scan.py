@@ -10,33 +10,20 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.globs import strict
 from ..sources import config as cfg
 from ..sources import files as fl
 from ..sources import git
 from ..sources import store as st
-from . import artifacts, catalog, dependencies, drift, history, hygiene, magic, portability
+from . import artifacts, catalog, dependencies, drift, history, hygiene, magic, patterns, portability
 
 VERSION = "0.2"
 
 
-def allowed(entries: list[dict]) -> F.Column:
-    """Whether an entry of the allow list (``rule``, ``path`` glob, perhaps ``pattern`` over message and snippet, without case) covers a finding."""
-    out = F.lit(False)
-    told = F.concat_ws("\n", "message", F.coalesce("snippet", F.lit("")))
-    for e in entries:
-        hit = (F.lower("rule_id") == (e.get("rule") or "").strip().lower()) & F.col("path").rlike(strict(e.get("path") or "**"))
-        if str(e.get("pattern") or "").strip():
-            hit = hit & told.rlike(f"(?i){e['pattern']}")
-        out = out | hit
-    return F.coalesce(out, F.lit(False))
-
-
 def apply_policy(findings: DataFrame, bundle: cfg.Bundle) -> DataFrame:
     """Findings of rules that are on and not allowed, with the severities in force; rules that are not listed stay as they are."""
     p = findings.sparkSession.createDataFrame([(r.lower(), e, s) for r, e, s in bundle.policy_rows()], "__rule string, __on boolean, __severity string")
     out = findings.join(F.broadcast(p), F.lower("rule_id") == F.col("__rule"), "left").where(F.coalesce("__on", F.lit(True)))  # a row a rule
-    return out.withColumn("severity", F.coalesce("__severity", "severity")).drop("__rule", "__on", "__severity").where(~allowed(bundle.allow))
+    return out.withColumn("severity", F.coalesce("__severity", "severity")).drop("__rule", "__on", "__severity").transform(patterns.without, bundle.allow)
 
 
 def ordered(findings: DataFrame) -> DataFrame:

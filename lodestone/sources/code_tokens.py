@@ -21,6 +21,9 @@ POWERSHELL = "line int, column int, value string, command string, parameter stri
 _SIGN = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|(?:\$+@?|@\$?)?\"|'(?:\\.[^'\n]*|[^'\\\n])'|[A-Za-z_@][\w.]*(?:\s*<[\w\s.,<>\[\]?]*>(?=\s*[({\[]))?|(?<![\w.])[0-9][\w.]*|[()\[\]{};,]|=>|[^\s\w]", re.S)
 
 
+_QUOTES = re.compile('"+')
+
+
 class _Places:
     """Lines and columns of a text by offset."""
 
@@ -63,7 +66,7 @@ def _quoted_end(text: str, at: int, verbatim: bool, holes: bool) -> int:
 
 def _string(text: str, start: int, quote: int) -> tuple[int, str]:
     """``(end, value)`` of the C# string whose prefix begins at ``start`` and whose quotes begin at ``quote``."""
-    prefix, raw = text[start:quote], len(text) - quote - len(text[quote:].lstrip('"'))
+    prefix, raw = text[start:quote], _QUOTES.match(text, quote).end() - quote
     if raw >= 3:
         end = text.find('"' * raw, quote + raw)
         end = len(text) if end < 0 else end
@@ -96,9 +99,14 @@ def csharp(text: str, config_reads: tuple[str, ...], marker: str) -> list[tuple]
             name, made = "", False
         elif t[0].isalpha() or t[0] in "_@":
             word = re.sub(r"\s*<.*", "", t, flags=re.S)
-            made = before == "new"
-            if made:
-                out.append(("new", start, word, list(stack)))
+            if before == "." and name:  # a name that goes on behind blanks
+                word = f"{name}.{word}"
+                if made:
+                    out[-1] = (*out[-1][:2], word, out[-1][3])
+            else:
+                made = before == "new"
+                if made:
+                    out.append(("new", start, word, list(stack)))
             name = "" if word in ("new", "return", "if", "while", "switch", "for", "foreach", "using", "lock", "catch") else word
             t = word
         elif t in "([{":
@@ -111,9 +119,9 @@ def csharp(text: str, config_reads: tuple[str, ...], marker: str) -> list[tuple]
                     del stack[k:]
                     break
             name, made = "", False
-        else:
+        elif t != ".":
             name, made = "", False
-        before = t if t else before
+        before = t
     rows = []
     for kind, start, value, open_ in out:
         line, column = places.of(start)
