@@ -35,7 +35,7 @@ def analyse(files: DataFrame, advisories: DataFrame, latest: DataFrame) -> DataF
 
 def findings(deps: DataFrame, frameworks: DataFrame, advisories: DataFrame, latest: DataFrame) -> DataFrame:
     """The same from ``deps(path, line, ecosystem, name, version, exact, pinned)`` and ``frameworks(path, line, framework, reason)``; names without case."""
-    newest = latest.groupBy(F.col("ecosystem").alias("__e"), F.lower("name").alias("__n")).agg(F.max("latest").alias("latest"))
+    newest = latest.groupBy(F.col("ecosystem").alias("__e"), F.lower("name").alias("__n")).agg(F.max(F.struct(fn.version_weight(F.col("latest")).alias("weight"), "latest"))["latest"].alias("latest"))
     d = deps.join(newest, (deps["ecosystem"] == F.col("__e")) & (F.lower(deps["name"]) == F.col("__n")), "left").drop("__e", "__n")
     loose = d.where(~F.col("pinned"))
     told = _json(engine="deps", dependency=F.col("name"), ecosystem=F.col("ecosystem"), versionSpec=F.col("version"), latestVersion=F.col("latest"))

@@ -1,7 +1,7 @@
 """Many path patterns at once: entries are rows, met through the folder that their pattern begins with.
 
 An entry's pattern is a glob; the folders before its first wildcard must begin every path that fits. A path
-meets the entries of its own folders only (an equality join), and only those are compared, pattern by
+meets the entries of its own folders only (equality joins), and only those are compared, pattern by
 pattern. So a plan is as short for thousands of entries as for one, and a path is held against the few
 that may fit. Entries are a configuration; their table is as large as the files that people wrote.
 """
@@ -47,17 +47,25 @@ def first(paths: DataFrame, entries: list[tuple[str, str]], dialect=globs.loose)
 
 
 def without(findings: DataFrame, entries: list[dict], dialect=globs.strict) -> DataFrame:
-    """``findings`` that no entry covers: entries have a ``path`` glob, a ``rule``, and perhaps a ``pattern`` over message and snippet, without case, or a ``fingerprint``."""
-    if not entries:
-        return findings
-    rule = F.coalesce(F.lower("rule_id"), F.lit(""))
-    told = F.concat_ws("\n", "message", F.coalesce("snippet", F.lit("")))
-    print_ = F.coalesce(F.lower("fingerprint"), F.lit("")) if "fingerprint" in findings.columns else F.lit("")
+    """``findings`` that no entry covers: entries have a ``path`` glob, a ``rule``, and perhaps a ``pattern`` over message and snippet, without case, or a ``fingerprint``.
+
+    One anti-join for each depth of folders that entries begin with, on rule and folder; findings are
+    computed once and keep their number of rows on the way.
+    """
     clean = lambda e, k: str(e.get(k) or "").strip()
-    rows = [(clean(e, "path") or "**", clean(e, "rule").lower(), f"(?i){e['pattern']}" if clean(e, "pattern") else None, clean(e, "fingerprint").lower() or None) for e in entries]
-    one = {"__r": rule, "__t": told if any(r[2] for r in rows) else F.lit(""), "__f": print_ if any(r[3] for r in rows) else F.lit("")}
-    keyed = findings.withColumns(one)
-    cases = keyed.where("path is not null").select("path", *one).distinct()
-    hit = met(cases, rows, dialect, "__rule string, __pattern string, __print string")
-    hit = hit.where((F.col("__r") == F.col("__rule")) & (F.col("__pattern").isNull() | F.rlike("__t", F.col("__pattern"))) & (F.col("__print").isNull() | (F.col("__print") == F.col("__f"))))
-    return keyed.join(hit.select("path", *one).distinct(), ["path", *one], "left_anti").select(*[F.col(f"`{c}`") for c in findings.columns])
+    by_depth: dict[int, list] = {}
+    for e in entries:
+        glob = clean(e, "path") or "**"
+        folder = folder_of(glob)
+        row = (clean(e, "rule").lower(), folder, dialect(glob), f"(?i){e['pattern']}" if clean(e, "pattern") else None, clean(e, "fingerprint").lower() or None)
+        by_depth.setdefault(folder.count("/") + 1 if folder else 0, []).append(row)
+    parts = F.split(F.lower("path"), "/")
+    told = F.concat_ws("\n", "message", F.coalesce("snippet", F.lit("")))
+    mark = F.coalesce(F.lower("fingerprint"), F.lit("")) if "fingerprint" in findings.columns else F.lit("")
+    for depth, rows in sorted(by_depth.items()):
+        own = findings.sparkSession.createDataFrame(rows, "__rule string, __folder string, __regex string, __pattern string, __print string")
+        folder = F.array_join(F.slice(parts, F.lit(1), F.lit(depth)), "/") if depth else F.lit("")
+        fits = (F.lower("rule_id") == F.col("__rule")) & (folder == F.col("__folder")) & F.rlike("path", F.col("__regex"))
+        fits = fits & (F.col("__pattern").isNull() | F.rlike(told, F.col("__pattern"))) & (F.col("__print").isNull() | (mark == F.col("__print")))
+        findings = findings.join(own, fits, "left_anti")
+    return findings

@@ -172,14 +172,19 @@ def _severity() -> F.Column:
 def _text_hits() -> F.Column:
     """Matches of the text rules in ``content`` as (rule_id, value, column)."""
     content = F.col("content")
+    holds = lambda words: content.rlike("(?i)" + any_of(words))
     tests = (
-        (DOTTED, lambda s: is_ipv4(s["value"]) & ~s["value"].isin(*ALLOWED_IPS)), (HOST, lambda s: in_cloud(s["value"])), (WINDOWS_PATH, None), (LINUX_PATH, lambda s: F.col("category") == "Source"),
-        (GUID, lambda s: s["before"].rlike(f"(?i){_ID_WORD}")), (WORD, lambda s: is_region(s["value"])), (HOST, lambda s: is_endpoint(s["value"])),
+        (content.rlike("[0-9][.][0-9]"), DOTTED, lambda s: is_ipv4(s["value"]) & ~s["value"].isin(*ALLOWED_IPS)), (holds(CLOUD_DOMAINS), HOST, lambda s: in_cloud(s["value"])), (F.contains(content, F.lit("\\")), WINDOWS_PATH, None),
+        (content.rlike(any_of(f"/{r}/" for r in ROOT_FOLDERS)) & (F.col("category") == "Source"), LINUX_PATH, None), (holds(ID_KEYWORDS) & content.rlike(GUID), GUID, lambda s: s["before"].rlike(f"(?i){_ID_WORD}")),
+        (holds(REGIONS), WORD, lambda s: is_region(s["value"])), (holds(ENDPOINTS), HOST, lambda s: is_endpoint(s["value"])),
     )
+    none = F.array().cast("array<struct<rule_id:string,value:string,column:int>>")
 
-    def told(rule: str, pattern: str, test):
+    def told(rule: str, may, pattern: str, test):
+        """A line is cut into tokens only if it holds a sign of the rule."""
         found = spots(content, pattern)
-        return F.transform(F.filter(found, test) if test else found, lambda s: F.struct(F.lit(rule).alias("rule_id"), s["value"].alias("value"), s["column"].alias("column")))
+        hits = F.transform(F.filter(found, test) if test else found, lambda s: F.struct(F.lit(rule).alias("rule_id"), s["value"].alias("value"), s["column"].alias("column")))
+        return F.when(may, hits).otherwise(none)
 
     return F.concat(*[told(rule, *of) for rule, of in zip(TEXT_RULES, tests, strict=True)])
 

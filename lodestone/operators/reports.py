@@ -238,6 +238,46 @@ def flag_summary(findings: DataFrame, run_id: str, include_suppressed=False) ->
     return rows.agg(F.count_if(is_true("astConfirmed")).alias("ast_confirmed"), F.count_if(~is_true("astConfirmed")).alias("regex_only"))
 
 
+# fixed values
+TECH_DEBT = ("hygiene.todo_old", "hygiene.fixme", "hygiene.hack")
+SECTIONS = ("all", "rule", "file", "confident_file", "confidence", "language")
+
+
+def summary_page(findings: DataFrame, files: DataFrame, rules: DataFrame, run_id: str, top: int = 10) -> DataFrame:
+    """All that the summary of a run shows, from one scan of its findings and one of its files.
+
+    A row for each rule, each confidence, each language, the ``top`` files by findings and by findings of
+    high confidence, and one for the whole run: ``(section, place, name, title)`` with counts. Findings are
+    counted by rule, file, confidence and severity first; the sections are grouping sets over these counts.
+    Suppressed findings do not count; files and languages are those of files that the run has.
+    """
+    rows = shown(findings.where(F.col("run_id") == run_id), False)
+    few = rows.groupBy("rule_id", "file_id", "file_path", "confidence", "severity").agg(F.count("*").alias("n"), F.count_if(is_true("astConfirmed")).alias("ast"))
+    own = files.where(F.col("run_id") == run_id).select("file_id", F.coalesce(F.nullif(F.col("language"), F.lit("")), F.lit("unknown")).alias("language"))
+    told = few.join(own, "file_id", "left").withColumn("known", F.col("language").isNotNull())
+    keys = ["rule_id", "file_id", "file_path", "confidence", "language", "known"]
+    part = lambda when, c="n": F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0)).alias
+    level, rule = F.col("severity"), F.col("rule_id")
+    counts = [F.sum("n").alias("total"), *[part(level == x)(f"{x.lower()}_count") for x in ("Error", "Warning", "Info")], part(F.col("confidence") == "High")("high_count"), F.sum("ast").alias("ast_confirmed")]
+    counts += [part(rule.isin(*TECH_DEBT))("tech_debt"), part(rule.startswith("async.") | rule.startswith("thread."))("async_issues")]
+    copied = told.withColumns({f"__{k}": F.col(k) for k in keys})  # sums look at these where the sets leave the others out
+    sets = [["__rule_id"], ["__file_id", "__file_path", "__known"], ["__confidence"], ["__language", "__known"], []]
+    g = copied.groupingSets([[F.col(k) for k in one] for one in sets], *[F.col(f"__{k}") for k in keys]).agg(F.grouping_id().alias("left_out"), *counts)
+    mask = lambda *names: sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in names)
+    section = (
+        F.when(F.col("left_out") == mask("rule_id"), "rule").when(F.col("left_out") == mask("file_id", "file_path", "known"), "file").when(F.col("left_out") == mask("confidence"), "confidence")
+        .when(F.col("left_out") == mask("language", "known"), "language").otherwise("all")
+    )
+    named = g.withColumn("section", section).where(~F.col("section").isin("file", "language") | F.col("__known"))
+    both = F.when(F.col("section") != "file", F.array("section")).when(F.col("high_count") > 0, F.array(F.lit("file"), F.lit("confident_file"))).otherwise(F.array(F.lit("file")))
+    named = named.withColumn("section", F.explode(both)).withColumn("name", F.coalesce("__rule_id", "__file_path", "__confidence", "__language", F.lit("")))
+    weight = F.when(F.col("section") == "confident_file", F.col("high_count")).when(F.col("section") == "confidence", -F.coalesce(F.array_position(F.array(*[F.lit(x) for x in ("High", "Medium", "Low")]), F.col("name")), F.lit(4))).otherwise(F.col("total"))
+    w = Window.partitionBy("section").orderBy(F.desc("weight"), "name", "__file_id")
+    placed = named.withColumn("weight", weight).withColumn("place", F.row_number().over(w)).where((F.col("place") <= top) | ~F.col("section").isin("file", "confident_file"))
+    titled = placed.join(rules.select(F.col("rule_id").alias("__rule_id"), "title"), "__rule_id", "left")
+    return titled.select("section", "place", "name", F.coalesce("title", "name").alias("title"), "total", "error_count", "warning_count", "info_count", "high_count", "ast_confirmed", (F.col("total") - F.col("ast_confirmed")).alias("regex_only"), "tech_debt", "async_issues")
+
+
 def rule_catalog(findings: DataFrame, rules: DataFrame, category: str = "") -> DataFrame:
     """Rules with category, total over all runs and effective state; findings are counted by rule and severity first."""
     few = findings.groupBy("rule_id", "severity").agg(F.count("*").alias("n"))

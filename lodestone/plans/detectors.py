@@ -29,9 +29,8 @@ from .scans import _ROUTED, _SUPPRESSIONS, _literal_rules, _quoted
 
 def _blame(spark, sf_dir):
     """An author and a time for two lines of three of every order's file."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    files = cv.code_files(spark, sf_dir).select("path", F.regexp_extract("path", r"f(\d+)[.][a-z0-9]+$", 1).cast("long").alias("o_orderkey")).join(o, "o_orderkey")
-    rows = files.withColumn("line", F.explode(F.sequence(F.lit(1), F.lit(cv.LINES)))).where((F.col("o_orderkey") + F.col("line")) % 3 != 0)
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", cv.path_of(F.col("o_orderkey")).alias("path"))
+    rows = o.withColumn("line", F.explode(F.sequence(F.lit(1), F.lit(cv.LINES)))).where((F.col("o_orderkey") + F.col("line")) % 3 != 0)
     time = F.timestamp_micros(F.unix_micros(_now()) - (F.col("o_custkey") % 400).cast("long") * 86_400_000_000)
     return rows.select("path", "line", F.concat(F.lit("A"), (F.col("o_custkey") % 9).cast("string")).alias("author"), time.alias("author_time"))
 

@@ -161,6 +161,27 @@ def store_language_summary(spark, sf_dir):
     return ro.language_summary(sv.findings(spark, sf_dir), sv.files(spark, sf_dir), RUN)
 
 
+_COUNTS = (
+    "count(*) as total, count(*) filter (where severity = 'Error') as error_count, count(*) filter (where severity = 'Warning') as warning_count, count(*) filter (where severity = 'Info') as info_count, count(*) filter (where confidence = 'High') as high_count, "
+    f"count(*) filter (where {_AST}) as ast_confirmed, count(*) filter (where not {_AST}) as regex_only, count(*) filter (where rule_id in ('hygiene.todo_old', 'hygiene.fixme', 'hygiene.hack')) as tech_debt, count(*) filter (where rule_id like 'async.%' or rule_id like 'thread.%') as async_issues"
+)
+_LANGUAGE = "coalesce(nullif(language, ''), 'unknown')"
+
+
+@query(
+    f"with {STORE_SQL}, f as (select * from findings where run_id = '{RUN}' and not {_SUPPRESSED}), j as (select f.*, language from f join (select file_id, language from files) using (file_id)), s as ("
+    f"select 'rule' as section, row_number() over (order by count(*) desc, rule_id) as place, rule_id as name, {_COUNTS} from f group by rule_id "
+    f"union all select 'file', row_number() over (order by count(*) desc, file_path, file_id), file_path, {_COUNTS} from j group by file_path, file_id qualify row_number() over (order by count(*) desc, file_path, file_id) <= 10 "
+    f"union all select * from (select 'confident_file' as section, row_number() over (order by count(*) filter (where confidence = 'High') desc, file_path, file_id) as place, file_path, {_COUNTS} from j group by file_path, file_id) where place <= 10 and high_count > 0 "
+    f"union all select 'confidence', row_number() over (order by case confidence when 'High' then 1 when 'Medium' then 2 when 'Low' then 3 else 4 end, confidence), confidence, {_COUNTS} from f group by confidence "
+    f"union all select 'language', row_number() over (order by count(*) desc, {_LANGUAGE}), {_LANGUAGE}, {_COUNTS} from j group by {_LANGUAGE} union all select 'all', 1, '', {_COUNTS} from f) "
+    "select s.*, coalesce(r.title, s.name) as title from s left join rules r on s.section = 'rule' and r.rule_id = s.name"
+)
+def summary_page(spark, sf_dir):
+    s = sv.store(spark, sf_dir)
+    return ro.summary_page(s.findings, s.files, s.rules, RUN)
+
+
 @query(f"with {STORE_SQL} select count(*) filter (where {_AST}) as ast_confirmed, count(*) filter (where not {_AST}) as regex_only from findings where run_id = '{RUN}' and not {_SUPPRESSED}")
 def flag_summary(spark, sf_dir):
     return ro.flag_summary(sv.findings(spark, sf_dir), RUN)

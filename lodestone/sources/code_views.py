@@ -58,6 +58,11 @@ def _pick(values, index):
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index % len(values) + 1).cast("int"))
 
 
+def path_of(k) -> F.Column:
+    """The path of an order's file."""
+    return F.concat(_pick(FOLDERS, F.floor(k / 7).cast("long")), F.lit("/f"), k.cast("string"), _pick(ENDINGS, k))
+
+
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(path, category, language, text)``; a language without a detector of its own is still named."""
     k = F.col("o_orderkey")
@@ -69,8 +74,7 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
             out = F.when(k % len(KINDS) == j, F.replace(_pick(TEMPLATES[kind], k + i * 3), F.lit("{k}"), number)).otherwise(out)
         return out
 
-    path = F.concat(_pick(FOLDERS, F.floor(k / 7).cast("long")), F.lit("/f"), k.cast("string"), _pick(ENDINGS, k))
-    return table(spark, sf_dir, "orders").select(path.alias("path"), _pick(CATEGORIES, k).alias("category"), _pick(KINDS, k).alias("language"), F.array_join(F.array(*[line(i) for i in range(LINES)]), "\n").alias("text"))
+    return table(spark, sf_dir, "orders").select(path_of(k).alias("path"), _pick(CATEGORIES, k).alias("category"), _pick(KINDS, k).alias("language"), F.array_join(F.array(*[line(i) for i in range(LINES)]), "\n").alias("text"))
 
 
 def _list(values) -> str:
