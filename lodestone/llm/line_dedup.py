@@ -10,8 +10,9 @@ prefixes only split intervals, and a suffix whose rank is unique is carried no f
 has an equal earlier one. Windows side by side with the same first copy make up the maximal runs.
 
 What counts as a repeated run: ``min_lines`` lines, or fewer lines (one or two) of ``min_words`` words
-together. The first copy, by doc_id and line, stays whole; later ones are deleted, and of a run that
-overlaps its own first copy the lines behind that copy.
+together. Of equal runs all but the first, by doc_id and line, are deleted, as the input has them, and of a
+run that overlaps its own first copy the lines behind that copy. Lines of a first copy that also lie in a
+later copy of another run go with that: of ``A B C``, ``A B C D E``, ``C D E`` only ``A B C``, ``D E`` are left.
 
 Defined results: lines without words are not part of the sequences and stay; a null text stays null, has
 no lines and loses none; a null doc_id comes last in order; repeated rows are copies like any other; an
