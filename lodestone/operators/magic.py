@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 from ..functions.globs import loose
-from .portability import GUID, QUOTED, _json, any_of, fingerprint, is_test, opened, rules_of, spots
+from ..sources import code_tokens as ct
+from ..sources.store import keep
+from .portability import GUID, QUOTED, _json, any_of, fingerprint, is_test, rules_of
 
 # fixed values
 SINKS = {
@@ -26,6 +28,8 @@ CALLS = {
     "jsx": ("if (", "switch(", "throw new", "console."),
 }
 COMPARISONS, CONDITIONS, EXCEPTIONS = ("==", "!=", "case ", "match ", "ContainsKey", "TryGetValue"), ("if ", "if(", "else if", "while "), ("throw", "raise", "panic!")
+#: Quoted texts that end on their line.
+IN_LINE = QUOTED.replace("\\\\]", "\\\\\\n]")
 MIN_USES, PER_DIRECTORY, TOTAL, MAX_ENTROPY = 2, 50, 500, 4.2
 
 
@@ -60,17 +64,20 @@ def occurrences(files: DataFrame, sinks: dict | None = None, allow=(), deny=(),
     calls of a language; an empty list leaves them as they are.
     """
     sinks = SINKS | {k: tuple(v) for k, v in (sinks or {}).items() if v}
-    rows = opened(files.select("path", "language", "text"))
+    told = files.select("path", F.lit(None).cast("string").alias("category"), "language", "text")
+    rows = ct.tokens(told, lambda text: ct.found_in(text, {"quoted": IN_LINE}, {}), ct.TEXT)
     logged = F.coalesce(_by_language(sinks, lambda w: _has(F.col("content"), w)), F.lit(False))
     call = _by_language(CALLS, lambda w: F.coalesce(*[F.when(F.lower("content").contains(t.lower()), t) for t in w]))
-    found = rows.where(~logged).withColumn("call", call.cast("string")).select("*", F.explode(spots(F.col("content"), QUOTED)).alias("s"))
-    inner = F.expr("substring(s.value, 2, char_length(s.value) - 2)")
+    found = rows.where(~logged).withColumn("call", call.cast("string"))
+    inner = F.expr("substring(value, 2, char_length(value) - 2)")
     found = found.withColumn("raw", inner).withColumn("literal", fn.collapse(F.regexp_replace(inner, r"\r", ""))).where("char_length(literal) > 2")
     lit = F.col("literal")
     dull = _like_any(lit, allow) | (F.size(rules_of(lit)) > 0) | identifier(lit) | fn.natural_language(lit) | ((F.char_length(lit) >= 16) & (fn.entropy(lit) >= max_entropy))
-    kept = found.where(_like_any(lit, deny) | ~dull)
+    # what a literal is like is found once for each; written first, or the planner would ask at every place
+    few = keep(found.select("literal").distinct()).where(_like_any(lit, deny) | ~dull)
+    kept = found.join(few, "literal", "left_semi")
     return kept.select(
-        "path", "language", "line", F.col("s.column").alias("column"), "raw", "literal", "call", _has(F.col("content"), COMPARISONS).alias("compared"), _has(F.col("content"), CONDITIONS).alias("condition"),
+        "path", "language", "line", "column", "raw", "literal", "call", _has(F.col("content"), COMPARISONS).alias("compared"), _has(F.col("content"), CONDITIONS).alias("condition"),
         _has(F.col("content"), EXCEPTIONS).alias("exception"), is_test(F.col("path")).alias("test"),
     )
 

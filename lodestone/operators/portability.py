@@ -169,35 +169,20 @@ def _severity() -> F.Column:
     return F.when(is_test(F.col("path")), "Info").otherwise(default_severity(F.col("rule_id")))
 
 
-def _text_hits() -> F.Column:
-    """Matches of the text rules in ``content`` as (rule_id, value, column)."""
-    content = F.col("content")
-    holds = lambda words: content.rlike("(?i)" + any_of(words))
-    tests = (
-        (content.rlike("[0-9][.][0-9]"), DOTTED, lambda s: is_ipv4(s["value"]) & ~s["value"].isin(*ALLOWED_IPS)), (holds(CLOUD_DOMAINS), HOST, lambda s: in_cloud(s["value"])), (F.contains(content, F.lit("\\")), WINDOWS_PATH, None),
-        (content.rlike(any_of(f"/{r}/" for r in ROOT_FOLDERS)) & (F.col("category") == "Source"), LINUX_PATH, None), (holds(ID_KEYWORDS) & content.rlike(GUID), GUID, lambda s: s["before"].rlike(f"(?i){_ID_WORD}")),
-        (holds(REGIONS), WORD, lambda s: is_region(s["value"])), (holds(ENDPOINTS), HOST, lambda s: is_endpoint(s["value"])),
-    )
-    none = F.array().cast("array<struct<rule_id:string,value:string,column:int>>")
-
-    def told(rule: str, may, pattern: str, test):
-        """A line is cut into tokens only if it holds a sign of the rule."""
-        found = spots(content, pattern)
-        hits = F.transform(F.filter(found, test) if test else found, lambda s: F.struct(F.lit(rule).alias("rule_id"), s["value"].alias("value"), s["column"].alias("column")))
-        return F.when(may, hits).otherwise(none)
-
-    return F.concat(*[told(rule, *of) for rule, of in zip(TEXT_RULES, tests, strict=True)])
-
-
-#: Without a sign of these no text rule has a match.
-_MAY = rf"[A-Za-z0-9][.][A-Za-z0-9]|\\|/{any_of(ROOT_FOLDERS)}/|(?i){any_of(ID_KEYWORDS)}|{any_of(REGIONS)}"
+#: What text rules look at, by kind; words are those that name regions.
+_LOOKED_AT = {"dotted": DOTTED, "host": HOST, "windows": WINDOWS_PATH, "linux": LINUX_PATH, "guid": GUID, "region": rf"(?i:\b(?:{'|'.join(REGIONS)})\b)"}
 
 
 def text_findings(files: DataFrame) -> DataFrame:
     """Matches of the text rules in files of any language; suppressions do not apply."""
-    rows = opened(files.where(F.col("category").isin(*TEXT_CATEGORIES) & F.col("text").rlike(_MAY))).where(F.col("content").rlike(_MAY)).drop("spared")
-    found = rows.select("path", "line", "content", F.explode(_text_hits()).alias("h")).select("path", "line", "content", "h.*")
-    return _finding(found, F.col("value"), F.concat(F.lit("Hard-coded value '"), F.col("value"), F.lit("'.")), default_severity(F.col("rule_id")), "Medium", _json(engine="regex", ruleVersion="1", matchedValue=F.col("value")))
+    rows = ct.tokens(files.where(F.col("category").isin(*TEXT_CATEGORIES)), lambda text: ct.found_in(text, _LOOKED_AT, {"guid": _ID_WORD}), ct.TEXT)
+    kind, value = F.col("kind"), F.col("value")
+    tests = (
+        (kind == "dotted") & is_ipv4(value) & ~value.isin(*ALLOWED_IPS), (kind == "host") & in_cloud(value), kind == "windows", (kind == "linux") & (F.col("category") == "Source"), kind == "guid", kind == "region", (kind == "host") & is_endpoint(value),
+    )
+    rules = F.filter(F.array(*[F.when(t, r) for r, t in zip(TEXT_RULES, tests, strict=True)]), lambda x: x.isNotNull())
+    found = rows.withColumn("rule_id", F.explode(rules))
+    return _finding(found, value, F.concat(F.lit("Hard-coded value '"), value, F.lit("'.")), default_severity(F.col("rule_id")), "Medium", _json(engine="regex", ruleVersion="1", matchedValue=value))
 
 
 def line_findings(files: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import keep
 from . import catalog
 from .findings import severity_pivot, severity_rank
 
@@ -387,7 +388,7 @@ def directories(heat: DataFrame, metric: str = "churn_score") -> DataFrame:
     shares on the way up, so three aggregations do for any depth. ``place`` is the order of a walk from
     the root, a folder before those in it.
     """
-    up = _ancestors(heat)
+    up = _ancestors(keep(heat))
     whole = up.groupBy("key", "level").agg(F.min("directory").alias("directory"), F.count("*").alias("files"), F.sum("size_bytes").alias("size_bytes"))
     weigh = whole.withColumn("weight", F.greatest("size_bytes", "files").cast("double"))
     parent = F.when(F.col("level") <= 1, ".").otherwise(F.regexp_replace("key", "/[^/]*$", ""))

@@ -193,19 +193,36 @@ def powershell(text: str, marker: str) -> list[tuple]:
     return rows
 
 
+TEXT = "kind string, line int, column int, value string, content string"
+
+
+def found_in(text: str, patterns: dict[str, str], after: dict[str, str]) -> list[tuple]:
+    """Rows of ``TEXT``: all that each pattern finds in a text; of a kind in ``after`` only what stands behind a match of that pattern on its line. ASCII alone counts as letters."""
+    places, rows = _Places(text), []
+    for kind, pattern in patterns.items():
+        for m in re.finditer(pattern, text, re.ASCII):
+            line, column = places.of(m.start())
+            if kind not in after or re.search(after[kind], text[places.starts[line - 1] : m.start()], re.ASCII | re.IGNORECASE):
+                rows.append((kind, line, column, m[0], places.lines[line - 1]))
+    return rows
+
+
 def tokens(files: DataFrame, read, schema: str) -> DataFrame:
     """``files(path, category, language, text)`` -> a row for each tuple that ``read(text)`` gives, of ``schema``, with the file's other columns."""
 
     def run(batches):
-        names = [f.split()[0] for f in re.split(r", (?![^<]*>)", schema)]
         for b in batches:
-            for k in range(b.num_rows):
-                got = read(b.column(3)[k].as_py() or "")
-                for i in range(0, len(got), 5000):
-                    part = got[i : i + 5000]
-                    head = [pa.array([b.column(j)[k].as_py()] * len(part), pa.string()) for j in range(3)]
-                    cols = [pa.array(list(c), kinds[n]) for n, c in zip(names, zip(*part, strict=True), strict=True)]
-                    yield pa.RecordBatch.from_arrays([*head, *cols], names=["path", "category", "language", *names])
+            held: list[tuple] = []
+            for path, category, language, text in zip(*(b.column(j).to_pylist() for j in range(4)), strict=True):
+                held += [(path, category, language, *row) for row in read(text or "")]
+                while len(held) >= 5000:
+                    yield told(held[:5000])
+                    del held[:5000]
+            if held:
+                yield told(held)
+
+    def told(rows):
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), [pa.string()] * 3 + [*kinds.values()], strict=True)], names=["path", "category", "language", *kinds])
 
     kinds = {f.split()[0]: {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}[f.split()[1]] for f in re.split(r", (?![^<]*>)", schema)}
     return files.select("path", "category", "language", "text").mapInArrow(run, f"path string, category string, language string, {schema}")

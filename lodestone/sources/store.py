@@ -51,6 +51,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/store-{uuid.uuid4().hex}"
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """``df`` written once to a new folder and read back, for tables that are looked at several times."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Conflict(RuntimeError):
     """Another writer changed the same run in the meantime."""
 
