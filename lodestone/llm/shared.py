@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import re
 import uuid
+from threading import get_ident
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,28 +27,34 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{base_dir(spark)}/lodestone/{label}-{uuid.uuid4().hex}"
 
 
-#: Tables written and not dropped yet, the latest last.
-_kept: list[str] = []
+#: Tables written and not dropped yet, the latest last, by thread, so that pipelines side by side keep apart.
+_kept: dict[int, list[str]] = {}
+
+
+def _tables() -> list[str]:
+    return _kept.setdefault(get_ident(), [])
 
 
 def save(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet into the shared folder and read it back."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    _kept.append(path)
+    _tables().append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def mark() -> int:
-    """The number of tables written so far, for ``release``."""
-    return len(_kept)
+def mark() -> frozenset[str]:
+    """The tables that this thread wrote so far, for ``release``."""
+    return frozenset(_tables())
 
 
-def release(spark: SparkSession, since: int) -> None:
-    """Delete all tables written since ``mark`` gave ``since``, but for the last; what was made of the others must be written by then."""
-    while len(_kept) > since + 1:
-        remove(spark, _kept.pop(since))
+def release(spark: SparkSession, before: frozenset[str]) -> None:
+    """Delete the tables of this thread but for those of ``before`` and the last; what was made of the others must be written by then."""
+    tables = _tables()
+    for p in [p for p in tables[:-1] if p not in before]:
+        remove(spark, p)
+        tables.remove(p)
 
 
 def free(df: DataFrame, name: str) -> str:
@@ -66,7 +73,7 @@ def drop(df: DataFrame | None) -> None:
     for f in {os.path.dirname(x) for x in df.inputFiles()}:
         if "/lodestone/" in f:
             remove(spark, f)
-            _kept[:] = [p for p in _kept if os.path.basename(p) != os.path.basename(f)]
+            _tables()[:] = [p for p in _tables() if os.path.basename(p) != os.path.basename(f)]
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -30,7 +30,7 @@ TOKENIZERS, VOCABULARY, EOD = "/opt/tokenizers", "byte_bpe_multi_50k.tiktoken",
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK_BYTES = 8 << 20
 WIDTH = 2
-FILE_TOKENS = 64 << 20
+FILE_TOKENS, FILE_DOCUMENTS = 64 << 20, 1_000_000
 _ENCODERS: dict = {}
 
 
@@ -48,18 +48,22 @@ def encoder(path: str = TOKENIZERS, vocabulary: str = VOCABULARY):
     return _ENCODERS[key]
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, eod: int = EOD, file_tokens: int = FILE_TOKENS, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write flat token files into ``folder``; returns ``(file, ordinal, doc_id)``, the order of documents."""
+def write_tokens(docs: DataFrame, folder: str, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, eod: int = EOD, file_tokens: int = FILE_TOKENS, file_documents: int = FILE_DOCUMENTS, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Write flat token files into ``folder``; returns ``(file, ordinal, doc_id)``, the order of documents.
+
+    A file ends with the document that makes up ``file_tokens`` or ``file_documents``. It bears the number of
+    the attempt that wrote it, and only files of accepted attempts are listed.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         from pyspark import TaskContext
 
-        enc, part, nth = encoder(tokenizers, vocabulary), TaskContext.get().partitionId(), 0
+        enc, task, nth = encoder(tokenizers, vocabulary), TaskContext.get(), 0
         held, ids, size = [], [], 0
 
         def flush():
-            path = f"{folder}/tokens-{part:06d}-{nth:04d}.bin"
+            path = f"{folder}/tokens-{task.partitionId():06d}-{task.taskAttemptId()}-{nth:04d}.bin"
             shared.write_bytes(path, held)
             n = sum(map(len, ids))
             cols = [pa.array([path] * n), pa.array(np.arange(n)), pa.concat_arrays(ids)]
@@ -71,7 +75,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizers: str = TOKENIZERS, voc
                 held.append(toks.tobytes())
                 ids.append(b.column(0).slice(i, 1))
                 size += len(toks)
-                if size >= file_tokens:
+                if size >= file_tokens or len(ids) >= file_documents:
                     yield flush()
                     held, ids, size, nth = [], [], 0, nth + 1
         if ids:

@@ -66,7 +66,11 @@ def record(page_id, url: str | None, payload: bytes, first, date: str = "2024-01
 
 
 def write(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes: int = FILE_BYTES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Write all pages into archives below ``folder``; returns ``(file, bytes, records)``."""
+    """Write all pages into archives below ``folder``; returns ``(file, bytes, records)``.
+
+    A file bears the number of the attempt that wrote it, so an attempt that is repeated or runs twice
+    overwrites nothing; only files of the attempts that Spark accepted are listed.
+    """
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("payload")
     ).withColumn("sha", F.sha1("payload"))
@@ -77,10 +81,10 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes: int = F
     def run(batches):
         from pyspark import TaskContext
 
-        part, nth, held, size = TaskContext.get().partitionId(), 0, [], 0
+        task, nth, held, size = TaskContext.get(), 0, [], 0
 
         def flush():
-            path = f"{folder}/part-{part:06d}-{nth:04d}.warc.gz"
+            path = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}-{nth:04d}.warc.gz"
             shared.write_bytes(path, held)
             return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([size]), pa.array([len(held)])], names=["file", "bytes", "records"])
 

@@ -143,6 +143,43 @@ def test_warc_round_trip_for_any_range(spark):
     assert gzip.decompress(one).startswith(b"WARC/1.1") and warc.member(io.BytesIO(b"\x1f\x8b\x08nothing"), 0) is None
 
 
+def test_attempts_write_files_of_their_own(spark):
+    d, p = docs(spark, [(i, "a b", "s") for i in range(9)]), spark.range(9).selectExpr("id as page_id", "'u' as url", "concat('x', id) as html")
+    folder = shared.new_path(spark, "twice")
+    a, b = (token_counts.write_tokens(d, folder, file_documents=2) for _ in range(2))
+    assert a.groupBy("file").count().selectExpr("max(count) <= 2").first()[0] and not {r.file for r in a.collect()} & {r.file for r in b.collect()}
+    assert [token_counts.scan(spark, x.select("file")).count() for x in (a, b)] == [9, 9]
+    a, b = (warc.write(p, folder, file_bytes=1) for _ in range(2))
+    assert not {r.file for r in a.collect()} & {r.file for r in b.collect()}
+    assert [sorted(r.page_id for r in warc.read(spark, x).collect()) for x in (a, b)] == [list(range(9))] * 2
+
+
+def test_tables_of_threads_and_marks_keep_apart(spark):
+    from threading import Thread
+
+    one = shared.save(spark.range(1), "one")
+    before, got = shared.mark(), []
+    two, three = (shared.save(spark.range(n), "more") for n in (2, 3))
+
+    def other():
+        mine = shared.mark()
+        kept = [shared.save(spark.range(n), "other") for n in (4, 5)]
+        shared.release(spark, mine)
+        got.append(kept[1].count())
+
+    t = Thread(target=other)
+    t.start()
+    t.join()
+    assert got == [5] and two.count() == 2
+    shared.drop(one)
+    shared.release(spark, before)
+    assert three.count() == 3
+    with pytest.raises(Exception, match="(?i)path|file"):
+        two.count()
+    shared.release(spark, frozenset())
+    assert three.count() == 3
+
+
 def test_warc_reads_records_with_long_headers(spark):
     r = random.Random(6)
     urls = ["data:" + "".join(r.choice("abcdefghij0123456789") for _ in range(n)) for n in (65_000, 66_000, 300_000, 2_500_000)]
