@@ -81,6 +81,27 @@ def debt_findings(spark, sf_dir):
     return _short(hy.debt_findings(hy.aged(hy.debt_occurrences(cv.code_files(spark, sf_dir)), _blame(spark, sf_dir), _now())))
 
 
+@query(
+    f"with {_FLAGGED} select k as flag, 'stale' as status, refs, defs, cast(round_even(oldest, 0) as bigint) as introduced_days, cast(round_even(newest, 0) as bigint) as changed_days from s where refs > 0 and oldest >= 180 and newest >= 0 "
+    "union all select k, 'dead', 0, defs, null, null from s where defs > 0 and refs = 0"
+)
+def flag_rows(spark, sf_dir):
+    rows = hy.flag_rows(hy.flag_findings(_event_flags(spark, sf_dir), recent_days=0))
+    return rows.select(F.lower("flag").alias("flag"), "status", "refs", "defs", "introduced_days", "changed_days")
+
+
+_KEYWORDS_SQL = (
+    f"{CODE_SQL}, {_BLAME}, k as (select *, upper(regexp_extract(case when language in ('python', 'yaml', 'yml') then regexp_extract(content, '(#.*)$', 1) else regexp_extract(content, '((?://|/\\*|\\*).*)$', 1) end, '(?i)\\b(TODO|FIXME|HACK|XXX|WORKAROUND|TEMP)\\b', 1)) as keyword from code), "
+    "d as (select k.path, k.line, keyword, cast(round_even(age, 0) as bigint) as age_days from k left join blame b on b.path = k.path and b.line = k.line where keyword <> '')"
+)
+
+
+@query(f"with {_KEYWORDS_SQL} select path, line, keyword, age_days from d where keyword in ('FIXME', 'HACK', 'WORKAROUND', 'TEMP') or age_days >= 180")
+def debt_rows(spark, sf_dir):
+    found = hy.debt_findings(hy.aged(hy.debt_occurrences(cv.code_files(spark, sf_dir)), _blame(spark, sf_dir), _now()))
+    return hy.debt_rows(found).select("path", "line", "keyword", "age_days")
+
+
 @query(
     f"with {CODE_SQL}, opened as (select *, max(case when regexp_matches(content, '^\\s*async\\s+def') then line end) over (partition by path order by line rows between unbounded preceding and 1 preceding) as def_line, "
     "max(case when trim(content) <> '' and content not like '#%' and content not like ' %' and not regexp_matches(content, '^\\s*async\\s+def') then line end) over (partition by path order by line) as left_line from code where language = 'python') "

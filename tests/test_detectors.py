@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.functions import globs
+from lodestone.functions import globs, metadata
 from lodestone.functions import scalars as fn
 from lodestone.operators import artifacts, dependencies, drift, hygiene, magic, portability, scan
 from lodestone.sources import config, files, manifests, structured
@@ -266,3 +266,33 @@ def test_scan_of_a_repository(spark, tmp_path):
     assert {r.path for r in s.files.collect()} == {"src/a.cs", "tests/b.cs", "cfg/app.dev.json", "cfg/app.prod.json", "requirements.txt", "rules/rules.yaml", "bad.cs"} and s.runs.first().repo_root == str(root) and s.rules.count() == 53
     (root / "rules" / "rules.yaml").write_text("rules: {nothing: Error}\n")
     assert scan.scan_repository(spark, str(root), out, "r2", at) == 2
+
+
+def test_metadata_of_any_shape(spark):
+    rows = [
+        ("a", '{"Keyword":"HACK","AGEDAYS":" 7 ","x":1}'), ("b", '{"keyword":5,"ageDays":7.5}'), ("c", '{"ageDays":"7.5","keyword":null}'), ("d", "{"), ("e", None), ("f", "[1]"),
+        ("g", '{"KEYWORD":"low","keyword":"own","ageDays":99999999999999999999}'), ("h", '{"a":1,"a":2,"keyword":"k"}'), ("i", '{"ageDays":true,"keyword":{"a":[1]}}'), ("j", '{"ageDays":-3,"author":"x"}'),
+    ]
+    f = spark.createDataFrame([(p, 1, "hygiene.HACK", m) for p, m in rows] + [("z", 1, "other", "{}")], "path string, line int, rule_id string, metadata string")
+    got = {r.path: (r.keyword, r.author, r.age_days) for r in hygiene.debt_rows(f).collect()}
+    none = ("TODO", "unknown", None)
+    assert got == {
+        "a": ("HACK", "unknown", 7), "b": ("5", "unknown", None), "c": none, "d": none, "e": none, "f": none, "g": ("own", "unknown", None), "h": none, "i": ('{"a":[1]}', "unknown", None), "j": ("TODO", "x", -3),
+    }
+    shapes = [("true", True, None), ('" FALSE "', False, None), ('"yes"', None, None), ("1", None, 1), ("2.5", None, 2), ('"3.5"', None, 4), ('"-1e2"', None, -100), ('"1e30"', None, None), ("null", None, None), ("[]", None, None)]
+    m = spark.createDataFrame([(i, '{"V":' + s + "}") for i, (s, _, _) in enumerate(shapes)], "i int, metadata string").withColumn("m", metadata.fields("metadata"))
+    assert [(r.a, r.b) for r in m.select("i", metadata.flag("m", "v").alias("a"), metadata.rounded("m", "v").alias("b")).orderBy("i").collect()] == [(a, b) for _, a, b in shapes]
+    assert hygiene.debt_rows(f.limit(0)).count() == 0
+
+
+def test_flags_from_metadata_parse_each_row_once(spark):
+    rows = [
+        ("hygiene.stale_feature_flag", '{"flagname":"One","ReferenceCount":"4","definitionCount":2.0,"introducedDaysAgo":"200.5","lastChangedDaysAgo":91.4,"locations":[{"FilePath":"x","Line":"9"},3,{"filepath":" "},{"filePath":"y"}]}'),
+        ("hygiene.dead_feature_flag", '{"flagName":"Two","locations":{}}'), ("hygiene.fixme", "{}"), ("hygiene.dead_feature_flag", None),
+    ]
+    f = spark.createDataFrame([("p", i, r, m) for i, (r, m) in enumerate(rows)], "path string, line int, rule_id string, metadata string")
+    out = hygiene.flag_rows(f)
+    got = [(r.flag, r.status, r.refs, r.defs, r.introduced_days, r.changed_days, [tuple(x) for x in r.places]) for r in out.orderBy("line").collect()]
+    assert got == [("One", "stale", 4, 2, 200, 91, [("x", 9), ("y", 0)]), ("Two", "dead", 0, 0, None, None, [("p", 1)]), (None, "dead", 0, 0, None, None, [("p", 3)])]
+    for df in (out, hygiene.debt_rows(f), hygiene.projected(f)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") == 1
