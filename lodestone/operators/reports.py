@@ -125,15 +125,37 @@ def filtered(findings: DataFrame, severity="", rule="", rule_prefix="", confiden
     return shown(findings, include_suppressed)
 
 
+def page_key(sort: str) -> F.Column:
+    """What a page of findings is ordered by, before the id."""
+    return {"severity": rank(), "rule": F.col("rule_id"), "path": F.col("file_path"), "line": F.col("line"), "confidence": confidence_rank()}[sort]
+
+
 def findings_page(findings: DataFrame, files: DataFrame, rules: DataFrame, run_id: str, offset=0, limit=25, sort="severity", descending=False, **filters) -> DataFrame:
     """A page of a run's findings, at most 500; ties by id."""
-    keys = {"severity": rank(), "rule": F.col("rule_id"), "path": F.col("file_path"), "line": F.col("line"), "confidence": confidence_rank()}
-    key = keys[sort].desc() if descending else keys[sort].asc()
+    key = page_key(sort).desc() if descending else page_key(sort).asc()
     rows = filtered(with_files(findings.where(F.col("run_id") == run_id), files), **filters)
     page = rows.orderBy(key, "finding_id").offset(max(0, offset)).limit(clamp(limit, 1, 500))
     return flagged(with_rules(page, rules))
 
 
+def findings_after(findings: DataFrame, files: DataFrame, rules: DataFrame, run_id: str, cursor: tuple | None = None, limit=25, sort="severity", descending=False, **filters) -> DataFrame:
+    """The page that follows ``cursor``, the ``(page_key, finding_id)`` of the last row seen (None: the first page).
+
+    However far the page is, a task keeps no more rows than one page has. Null keys come first, or last where the order descends.
+    """
+    key, rows = page_key(sort), filtered(with_files(findings.where(F.col("run_id") == run_id), files), **filters)
+    if cursor is not None:
+        at, seen = cursor
+        same = key.eqNullSafe(F.lit(at)) & (F.col("finding_id") > seen)
+        if at is None:
+            beyond = F.lit(False) if descending else key.isNotNull()
+        else:
+            beyond = (key < at) | key.isNull() if descending else key > at
+        rows = rows.where(beyond | same)
+    page = rows.withColumn("page_key", key).orderBy(F.desc("page_key") if descending else F.asc("page_key"), "finding_id").limit(clamp(limit, 1, 500))
+    return flagged(with_rules(page, rules))
+
+
 def flagged(findings: DataFrame) -> DataFrame:
     """With what the metadata say: confirmed by syntax, suppressed, why and by what."""
     return findings.withColumn("ast_confirmed", is_true("astConfirmed")).withColumn("is_suppressed", suppressed()).withColumn("suppression_reason", suppression_reason())

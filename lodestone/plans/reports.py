@@ -70,6 +70,13 @@ def store_findings_page(spark, sf_dir):
     return ro.findings_page(s.findings, s.files, s.rules, RUN, 20, 40, "rule", True, severity="Error", category="Source", path_prefix="src/", include_suppressed=False)
 
 
+@query(_page_sql(f"run_id = '{RUN}' and category = 'Source'", "rule_id desc", 60, 40))
+def store_findings_after(spark, sf_dir):
+    s = sv.store(spark, sf_dir)
+    last = ro.findings_page(s.findings, s.files, s.rules, RUN, 59, 1, "rule", True, category="Source").first()
+    return ro.findings_after(s.findings, s.files, s.rules, RUN, (last["rule_id"], last["finding_id"]) if last else None, 40, "rule", True, category="Source").drop("page_key")
+
+
 @query(_page_sql(f"run_id = '{RUN}' and language = 'python'", "case confidence when 'High' then 0 when 'Medium' then 1 else 2 end", 0, 500))
 def store_findings_by_confidence(spark, sf_dir):
     s = sv.store(spark, sf_dir)

@@ -200,3 +200,17 @@ def test_catalogue_of_rules(spark):
     one = spark.createDataFrame([("HYGIENE.fixme", "mine", "Info", "")], "rule_id string, title string, default_severity string, description string")
     got = {r.rule_id: r.title for r in catalog.first_wins(one, catalog.builtin(spark)).collect()}
     assert len(got) == 53 and got["HYGIENE.fixme"] == "mine" and "hygiene.fixme" not in got
+
+
+@pytest.mark.parametrize(("sort", "descending"), [("severity", False), ("line", False), ("line", True), ("rule", True), ("path", False), ("confidence", True)])
+def test_pages_by_cursor_follow_each_other(spark, sort, descending):
+    rows = [("r", i, 1, f"rule{i % 3}", f"p{i % 4}", None if i % 5 == 0 else i % 2, ("Error", "Info")[i % 2], ("High", "Low")[i % 2], None) for i in range(23)]
+    found = spark.createDataFrame(rows, "run_id string, finding_id int, file_id int, rule_id string, file_path string, line int, severity string, confidence string, metadata string")
+    files = spark.createDataFrame([("r", 1, "Source", "csharp")], "run_id string, file_id int, category string, language string")
+    rules = spark.createDataFrame([("rule1", "t", "d")], "rule_id string, title string, description string")
+    want = [r.finding_id for r in reports.findings_page(found, files, rules, "r", 0, 500, sort, descending).collect()]
+    cursor, got = None, []
+    while page := reports.findings_after(found, files, rules, "r", cursor, 9, sort, descending).orderBy(*([F.desc("page_key")] if descending else ["page_key"]), "finding_id").collect():
+        got += [r.finding_id for r in page]
+        cursor = (page[-1].page_key, page[-1].finding_id)
+    assert got == want and len(got) == 23
