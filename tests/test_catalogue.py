@@ -40,3 +40,9 @@ def test_bench_names_are_registered():
     import bench
 
     assert set(bench.HEADLINE) <= set(__spark_entry__.queries())
+
+
+def test_positions_are_those_of_addresses(spark):
+    rows = catalogue.QUERIES["text_scan_positions"](spark, SF).select("value").distinct().collect()
+    parts = [r.value.split(".") for r in rows]
+    assert parts and all(len(p) == 4 and all(int(x) <= 255 for x in p) for p in parts)
