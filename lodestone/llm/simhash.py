@@ -6,11 +6,12 @@ Two operators share the machinery:
   differ. The bits are cut into blocks; close pairs agree on a whole combination of blocks, so they
   meet in a bucket of that combination, where the Hamming distance is verified.
 * ``near_duplicates``: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or
-  more. At that similarity about 15% of SimHash bits differ, so blocks of bits long enough to tell
-  texts apart lose pairs, most of all short ones. Here the blocks are made of minima instead: the least
-  hash of two sets is the same with a probability that is their similarity, whatever their length, so
-  pairs meet as often as ``TABLES`` and ``BLOCK_ROWS`` say. Every candidate pair is verified, first by
-  bounds that lose nothing and then by the exact similarity.
+  more. Fingerprints of the sets are linked as above. At a similarity of 0.8 about 15% of SimHash bits
+  differ, so blocks of bits long enough to tell texts apart lose pairs, most of all short ones; what the
+  fingerprints leave apart is looked for in blocks of minima as well: the least hash of two sets is the
+  same with a probability that is their similarity, whatever their length, so pairs meet as often as
+  ``TABLES`` and ``BLOCK_ROWS`` say. Every candidate pair is verified, first by bounds that lose nothing
+  and then by the exact similarity.
 
 Defined results: a null text counts as empty; documents without words have fingerprint zero and are
 linked to each other; a null ``doc_id`` is kept and never chosen as a smallest id if another exists;
@@ -148,8 +149,8 @@ def hexadecimal(fingerprint) -> F.Column:
 TABLES, BLOCK_ROWS = 48, 8
 #: Tables whose stars come first: they join most of a group of copies, at a few rows for each copy.
 FIRST_TABLES = 8
-#: Longs of a set's bitmap, which has the bit of each member's hash.
-LANES = 8
+#: Longs of a set's bitmap, which has the bit of each member's hash, and of the wider one that pairs are tested by which that one lets pass.
+LANES, WIDE = 8, 32
 _DRAWN = np.random.default_rng(20240607).integers(0, 1 << 32, (2, TABLES * BLOCK_ROWS), dtype=np.uint32)
 
 
@@ -168,10 +169,10 @@ def _blocks(hashes: np.ndarray) -> np.ndarray:
     return ((key >> np.uint64(8)) | (np.arange(TABLES, dtype=np.uint64) << np.uint64(56))).view(np.int64)
 
 
-def _bitmap(hashes: np.ndarray) -> np.ndarray:
-    """``LANES`` longs with a bit set for each hash."""
-    bits = np.zeros(64 * LANES, dtype=bool)
-    bits[hashes % np.uint64(64 * LANES)] = True
+def _bitmap(hashes: np.ndarray, lanes: int = LANES) -> np.ndarray:
+    """``lanes`` longs with a bit set for each hash."""
+    bits = np.zeros(64 * lanes, dtype=bool)
+    bits[hashes % np.uint64(64 * lanes)] = True
     return np.packbits(bits, bitorder="little").view("<i8")
 
 
@@ -180,26 +181,27 @@ def _row_key(id_col: str, text_col: str):
 
 
 def _sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """``(row_key, doc_id, node, n, f0..f7, blocks array<long>)``: ``node`` is a hash of the set of shingles, ``n`` its size."""
+    """``(row_key, doc_id, node, n, fingerprint, f0..f7, wide array<long>, blocks array<long>)``: ``node`` is a hash of the set of shingles, ``n`` its size."""
 
     def run(batches):
         import xxhash
 
         for b in batches:
-            maps, blocks = np.zeros((b.num_rows, LANES), dtype=np.int64), []
-            node, n = np.zeros(b.num_rows, dtype=np.uint64), np.zeros(b.num_rows, dtype=np.int64)
+            maps, wide, blocks = np.zeros((b.num_rows, LANES), dtype=np.int64), np.zeros((b.num_rows, WIDE), dtype=np.int64), []
+            prints, node, n = np.zeros(b.num_rows, dtype=np.uint64), np.zeros(b.num_rows, dtype=np.uint64), np.zeros(b.num_rows, dtype=np.int64)
             for i, t in enumerate(b.column(2).to_pylist()):
                 h = np.unique(shingle_hashes(t, words))
                 node[i], n[i], maps[i] = xxhash.xxh64_intdigest(h.tobytes(), SEED), len(h), _bitmap(h)
+                prints[i], wide[i] = majority(h), _bitmap(h, WIDE)
                 blocks.append(_blocks(h))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(node.view(np.int64)), pa.array(n), *[pa.array(np.ascontiguousarray(maps[:, k])) for k in range(LANES)], pa.array(blocks, type=pa.list_(pa.int64()))],
-                names=["row_key", "doc_id", "node", "n", *[f"f{k}" for k in range(LANES)], "blocks"],
+                [b.column(0), b.column(1), pa.array(node.view(np.int64)), pa.array(n), pa.array(prints.view(np.int64)), *[pa.array(np.ascontiguousarray(maps[:, k])) for k in range(LANES)], pa.array(list(wide), type=pa.list_(pa.int64())), pa.array(blocks, type=pa.list_(pa.int64()))],
+                names=["row_key", "doc_id", "node", "n", "fingerprint", *[f"f{k}" for k in range(LANES)], "wide", "blocks"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(_row_key(id_col, text_col).alias("row_key"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"row_key long, doc_id {kind}, node long, n long, {', '.join(f'f{k} long' for k in range(LANES))}, blocks array<long>")
+    return rows.mapInArrow(run, f"row_key long, doc_id {kind}, node long, n long, fingerprint long, {', '.join(f'f{k} long' for k in range(LANES))}, wide array<long>, blocks array<long>")
 
 
 def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -214,18 +216,30 @@ def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _facts(nodes: DataFrame, name: str) -> DataFrame:
-    """``nodes`` with its id as ``name`` and its size and bitmap as ``name_0`` and on."""
-    return nodes.select(F.col("node").alias(name), F.col("n").alias(f"{name}_0"), *[F.col(f"f{k}").alias(f"{name}_{k + 1}") for k in range(LANES)])
+    """``nodes`` with its id as ``name`` and its size and bitmaps as ``name_0`` and on."""
+    return nodes.select(F.col("node").alias(name), F.col("n").alias(f"{name}_0"), *[F.col(f"f{k}").alias(f"{name}_{k + 1}") for k in range(LANES)], F.col("wide").alias(f"{name}_wide"))
 
 
 def _may(similarity: float) -> F.Column:
     """Whether the sets of ``a`` and ``b`` may be similar enough by their sizes and bitmaps; true of all that are.
 
     Each bit in which two bitmaps differ is a shingle that only one set has, and similar sets have at
-    most ``(1 - similarity) / (1 + similarity)`` of their members to themselves.
+    most ``(1 - similarity) / (1 + similarity)`` of their members to themselves. The wide bitmaps, in
+    which hardly two members share a bit, are looked at last.
     """
+    most = (1 - similarity) / (1 + similarity) * (F.col("a_0") + F.col("b_0")) + 1e-6
     alone = sum((_far(f"a_{k}", f"b_{k}") for k in range(1, LANES + 1)), F.lit(0))
-    return (alone <= (1 - similarity) / (1 + similarity) * (F.col("a_0") + F.col("b_0")) + 1e-6) & (F.least("a_0", "b_0") >= similarity * F.greatest("a_0", "b_0") - 1e-6)
+    closer = F.aggregate(F.zip_with("a_wide", "b_wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    return (F.least("a_0", "b_0") >= similarity * F.greatest("a_0", "b_0") - 1e-6) & F.when(alone <= most, closer <= most).otherwise(False)
+
+
+def _alike(nodes: DataFrame) -> DataFrame:
+    """Candidate pairs ``(a, b)`` of nodes by their fingerprints: equal ones, and those that pigeonhole blocks find within two bits."""
+    least = shared.save(nodes.groupBy("fingerprint").agg(F.min("node").alias("least"), F.count("*").alias("n")), "prints")
+    equal = nodes.join(least.where("n > 1"), "fingerprint").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    ends = [least.select(F.col("fingerprint").alias(c), F.col("least").alias(f"n{c}")) for c in "ab"]
+    linked = fingerprint_links(least.select("fingerprint")).join(ends[0], "a").join(ends[1], "b")
+    return equal.union(linked.select("na", "nb"))
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts, words: int, similarity: float) -> DataFrame:
@@ -267,15 +281,16 @@ def _across(placed: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(row_key, doc_id, group_key)``: rows of one near-duplicate group share ``group_key``.
 
-    Texts with equal sets of shingles are one node. Candidate pairs are first, in ``FIRST_TABLES``
-    tables, each bucket's members with its least one, its lead; verified links give components. Then come
+    Texts with equal sets of shingles are one node. Candidate pairs are first those whose fingerprints
+    are close and, in ``FIRST_TABLES`` tables of minima, each bucket's members with its least one, its
+    lead; verified links give components. Then come
     the members and leads of all buckets that lie in different components, and last all pairs across
     components in the buckets that still hold several: pairs within a component add nothing. So a group
     of thousands of copies costs a few rows for each, and no candidate is lost.
     """
     sk = shared.save(_sketches(docs, words, id_col, text_col), "sketches")
     nodes = shared.save(
-        sk.groupBy("node").agg(F.min("row_key").alias("row_key"), F.min("n").alias("n"), *[F.min(f"f{k}").alias(f"f{k}") for k in range(LANES)], F.min("blocks").alias("blocks")), "nodes"
+        sk.groupBy("node").agg(F.min("row_key").alias("row_key"), F.min("n").alias("n"), F.min("fingerprint").alias("fingerprint"), *[F.min(f"f{k}").alias(f"f{k}") for k in range(LANES)], F.min("wide").alias("wide"), F.min("blocks").alias("blocks")), "nodes"
     )
     texts_of = docs.select(_row_key(id_col, text_col).alias("row_key"), F.col(text_col).cast("binary").alias("text"))
 
@@ -287,7 +302,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     sizes = held.groupBy("k").agg(F.count("*").alias("n"), F.min("node").alias("lead")).where("n > 1")
     members = shared.save(held.join(sizes, "k"), "members")
     stars = members.where("node <> lead").select("k", F.col("node").alias("a"), F.col("lead").alias("b"))
-    first = _verified(stars.where(F.col("k") < (FIRST_TABLES << 56)).select("a", "b").distinct(), nodes, texts, words, similarity)
+    first = _verified(_alike(nodes).union(stars.where(F.col("k") < (FIRST_TABLES << 56)).select("a", "b")).distinct(), nodes, texts, words, similarity)
     early = shared.save(components(first), "components")
     named = [early.select(F.col("node").alias(n), F.col("component").alias(f"c{n}")) for n in "ab"]
     apart = stars.join(named[0], "a", "left").join(named[1], "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))

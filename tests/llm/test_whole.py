@@ -460,3 +460,22 @@ def test_pipeline_stages_take_nulls_in_any_column(spark):
     for _, f in corpus_pipeline.STAGES:
         d = shared.save(f(spark, d, SF), "n")
     assert d.where("doc_id is null").count() >= 1
+
+
+def test_fingerprints_bring_near_copies_together(spark):
+    text = words(600, 21)
+    rows = [(1, " ".join(text), "s"), (2, " ".join([*text[:599], "end"]), "s"), (3, " ".join(words(600, 22)), "s"), (4, None, "s")]
+    nodes = simhash._sketches(docs(spark, rows), 5, "doc_id", "text")
+    name = {r.node: r.doc_id for r in nodes.collect()}
+    assert {frozenset((name[p.a], name[p.b])) for p in simhash._alike(nodes).collect()} == {frozenset((1, 2))}
+
+
+def test_wide_bitmaps_tell_copies_below_the_limit():
+    r, passed = np.random.default_rng(5), 0
+    for _ in range(100):
+        a = np.unique(r.integers(0, 1 << 63, 150).astype(np.uint64))
+        far, near = (np.unique(np.concatenate([a[:n], r.integers(0, 1 << 63, 150 - n).astype(np.uint64)])) for n in (128, 134))  # similarities 0.74 and 0.81
+        differ = lambda b: int(np.bitwise_count((simhash._bitmap(a, simhash.WIDE) ^ simhash._bitmap(b, simhash.WIDE)).view(np.uint64)).sum())  # noqa: B023, E731
+        assert differ(near) <= len(np.setxor1d(a, near)) <= 300 / 9
+        passed += differ(far) <= 300 / 9
+    assert passed < 10
