@@ -77,3 +77,29 @@ def test_work_grows_with_length():
 
     took(100)
     assert took(8000) < 40 * max(took(1000), 0.005)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_equal_texts_are_read_once_and_repeated_files_kept(spark, tmp_path):
+    told = str(tmp_path / "calls")
+
+    def read(text):
+        with open(told, "a") as f:
+            f.write("x")
+        return [("k", i, 1, w, text) for i, w in enumerate(text.split())]
+
+    texts = ["a b", "c", "a b", None, "", "a b"] * 50
+    files = spark.createDataFrame([(f"p{i}", None, "go", t) for i, t in enumerate(texts)], "path string, category string, language string, text string").coalesce(1)
+    got = sorted((r.path, r.line, r.value, r.content) for r in ct.tokens(files, read, ct.TEXT).collect())
+    assert got == sorted((f"p{i}", j, w, t) for i, t in enumerate(texts) for j, w in enumerate((t or "").split()))
+    assert len(open(told).read()) == 3
+
+
+def test_detectors_read_their_files_once(spark):
+    from lodestone.operators import magic
+
+    files = spark.createDataFrame([("a.cs", "Source", "csharp", 'x("10.1.2.3");')], "path string, category string, language string, text string")
+    assert "MapInArrow" not in _plan(magic.occurrences(files))
