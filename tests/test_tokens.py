@@ -99,7 +99,9 @@ def test_equal_texts_are_read_once_and_repeated_files_kept(spark, tmp_path):
 
 
 def test_detectors_read_their_files_once(spark):
-    from lodestone.operators import magic
+    from lodestone.operators import magic, portability
 
     files = spark.createDataFrame([("a.cs", "Source", "csharp", 'x("10.1.2.3");')], "path string, category string, language string, text string")
+    assert _plan(portability.csharp_findings(files)).count("MapInArrow") == 1
+    assert _plan(portability.line_findings(files)).count("MapInArrow") == 1
     assert "MapInArrow" not in _plan(magic.occurrences(files))
