@@ -105,3 +105,17 @@ def test_detectors_read_their_files_once(spark):
     assert _plan(portability.csharp_findings(files)).count("MapInArrow") == 1
     assert _plan(portability.line_findings(files)).count("MapInArrow") == 1
     assert "MapInArrow" not in _plan(magic.occurrences(files))
+
+
+def test_entropy_counts_characters_without_sorting_them(spark):
+    import math
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from lodestone.functions import scalars as fn
+
+    texts = ["abab", "ä€𝄞a" * 3, "x" * 70_000 + "y", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", fn.entropy(F.col("t")).alias("e"))
+    brute = lambda t: -sum(c / len(t) * math.log2(c / len(t)) for c in Counter(t).values()) if t else 0.0
+    assert all(abs(r.e - brute(texts[r.i])) < 1e-9 for r in df.collect()) and "sort" not in _plan(df)
