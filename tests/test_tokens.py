@@ -119,3 +119,25 @@ def test_entropy_counts_characters_without_sorting_them(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", fn.entropy(F.col("t")).alias("e"))
     brute = lambda t: -sum(c / len(t) * math.log2(c / len(t)) for c in Counter(t).values()) if t else 0.0
     assert all(abs(r.e - brute(texts[r.i])) < 1e-9 for r in df.collect()) and "sort" not in _plan(df)
+
+
+def test_lines_of_whole_files_agree_with_windows_and_shuffle_nothing(spark):
+    import random
+
+    from conftest import SF
+    from pyspark.sql import functions as F
+
+    from lodestone.operators import lines as lo
+    from lodestone.operators import text as to
+    from lodestone.plans import catalogue
+
+    r = random.Random(4)
+    rows = [(i, "\n".join(r.choice(["{", "}", "{{", "} }", "mark", "", "x"]) for _ in range(r.randrange(1, 40)))) for i in range(60)] + [(90, None), (91, "")]
+    files = spark.createDataFrame(rows, "file_id int, text string")
+    lines = to.lines(files)
+    got = lo.by_file(files, lo.depths, "depth long")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, lo.brace_depth(lines).select("file_id", "line", "depth").collect()))
+    near = lo.by_file(files, lambda x: lo.within(["mark" in y for y in x]), "near boolean")
+    assert sorted(map(tuple, near.collect())) == sorted(map(tuple, lo.near(lines, F.contains("content", F.lit("mark"))).select("file_id", "line", "near").collect()))
+    for name in ("brace_scope", "nearby_marker", "line_suppressions"):
+        assert "Window" not in _plan(catalogue.QUERIES[name](spark, SF))
