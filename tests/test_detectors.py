@@ -296,3 +296,40 @@ def test_flags_from_metadata_parse_each_row_once(spark):
     assert got == [("One", "stale", 4, 2, 200, 91, [("x", 9), ("y", 0)]), ("Two", "dead", 0, 0, None, None, [("p", 1)]), (None, "dead", 0, 0, None, None, [("p", 3)])]
     for df in (out, hygiene.debt_rows(f), hygiene.projected(f)):
         assert df._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") == 1
+
+
+def test_scan_of_all_rules_leaves_no_scan_and_no_rule_out(spark, monkeypatch):
+    from conftest import SF
+
+    from lodestone.plans import detectors
+
+    rows = [
+        ("a/f1.cs", "Source", "csharp", 'if (f.IsEnabled("Old")) { }\nx(); // TODO tidy it'),
+        ("a/f2.cs", "Source", "csharp", 'const string Flag = "Dead";'),
+        ("a/f3.py", "Source", "python", "async def work():\n    asyncio.run(main())"),
+        ("a/f4.json", "Config", "json", '{ "zone": "uksouth" }'),
+        ("a/f5.py", "Source", "python", "\n".join(f'x = "alpha{i}"' for i in range(60)) * 2),
+        ("a/pipelines/t.txt", "DeploymentArtifact", None, "pool = agents"),
+        ("cfg/a.dev.json", "Config", "json", '{"k": "1"}'),
+        ("cfg/a.prod.json", "Config", "json", '{"k": "2"}'),
+        ("m/requirements.txt", "Docs", None, "zeta>=1.0"),
+    ]
+    files = spark.createDataFrame(rows, "path string, category string, language string, text string")
+    blame = spark.sql("select 'a/f1.cs' as path, l as line, 'A' as author, timestamp '2023-01-01 00:00:00' as author_time from values (1), (2) as t(l)")
+    commits = spark.sql("select 'a/f1.cs' as path, cast(null as string) as old_path, 'A' as author, timestamp '2023-10-01 00:00:00' as ts, 1L as added, 0L as removed")
+    for name, df in (("_repository", files), ("_blame", blame), ("_commits", commits)):
+        monkeypatch.setattr(detectors, name, lambda *_, df=df: df, raising=False)
+    monkeypatch.setattr(detectors.cv, "code_files", lambda *_: files)
+    got = {r.rule_id: r.n for r in detectors.scan_all_rules(spark, SF).collect()}
+    flags = ("hygiene.stale_feature_flag", "hygiene.dead_feature_flag", "hygiene.todo_old", "async.nested_runtime")
+    other = ("churn.ownership.orphaned_knowledge_risk", "config.drift.hardcoded_env_value", "deploy.ado.hardcoded.agentpool", "deps.unpinned_version", "portability.hardcoded.region", "team.todo", "team.zone")
+    assert got == dict.fromkeys((*flags, *other), 1) | {"magic-string.candidate": 60}
+
+
+def test_flags_are_found_on_lines_of_each_kind(spark):
+    from lodestone.operators import hygiene as hy
+
+    text = "if (IsEnabled('A1')) {\nx = feature_flag[\"A2\"]\n#if FEATURE_A3\n  #define FEATURE_A4 1\nprivate CONST String N = 'A5';\nstatic readonly string M = \"A6\";\n\"A7\" : TRUE,\n'A8':false\nplain '#' \"x\" = string"
+    files = spark.createDataFrame([("f", text)], "path string, text string")
+    got = sorted((r.flag, r.line, r.is_definition) for r in hy.flag_occurrences(files).collect())
+    assert got == [(f"A{i}", i, i > 3) for i in range(1, 9)]
